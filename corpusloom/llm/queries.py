@@ -1,0 +1,29 @@
+"""Registered queries of the training-data operators. Each runs over its whole tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import parsing
+from .common import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[fn.__name__] = fn
+    return fn
+
+
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.parse_files(table(spark, d, "source_files")).where(~F.col("parses")).select("repo_key", "relative_path")
+
+
+@query
+def p1_rates(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.parse_rates(table(spark, d, "source_files"))
