@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import parsing
-from .common import table
+from . import neighbours, parsing, splitting
+from .common import CHUNK_LIMIT, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,3 +27,29 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p1_rates(spark: SparkSession, d: str) -> DataFrame:
     return parsing.parse_rates(table(spark, d, "source_files"))
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(table(spark, d, "chunks"), min_cosine=0.9).select("chunk_id_a", "chunk_id_b")
+
+
+@query
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_vectors(table(spark, d, "chunks"), k=10).withColumn("cosine", F.round("cosine", 6))
+
+
+@query
+def p2_recall(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.recall(table(spark, d, "chunks"), k=10)
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    pieces = splitting.split_oversized(table(spark, d, "chunks"), limit=CHUNK_LIMIT, overlap=80)
+    return pieces.where((F.col("n_pieces") > 1) & (F.col("piece_no") == 0)).select("chunk_id").distinct()
+
+
+@query
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_oversized(table(spark, d, "chunks"), limit=CHUNK_LIMIT, overlap=80)
