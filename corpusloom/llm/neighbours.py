@@ -83,14 +83,14 @@ def _kmeans(points: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centroids
 
 
-def fit_codebooks(index: DataFrame, n: int, per_cell: int, sample: int) -> Codebooks:
-    """Two codebooks for each vector length, from at most `sample` vectors chosen by hash."""
+def fit_codebooks(index: DataFrame, n: int, per_cell: int, sample: int, centroids: int | None = None) -> Codebooks:
+    """Two codebooks of `centroids` (else about n / per_cell cells) for each length, from at most `sample` vectors chosen by hash."""
     share = min(1.0, sample / max(1, n))
     picked = index.select("vec").where(F.pmod(F.col("key"), F.lit(1_000_003)) < int(share * 1_000_003) + 1).limit(sample)
     by_dim: dict[int, list[bytes]] = {}
     for v in picked.toArrow().column("vec").to_pylist():
         by_dim.setdefault(len(v) // 4, []).append(v)
-    k = max(1, min(MAX_CENTROIDS, round(math.sqrt(n / per_cell))))
+    k = max(1, min(MAX_CENTROIDS, centroids or round(math.sqrt(n / per_cell))))
     return {dim: tuple(_kmeans(half, k) if half.shape[1] else np.zeros((1, 0)) for half in _halves(_unit(raw))) for dim, raw in by_dim.items()}
 
 
@@ -127,16 +127,17 @@ def _entries(books: Codebooks) -> Callable:
     return run
 
 
-def _probes(books: Codebooks, probes: int) -> Callable:
+def _probes(books: Codebooks, probes: int | float) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for dim, b in _by_dim(batch):
-                rows = []
+                rows, most = [], probes
                 if dim in books:
+                    most = probes if isinstance(probes, int) else math.ceil(probes * len(books[dim][0]) * len(books[dim][1]))
                     d1, d2 = (_distances(half, book) for half, book in zip(_halves(_unit(list(b["vec"]))), books[dim]))
                 for n, (space, key, vec) in enumerate(zip(b["space"], b["key"], b["vec"])):
                     lists: dict[int, list[int]] = {}
-                    for i, j in probe_cells(d1[n], d2[n], probes) if dim in books else [(0, 0)]:
+                    for i, j in probe_cells(d1[n], d2[n], most) if dim in books else [(0, 0)]:
                         lists.setdefault(i, []).append(j)
                     rows += [(space, i, np.asarray(js, dtype="<i2").tobytes(), key, vec) for i, js in lists.items()]
                 yield pd.DataFrame(rows, columns=["space", "c1", "c2s", "key", "vec"])
@@ -192,9 +193,11 @@ def _match(k: int, min_cosine: float) -> Callable:
     return run
 
 
-def similar_vectors(rows: DataFrame, k: int = 10, min_cosine: float = -1.0, probes: int = 12, per_cell: int = 32, sample: int = 32_768, block: int = 20_000) -> DataFrame:
+def similar_vectors(rows: DataFrame, k: int = 10, min_cosine: float = -1.0, probes: int | float = 12, per_cell: int = 32, centroids: int | None = None, sample: int = 32_768, block: int = 20_000) -> DataFrame:
     """chunk_id, scope, neighbour_id, cosine, rank: up to k most similar other chunks of the same scope.
 
+    `probes` is a number of cells, or as a float below 1 a share of all cells: near neighbours (cosine over 0.8)
+    lie in the first few cells at any size, while neighbours hardly nearer than chance need a large share.
     Ties go to the smaller neighbour_id; between equally near groups of copies at the very cut, to the smaller
     vector key. Lone vectors and empty input give no rows. Results are approximate by the probing only: see
     `recall` for the measured share.
@@ -202,7 +205,7 @@ def similar_vectors(rows: DataFrame, k: int = 10, min_cosine: float = -1.0, prob
     all_rows = cut(packed(valid_vectors(rows)))
     index = cut(all_rows.groupBy("key").agg(F.first("space").alias("space"), F.first("vec").alias("vec"), F.count("*").alias("copies")))
     n = index.count()
-    books = fit_codebooks(index, n, per_cell, sample)
+    books = fit_codebooks(index, n, per_cell, sample, centroids)
     entries = index.select("space", "key", "vec").mapInPandas(_entries(books), "space string, c1 int, c2 int, key bigint, vec binary")
     queries = index.select("space", "key", "vec").mapInPandas(_probes(books, probes), "space string, c1 int, c2s binary, key bigint, vec binary")
     # At most MAX_CENTROIDS first centroids a space; only those above the block size need a grid.
@@ -282,14 +285,14 @@ def _scan(queries: dict[str, tuple[np.ndarray, np.ndarray]], k: int) -> Callable
     return run
 
 
-def recall(rows: DataFrame, k: int = 10, every: int = 50) -> DataFrame:
+def recall(rows: DataFrame, k: int = 10, every: int = 50, **index: float) -> DataFrame:
     """scope, n_queries, n_true, n_found, recall: the index against brute force on the stated query set.
 
     A neighbour as near as the true k-th counts as true, so copies at the cut do not decide.
     """
     truth = exact_neighbours(rows, k, every)
     floor = truth.groupBy("chunk_id").agg(F.min("cosine").alias("floor"), F.count("*").alias("n_true"))
-    got = similar_vectors(rows, k).join(floor, "chunk_id").where(F.col("cosine") >= F.col("floor") - 1e-9)
+    got = similar_vectors(rows, k, **index).join(floor, "chunk_id").where(F.col("cosine") >= F.col("floor") - 1e-9)
     hits = got.groupBy("chunk_id", "scope").agg(F.count("*").alias("n_found"))
     scopes = valid_vectors(rows).select("chunk_id", "scope")
     return (

@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neighbours, parsing, splitting
+from . import near_duplicates, neighbours, parsing, splitting
 from .common import CHUNK_LIMIT, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
+# The chunk vectors have no structure below a cosine of 0.7: their tenth neighbour is hardly nearer than chance.
+WIDE = {"probes": 0.45, "centroids": 32}
+
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[fn.__name__] = fn
@@ -36,12 +39,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return neighbours.similar_vectors(table(spark, d, "chunks"), k=10).withColumn("cosine", F.round("cosine", 6))
+    return neighbours.similar_vectors(table(spark, d, "chunks"), k=10, **WIDE).withColumn("cosine", F.round("cosine", 6))
 
 
 @query
 def p2_recall(spark: SparkSession, d: str) -> DataFrame:
-    return neighbours.recall(table(spark, d, "chunks"), k=10)
+    return neighbours.recall(table(spark, d, "chunks"), k=10, **WIDE)
 
 
 @query
@@ -53,3 +56,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "chunks"), limit=CHUNK_LIMIT, overlap=80)
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.near_duplicate_pairs(table(spark, d, "chunks"), threshold=0.7, width=3, least_tokens=30)
+
+
+@query
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.near_duplicate_groups(table(spark, d, "chunks"), threshold=0.8, width=5)
