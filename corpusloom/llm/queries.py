@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_duplicates, neighbours, parsing, splitting
+from . import near_duplicates, neighbours, parsing, secrets, splitting
 from .common import CHUNK_LIMIT, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(table(spark, d, "chunks"), threshold=0.8, width=5)
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, d, "chunks")).select("chunk_id", "line_no").distinct()
+
+
+@query
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.redact(table(spark, d, "chunks"))
