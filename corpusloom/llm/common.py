@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,23 +16,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; fall back to a temporary one only in local mode."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; a temporary one only in local mode, where it is unset."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and sc._jsc.sc().getCheckpointDir().isDefined():
+        named = sc._jsc.sc().getCheckpointDir().get()
     if not named:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = os.path.join(tempfile.gettempdir(), "corpusloom-checkpoints")
-    sc.setCheckpointDir(named)
+    return named.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write the rows once to the shared checkpoint folder and cut the lineage there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows once as a table in the shared folder and read them from there.
+
+    Later stages depend on those files alone, so a lost executor costs no recomputation of what came before,
+    and each reader takes only its columns. The files go when the last frame that reads them is collected, or at exit.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/corpusloom/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
@@ -40,6 +47,12 @@ def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
 
 
+def clear_shared(spark: SparkSession) -> None:
+    """Delete all tables that `cut` wrote. For the end of an application: earlier frames cannot be read afterwards."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/corpusloom")
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def posix(path: Column) -> Column:
     return F.translate(path, "\\", "/")
 
