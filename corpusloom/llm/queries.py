@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_duplicates, neighbours, parsing, secrets, splitting
+from . import leakage, mixing, near_duplicates, neighbours, parsing, secrets, splitting
 from .common import CHUNK_LIMIT, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,24 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
     return secrets.redact(table(spark, d, "chunks"))
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    found = leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.where("exact").select("doc_id", "item_id")
+
+
+@query
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@query
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "source_targets"))[0]
+
+
+@query
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "source_targets"))[1]
