@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, mixing, near_duplicates, neighbours, parsing, secrets, splitting
+from . import leakage, mixing, near_duplicates, neighbours, parsing, quality, secrets, splitting
 from .common import CHUNK_LIMIT, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,14 @@ def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "source_targets"))[1]
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    stats = quality.text_statistics(table(spark, d, "documents"), table(spark, d, "common_words"), table(spark, d, "doc_labels"))
+    return stats.where(~F.col("is_prose")).select("doc_id").distinct()
+
+
+@query
+def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_statistics(table(spark, d, "documents"), table(spark, d, "common_words"), table(spark, d, "doc_labels"))
