@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, mixing, near_duplicates, neighbours, parsing, quality, secrets, splitting
+from . import leakage, mixing, near_duplicates, neighbours, parsing, provenance, quality, secrets, splitting
 from .common import CHUNK_LIMIT, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,13 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_statistics(table(spark, d, "documents"), table(spark, d, "common_words"), table(spark, d, "doc_labels"))
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.classify_files(table(spark, d, "source_files")).where(F.col("kind").isNotNull()).select("repo_key", "relative_path")
+
+
+@query
+def p4_files(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.classify_files(table(spark, d, "source_files"))
