@@ -42,7 +42,7 @@ _LOCK_ENTRY = re.compile(r"(?im)^\s*['\"]?version['\"]?\s*[:=]\s*['\"]?\d")
 _MIN_NAME = re.compile(r"(?i)[.\-_]min\.\w+$")
 _VENDOR_FOLDER = re.compile(r"(?i)(?:^|/)(?:_?vendor(?:ed|s)?|third[_-]?party|external|externals|extern|deps|node_modules|contrib|site-packages|bower_components)/")
 _THIRD_PARTY = re.compile(
-    r"(?i)\bpart of the \w+ (?:library|package|project|toolkit)\b|^\W*upstream\s*:|\bupstream release\b|\bsee LICEN[CS]E in the upstream|\bSPDX-License-Identifier\b"
+    r"(?i)\bpart of the \w+ (?:library|package|project|toolkit)\b|^\W*upstream\s*:|\bupstream release\b|\bsee LICEN[CS]E in the upstream"
     r"|\bcopyright (?:\(c\)|©|\d{4}).{0,40}\bauthors\b|^\W*(?:homepage|project url)\s*:\s*https?://|\bvendored from\b"
 )
 _NUMBER = re.compile(r"[+-]?\d[\d.,_]*(?:[eE][+-]?\d+)?")
