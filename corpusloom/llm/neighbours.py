@@ -84,9 +84,9 @@ def _kmeans(points: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 
 def fit_codebooks(index: DataFrame, n: int, per_cell: int, sample: int, centroids: int | None = None) -> Codebooks:
-    """Two codebooks of `centroids` (else about n / per_cell cells) for each length, from at most `sample` vectors chosen by hash."""
+    """Two codebooks of `centroids` (else about n / per_cell cells) for each length, from about `sample` vectors chosen by hash."""
     share = min(1.0, sample / max(1, n))
-    picked = index.select("vec").where(F.pmod(F.col("key"), F.lit(1_000_003)) < int(share * 1_000_003) + 1).limit(sample)
+    picked = index.select("vec").where(F.pmod(F.col("key"), F.lit(1_000_003)) < int(share * 1_000_003) + 1)  # no limit: it would gather one partition
     by_dim: dict[int, list[bytes]] = {}
     for v in picked.toArrow().column("vec").to_pylist():
         by_dim.setdefault(len(v) // 4, []).append(v)
