@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import paths
@@ -39,10 +39,13 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("rela
     return o.join(n, list(keys), "full").select(*keys, op.alias("op")).where(F.col("op").isNotNull())
 
 
-def indexed_paths(chunks: DataFrame, keys: tuple[str, ...] = (), order: Column | None = None) -> DataFrame:
-    """keys, relative_path, source_mtime: one row an indexed path, code before docs, the latest write first."""
-    rank = F.struct(F.when(F.col("scope") == "code", 1).otherwise(0), *([order] if order is not None else []), F.col("source_mtime"))
-    return chunks.groupBy(*keys, "relative_path").agg(F.max_by("source_mtime", rank).alias("source_mtime"))
+def indexed_paths(chunks: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, relative_path, source_mtime: one row an indexed path, from its code chunks if it has any.
+
+    The oldest chunk decides, so leftovers of an earlier version make their path due for indexing.
+    """
+    code = F.when(F.col("scope") == "code", F.col("source_mtime"))
+    return chunks.groupBy(*keys, "relative_path").agg(F.coalesce(F.min(code), F.min("source_mtime")).alias("source_mtime"))
 
 
 def reconcile(indexed: DataFrame, current: DataFrame, keys: tuple[str, ...] = (), tolerance: float = 1e-6, by_hash: bool = False) -> DataFrame:

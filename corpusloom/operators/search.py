@@ -123,12 +123,16 @@ def bm25(rows: DataFrame, query: str, id_column: str = "chunk_id", text_column:
     scored = bags.join(F.broadcast(corpus.join(table, grouped, "left")), grouped)
     score = F.lit(0.0)
     for word, times in sorted(words.items()):
-        tf = F.size(F.filter("_t", lambda t, w=word: t == F.lit(w)))
+        tf = _times("_t", word)
         one = F.coalesce(F.col("idf")[F.lit(word)], F.lit(0.0)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
         score = score + F.lit(float(times)) * F.when((tf > 0) & (F.col("avgdl") > 0), one).otherwise(0.0)
     return scored.select(*by, id_column, score.alias("lexical_raw"))
 
 
+def _times(tokens: str, word: str) -> Column:
+    return F.size(F.filter(tokens, lambda t: t == F.lit(word)))
+
+
 def _query_tokens(query: str) -> list[str]:
     import re
 
