@@ -91,6 +91,12 @@ def _uniform(seed: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64("doc_id", seed), 11) / F.lit(float(1 << 53))
 
 
+def _count(seed: Column) -> Column:
+    """How often a document is drawn: the thresholds its uniform number reaches."""
+    u = _uniform(seed)
+    return F.size(F.filter("thresholds", lambda t: t <= u))
+
+
 def plan_mixture(counted: DataFrame, targets: DataFrame, budget: int | None = None, seeds: int = 48) -> list[dict]:
     """One row a source: share, repeats, tokens, rate, thresholds and seed. `targets` has one row a source, at most 10,000."""
     rows = targets.select(canonical_source(F.col("source")).alias("source"), "target_share", "max_repeats").where(F.col("source").isNotNull() & (F.col("target_share") > 0)).limit(10_001).collect()
@@ -107,7 +113,7 @@ def plan_mixture(counted: DataFrame, targets: DataFrame, budget: int | None = No
     if not plan:
         return plan
     sums = with_plan(counted, [{**p, "seed": 0} for p in plan])
-    trial = [F.sum(F.size(F.filter("thresholds", lambda t, s=s: t <= _uniform(F.lit(s)))) * F.col("n_tokens")).alias(f"s{s}") for s in range(seeds)]
+    trial = [F.sum(_count(F.lit(s)) * F.col("n_tokens")).alias(f"s{s}") for s in range(seeds)]
     got = {r["source"]: r for r in sums.groupBy("source").agg(*trial).collect()}
     for p in plan:
         r = got.get(p["source"])
@@ -125,7 +131,7 @@ def with_plan(rows: DataFrame, plan: list[dict]) -> DataFrame:
 def mixture(documents: DataFrame, plan: list[dict]) -> DataFrame:
     """doc_id, copy_no, source, text, shuffle_key in global random order: each document as often as drawn."""
     rows = documents.select("doc_id", canonical_source(F.col("source")).alias("source"), "text").where(F.col("doc_id").isNotNull())
-    drawn = with_plan(rows, plan).withColumn("n", F.size(F.filter("thresholds", lambda t: t <= _uniform(F.col("seed"))))).where(F.col("n") > 0)
+    drawn = with_plan(rows, plan).withColumn("n", _count(F.col("seed"))).where(F.col("n") > 0)
     copies = drawn.select("doc_id", F.explode(F.sequence(F.lit(1), "n")).alias("copy_no"), "source", "text")
     return copies.withColumn("shuffle_key", F.xxhash64("doc_id", "copy_no", F.lit("order"))).orderBy("shuffle_key", "doc_id", "copy_no")
 
@@ -139,7 +145,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, budget: int | None = N
     """
     counted = cut(count_tokens(documents, tokenizer))
     plan = plan_mixture(counted, targets, budget)
-    drawn = with_plan(counted, plan).withColumn("n", F.size(F.filter("thresholds", lambda t: t <= _uniform(F.col("seed")))))
+    drawn = with_plan(counted, plan).withColumn("n", _count(F.col("seed")))
     by = drawn.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n")).alias("tokens_mixed"), F.count(F.when(F.col("n") > 0, 1)).alias("documents"), F.sum("n").alias("copies"), F.max("n").alias("max_copies"))
     spark = documents.sparkSession
     listed = spark.createDataFrame([(p["source"], float(p["target_share"]), int(p["tokens"])) for p in plan], "source string, target_share double, tokens_available bigint")
