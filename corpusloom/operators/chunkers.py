@@ -186,6 +186,7 @@ def parts(text: str, start_line: int, end_line: int, most: int = 800, legacy_lin
     return out
 
 
+_NO_TIME = -(2**63)  # a null among the times would turn a whole Python batch of them to floats
 _SPANS = "relative_path string, mtime_ns bigint, chunk_type string, locator string, whole string, text string, part int, start_line int, end_line int, symbol_path string, heading_path string"
 
 
@@ -201,7 +202,7 @@ def _chunk_batches(settings: Settings, extra: tuple[str, ...]) -> Callable:
                 for s in spans(path, read_text(content), **sizes):
                     pieces = parts(s.text, s.start_line, s.end_line, settings.max_chunk_chars, settings.legacy_lines) if split else [Part(0, s.text, s.start_line, s.end_line)]
                     for p in pieces:
-                        out.append((*key, path, None if pd.isna(mtime) else int(mtime), s.chunk_type, s.locator, s.text if p.number else None, p.text, p.number, p.start_line, p.end_line, s.symbol_path, s.heading_path))
+                        out.append((*key, path, int(mtime), s.chunk_type, s.locator, s.text if p.number else None, p.text, p.number, p.start_line, p.end_line, s.symbol_path, s.heading_path))
             yield pd.DataFrame(out, columns=names)
 
     return run
@@ -216,9 +217,10 @@ def chunk_files(files: DataFrame, settings: Settings = Settings(), keys: tuple[s
     if "split" not in files.columns:
         files = files.withColumn("split", F.lit(True))
     path = paths.posix(F.col("relative_path"))
-    chosen = files.select(*keys, path.alias("relative_path"), "mtime_ns", "content", "split").where(F.col("relative_path").isNotNull() & paths.is_text_like(F.col("relative_path")) & paths.should_index(F.col("relative_path"), settings.include_globs, settings.excludes))
+    chosen = files.select(*keys, path.alias("relative_path"), F.coalesce("mtime_ns", F.lit(_NO_TIME)).alias("mtime_ns"), "content", F.coalesce("split", F.lit(True)).alias("split")).where(F.col("relative_path").isNotNull() & paths.is_text_like(F.col("relative_path")) & paths.should_index(F.col("relative_path"), settings.include_globs, settings.excludes))
     kinds = "".join(f"{k} string, " for k in keys)
     found = chosen.mapInPandas(_chunk_batches(settings, keys), kinds + _SPANS)
+    found = found.withColumn("mtime_ns", F.nullif("mtime_ns", F.lit(_NO_TIME)))
     whole = F.coalesce("whole", "text")
     base = hashing.point_id(F.col("relative_path"), F.col("locator"), whole)
     is_part = F.col("part") > 0
