@@ -57,6 +57,11 @@ def posix(path: Column) -> Column:
     return F.translate(path, "\\", "/")
 
 
+def known_time(mtime_ns: str = "mtime_ns") -> Column:
+    """A null time is least. Python batches with nulls would turn all times to floats and lose their last digits."""
+    return F.coalesce(mtime_ns, F.lit(-(2**63))).alias("mtime_ns")
+
+
 def latest(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
     """The row with the greatest `order` per key, by a partial aggregate instead of a window sort."""
     best = F.max(F.struct(*order, *[v for v in values if v not in order])).alias("_b")

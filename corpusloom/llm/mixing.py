@@ -104,7 +104,11 @@ def plan_mixture(counted: DataFrame, targets: DataFrame, budget: int | None = No
         raise ValueError("too many sources")
     whole = sum(r["target_share"] for r in rows)
     have = {r["source"]: r["n"] for r in counted.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect() if r["source"] in {x["source"] for x in rows}}
-    plan = [{"source": r["source"], "target_share": r["target_share"] / whole, "max_repeats": max(1, r["max_repeats"] or 1), "tokens": have.get(r["source"]) or 0} for r in rows]
+    wanted: dict[str, list] = {}
+    for r in rows:  # spellings of one source add up
+        old = wanted.setdefault(r["source"], [0.0, 1])
+        wanted[r["source"]] = [old[0] + r["target_share"] / whole, max(old[1], r["max_repeats"] or 1)]
+    plan = [{"source": name, "target_share": share, "max_repeats": most, "tokens": have.get(name) or 0} for name, (share, most) in sorted(wanted.items())]
     reach = [p["tokens"] * p["max_repeats"] / p["target_share"] for p in plan if p["tokens"]]
     size = min([*reach, *([budget] if budget else [])], default=0)
     for p in plan:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, latest, posix, spread
+from .common import cut, known_time, latest, posix, spread
 from .parsing import decode
 
 _COMMENT = re.compile(r"^\s*(?:#|//|--|/\*|\*|<!--|;|%|\"\"\"|'''|REM\b)")
@@ -129,7 +129,7 @@ def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for repo, path, mtime, content in zip(batch["repo_key"], batch["relative_path"], batch["mtime_ns"], batch["content"]):
             text = decode(content)
             kind, third, _ = judge(path, text)
-            out.append((repo, path, None if pd.isna(mtime) else int(mtime), kind, third, b"" if kind and not third else line_hashes(text)))
+            out.append((repo, path, int(mtime), kind, third, b"" if kind and not third else line_hashes(text)))
         yield pd.DataFrame(out, columns=["repo_key", "relative_path", "mtime_ns", "kind", "third_party", "lines"])
 
 
@@ -148,7 +148,7 @@ def classify_files(files: DataFrame, most_share: float = 0.5, least_containment:
     the others keeps vendored. The current version has the greatest mtime_ns (null is least, ties are equal
     rows). Null paths are left out, a null repo_key is a repository of its own, null content is an empty file.
     """
-    rows = files.select("repo_key", posix("relative_path").alias("relative_path"), "mtime_ns", "content").where(F.col("relative_path").isNotNull())
+    rows = files.select("repo_key", posix("relative_path").alias("relative_path"), known_time(), "content").where(F.col("relative_path").isNotNull())
     read = spread(rows).mapInPandas(_read_batches, _READ)
     current = latest(read, ["repo_key", "relative_path"], ["mtime_ns"], ["mtime_ns", "kind", "third_party", "lines"])
     current = cut(current.withColumn("file", F.xxhash64("repo_key", "relative_path")).withColumn("repo", F.xxhash64(F.coalesce("repo_key", F.lit("\0")))))

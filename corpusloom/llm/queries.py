@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from . import leakage, mixing, near_duplicates, neighbours, parsing, provenance, quality, secrets, splitting
 from .common import CHUNK_LIMIT, table
+from .sql import ORACLE  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 
 # The chunk vectors have no structure below a cosine of 0.7: their tenth neighbour is hardly nearer than chance.
-WIDE = {"probes": 0.45, "centroids": 32}
+WIDE = {"probes": 0.55, "centroids": 32}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -70,7 +70,7 @@ _HEADER_LINE = re.compile(r"\s*(?:Proc-Type|DEK-Info|Comment|Version):")
 _B64 = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z0-9+/]{12,}={0,2}|[A-Za-z0-9_-]{16,}={0,2})(?![A-Za-z0-9+/_=-])")
 _HEX = re.compile(r"(?<![A-Za-z0-9])(?:0x)?((?:[0-9a-f]{2}){8,}|(?:[0-9A-F]{2}){8,})(?![A-Za-z0-9])")
 _HEX_RUN = re.compile(r"[0-9a-fA-F]{16}")
-_PERCENT = re.compile(r"[A-Za-z0-9._~+=/@:!$&*-]*(?:%[0-9A-Fa-f]{2}[A-Za-z0-9._~+=/@:!$&*-]*){2,}")
+_PERCENT = re.compile(r"(?<![A-Za-z0-9._~+=/@:!$&*%-])[A-Za-z0-9._~+=/@:!$&*-]*(?:%[0-9A-Fa-f]{2}[A-Za-z0-9._~+=/@:!$&*-]*){2,}")
 _ESCAPED = re.compile(r"(?:\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\[0-7]{3}){4,}")
 
 _PLACEHOLDER = re.compile(
