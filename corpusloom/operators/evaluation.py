@@ -12,14 +12,13 @@ from pyspark.sql import functions as F
 def hit_at_k(results: DataFrame, queries: DataFrame, k: int = 3, run: tuple[str, ...] = ()) -> DataFrame:
     """run..., name, hit_top_k: whether one of the first k paths is expected. Null or empty expectations give null.
 
-    results: run..., name, relative_path, position (from 1). Queries without results are misses.
+    results: run..., name, relative_path, position (from 1). Without `run`, queries that
+    have no results are misses; with it, the queries of a run are those it has results for.
     """
     top = results.where(F.col("position") <= k).groupBy(*run, "name").agg(F.collect_set("relative_path").alias("_paths"))
     wanted = F.col("expected_any")
     known = wanted.isNotNull() & (F.size(wanted) > 0)
-    base = results.select(*run).distinct().join(queries, how="cross") if run else queries
-    if run:  # the runs are few and the queries a fixed set: one row for each pair is the result itself
-        base = results.select(*run, "name").distinct().join(F.broadcast(queries), "name")
+    base = results.select(*run, "name").distinct().join(queries, "name") if run else queries
     hit = F.coalesce(F.arrays_overlap("_paths", wanted), F.lit(False))
     return base.join(top, [*run, "name"], "left").select(*run, "name", F.when(known, hit).alias("hit_top_k"))
 
