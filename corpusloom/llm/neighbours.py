@@ -145,50 +145,49 @@ def _probes(books: Codebooks, probes: int | float) -> Callable:
     return run
 
 
-def _best(q: np.ndarray, e: np.ndarray, cos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first k rows of each q by cosine, then e."""
-    order = np.lexsort((e, -cos, q))
-    q, e, cos = q[order], e[order], cos[order]
-    starts = np.r_[True, q[1:] != q[:-1]]
-    rank = np.arange(len(q)) - np.maximum.accumulate(np.where(starts, np.arange(len(q)), 0))
-    keep = rank < k
-    return q[keep], e[keep], cos[keep]
-
-
 def _match(k: int, min_cosine: float) -> Callable:
+    """Rerank the entries of a block for its queries: cells as matrix products in single precision, with a running
+    list of the k best for each query whose floor skips rows that cannot enter; the lists in double precision.
+    """
+
     def run(entries: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"key": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float64")})
         if not len(entries) or not len(queries):
             return empty
-        entries = entries.sort_values("c2", kind="stable")
+        entries = entries.sort_values(["c2", "key"], kind="stable")
         e_unit, e_key, c2 = _unit(list(entries["vec"])), entries["key"].to_numpy(), entries["c2"].to_numpy()
         q_unit, q_key = _unit(list(queries["vec"])), queries["key"].to_numpy()
+        e_single, q_single = e_unit.astype(np.float32), q_unit.astype(np.float32)
         lists = [np.frombuffer(x, dtype="<i2") for x in queries["c2s"]]
         cell, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
         order = cell.argsort(kind="stable")
         cell, owner = cell[order], owner[order]
-        found = []
+        least = min_cosine - 1e-5
+        score = np.full((len(q_key), k), -np.inf, dtype=np.float32)
+        place = np.zeros((len(q_key), k), dtype=np.int64)
         for c in np.unique(c2):
             lo, hi = np.searchsorted(c2, [c, c + 1])
             a, b = np.searchsorted(cell, [c, c + 1])
-            keys = e_key[lo:hi]
-            step = max(1, 4_000_000 // (hi - lo))
+            step = max(1, 2_000_000 // (hi - lo))
             for at in range(a, b, step):
                 who = owner[at : min(b, at + step)]
-                cos = q_unit[who] @ e_unit[lo:hi].T
-                cos[q_key[who][:, None] == keys[None, :]] = -2
-                if cos.shape[1] > k:
-                    floor = np.partition(cos, cos.shape[1] - k, axis=1)[:, -k][:, None]
-                    hit = (cos >= floor) & (cos >= min_cosine)
-                else:
-                    hit = cos >= min_cosine
-                r, s = np.nonzero(hit)
-                if len(r):
-                    found.append(_best(q_key[who[r]], keys[s], cos[r, s], k))
-        if not found:
-            return empty
-        q, e, cos = _best(*(np.concatenate(x) for x in zip(*found)), k)
-        return pd.DataFrame({"key": q, "other": e, "cosine": cos})
+                cos = q_single[who] @ e_single[lo:hi].T
+                cos[q_key[who][:, None] == e_key[lo:hi][None, :]] = -np.inf
+                floor = score[who].min(axis=1)
+                rows = np.flatnonzero(cos.max(axis=1) > np.maximum(floor, least))
+                if not len(rows):
+                    continue
+                who, cos = who[rows], cos[rows]
+                both = np.concatenate([score[who], cos], axis=1)
+                where = np.concatenate([place[who], np.broadcast_to(np.arange(lo, hi), cos.shape)], axis=1)
+                top = np.argpartition(-both, k - 1, axis=1)[:, :k]
+                score[who] = np.take_along_axis(both, top, axis=1)
+                place[who] = np.take_along_axis(where, top, axis=1)
+        q, n = np.nonzero(score > least)
+        e = place[q, n]
+        exact = np.concatenate([np.einsum("ij,ij->i", q_unit[q[x : x + 65_536]], e_unit[e[x : x + 65_536]]) for x in range(0, len(q), 65_536)]) if len(q) else np.empty(0)
+        keep = exact >= min_cosine
+        return pd.DataFrame({"key": q_key[q[keep]], "other": e_key[e[keep]], "cosine": exact[keep]})
 
     return run
 
@@ -198,8 +197,8 @@ def similar_vectors(rows: DataFrame, k: int = 10, min_cosine: float = -1.0, prob
 
     `probes` is a number of cells, or as a float below 1 a share of all cells: near neighbours (cosine over 0.8)
     lie in the first few cells at any size, while neighbours hardly nearer than chance need a large share.
-    Ties go to the smaller neighbour_id; between equally near groups of copies at the very cut, to the smaller
-    vector key. Lone vectors and empty input give no rows. Results are approximate by the probing only: see
+    Ties go to the smaller neighbour_id; between equally near groups of copies at the very cut, to the one the
+    index meets first, which is the same in every run. Lone vectors and empty input give no rows. Results are approximate by the probing only: see
     `recall` for the measured share.
     """
     all_rows = cut(packed(valid_vectors(rows)))

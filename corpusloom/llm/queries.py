@@ -14,7 +14,7 @@ from .sql import ORACLE  # noqa: F401
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 # The chunk vectors have no structure below a cosine of 0.7: their tenth neighbour is hardly nearer than chance.
-WIDE = {"probes": 0.55, "centroids": 32}
+WIDE = {"probes": 0.5, "centroids": 32}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -52,8 +52,8 @@ _USER_FLAG = re.compile(r"(?:^|\s)(?:-u|--user)[ =][\"']?([^\s:\"']+):([^\s\"']+
 
 # What follows a name: rest of the name, closing quotes, a separator, opening quotes, the value.
 _AFTER = re.compile(
-    r"(?i)[\w.-]*\\{0,3}(?P<close>[\"'`\])]{0,2})[ \t]*(?P<sep>:=|=>|==?|:|,|(?:is|as|by|ist|es|lautet)\b|(?=[ \t\"'`]))[ \t]*"
-    r"[(\[{]?(?:[bru]?\\{0,3}(?P<quote>[\"'`]))?(?:(?:Bearer|Basic)[ ]+)?(?P<value>[^\s\"'`,;<>]{6,})"
+    r"(?i)[\w.-]{0,120}\\{0,3}(?P<close>[\"'`\])]{0,2})[ \t]*(?P<sep>:=|=>|==?|:|,|(?:is|as|by|ist|es|lautet)\b|(?=[ \t\"'`]))[ \t]*"
+    r"[(\[{]?(?:[bru]?\\{0,3}(?P<quote>[\"'`]))?(?:(?:Bearer|Basic)[ ]+)?(?P<value>[^\s\"'`,;<>]{6,600})"
 )
 _SQL = re.compile(r"(?i)\b(?:PASSWORD|IDENTIFIED\s+BY)\s+'(?P<value>[^']{6,})'")
 _SECURE = re.compile(r"(?i)ConvertTo-SecureString\s+(?:-String\s+)?[\"'](?P<value>[^\"']{6,})[\"']")
@@ -304,7 +304,7 @@ def _named(text: str, begin: int, end: int) -> Iterator[Hit]:
         return
     value, start = m["value"], m.start("value")
     line_end = text.find("\n", start)
-    line_end = len(text) if line_end < 0 else line_end
+    line_end = min(len(text) if line_end < 0 else line_end, start + 600)  # a longer value is none
     joined = _JOINED.match(text, m.start("quote"), line_end) if m["quote"] in ("'", '"') else None
     if joined:
         pieces = list(_PIECE.finditer(text, joined.start(), joined.end()))
@@ -327,7 +327,7 @@ def _named(text: str, begin: int, end: int) -> Iterator[Hit]:
 def find_in_text(text: str) -> list[Hit]:
     """Merged, sorted spans of secret characters. The kind of a merged span is that of its first hit."""
     out: list[Hit] = []
-    for h in sorted(set(_scan(text))):
+    for h in sorted(h for h in set(_scan(text)) if text[h.start : h.end] != MARK):
         if out and h.start < out[-1].end:
             out[-1] = Hit(out[-1].start, max(out[-1].end, h.end), out[-1].kind)
         else:
