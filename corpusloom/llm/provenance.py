@@ -53,6 +53,24 @@ _ESCAPES = re.compile(r"\\x[0-9a-fA-F]{2}")
 CODE = ("py", "sql", "sh", "ps1", "js", "ts")
 
 
+def leading_comments(text: str) -> list[str]:
+    """The comment lines and module docstring before the first line of code, at most HEAD_LINES lines down."""
+    out, quote = [], ""
+    for line in text.split("\n", HEAD_LINES)[:HEAD_LINES]:
+        bare = line.strip()
+        if quote:
+            out.append(line)
+            quote = "" if quote in bare else quote
+        elif _COMMENT.match(line):
+            out.append(line)
+            mark = bare[:3]
+            if mark in ('"""', "'''") and mark not in bare[3:]:
+                quote = mark
+        elif bare:
+            break
+    return out
+
+
 def line_shape(line: str) -> str:
     """A line with its literals and names replaced: what a template would leave alike."""
     return _NAME.sub("w", _NUMBER.sub("9", _STRING.sub("s", line.strip())))
@@ -75,7 +93,8 @@ def composition(text: str) -> dict[str, float]:
         "digits": sum(map(text.count, "0123456789")) / total,
         "blob": sum(len(m) for m in _BLOB.findall(text) if not m.islower() and re.search(r"\d", m)) / total,
         "escapes": 4 * len(_ESCAPES.findall(text)) / total,
-        "top_shapes": sum(sorted(shapes.values(), reverse=True)[:3]) / n,
+        # Named constants, one a line, are written by hand however alike they look.
+        "top_shapes": sum(sorted((k for s, k in shapes.items() if s != "w = 9"), reverse=True)[:3]) / n,
         "shapes": len(shapes) / n,
     }
 
@@ -83,7 +102,7 @@ def composition(text: str) -> dict[str, float]:
 def judge(path: str, text: str) -> tuple[str | None, bool, dict[str, float]]:
     """(generated, minified, data or None; whether the file itself carries marks of a third party; composition)."""
     suffix = path.rsplit(".", 1)[-1].lower()
-    head = text.split("\n", HEAD_LINES + 1)[:HEAD_LINES]
+    head = leading_comments(text)
     prose = suffix in ("md", "rst", "txt")
     third = not prose and (any(_THIRD_PARTY.search(x) for x in head) or bool(_VENDOR_FOLDER.search(path)))
     c = composition(text)
@@ -91,7 +110,7 @@ def judge(path: str, text: str) -> tuple[str | None, bool, dict[str, float]]:
 
 
 def _kind(path: str, suffix: str, text: str, head: list[str], prose: bool, c: dict[str, float]) -> str | None:
-    if any(_COMMENT.match(x) and _GENERATED.search(x) for x in head) and not prose:
+    if any(_GENERATED.search(x) for x in head) and not prose:
         return "generated"
     if prose:
         return None
