@@ -94,6 +94,12 @@ def _score_batches(taken: list[tuple], k: int, block: int, id_column: str, vecto
     return run
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores (one small file) is dealt out; a larger one keeps its own splits."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= n else rows.repartition(n)
+
+
 def postings(rows: DataFrame, id_column: str = "chunk_id", text_column: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., id, term, tf, dl): the token bags, ready to be stored and read by many queries."""
     bags = rows.select(*by, id_column, text.tokens(F.coalesce(text_column, F.lit(""))).alias("_t"))
@@ -111,6 +117,7 @@ def bm25(rows: DataFrame, query: str, id_column: str = "chunk_id", text_column:
     by = tuple(by)
     grouped = list(by) if by else ["_all"]
     base = rows if by else rows.withColumn("_all", F.lit(0))
+    base = spread(base.select(*grouped, id_column, text_column))
     bags = base.select(*grouped, id_column, text.tokens(F.coalesce(text_column, F.lit(""))).alias("_t")).withColumn("dl", F.size("_t"))
     corpus = bags.groupBy(*grouped).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     vocabulary = bags.select(*grouped, F.explode(F.array_distinct("_t")).alias("term")).groupBy(*grouped, "term").agg(F.count("*").alias("df"))
@@ -120,7 +127,9 @@ def bm25(rows: DataFrame, query: str, id_column: str = "chunk_id", text_column:
     idf = F.when(F.col("raw_idf") >= 0, F.col("raw_idf")).otherwise(EPSILON * F.col("mean_idf"))
     # At most the distinct query terms a group: the map of idf travels to the rows.
     table = wanted.groupBy(*grouped).agg(F.map_from_entries(F.collect_list(F.struct("term", idf))).alias("idf"))
-    scored = bags.join(F.broadcast(corpus.join(table, grouped, "left")), grouped)
+    # One pass over a bag keeps the few tokens the query asks for; the terms are counted among those.
+    asked = F.filter("_t", lambda t: t.isin(list(words) or [""]))
+    scored = bags.withColumn("_t", asked).join(F.broadcast(corpus.join(table, grouped, "left")), grouped)
     score = F.lit(0.0)
     for word, times in sorted(words.items()):
         tf = _times("_t", word)

@@ -13,7 +13,7 @@ ODD = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2009\u2028\u2029\u20
 
 def strings(n=400):
     r = random.Random(7)
-    alphabet = list("abZ9_./:-") + list(ODD) + list("яЁёéÜ日😀\"'#")
+    alphabet = list("abZ9_./:-") + list(ODD) + list("яЁёéÜ日😀İKıſ\"'#")
     return ["", *("".join(r.choices(alphabet, k=r.randrange(0, 60))) for _ in range(n)), "x" * 281, "x" * 280, ("a " * 200)]
 
 
