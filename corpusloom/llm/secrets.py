@@ -63,8 +63,9 @@ _PIECE = re.compile(r"[\"']([^\"'\n]*)[\"']")
 
 _BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY(?: BLOCK)?-----")
 _END = re.compile(r"-----END ((?:[A-Z0-9]+ )*)PRIVATE KEY(?: BLOCK)?-----")
-_BODY = re.compile(r"[A-Za-z0-9+/=]{4,}")
-_KEY_LINE = re.compile(r"\s*(?:[#*/\-\"'+ ]{0,6})([A-Za-z0-9+/]{16,}={0,2})[\"'\\n,+ ]*\r?$")
+# Body characters: long runs anywhere, and a short last line by itself.
+_BODY = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{16,}={0,2}|(?m:^[ \t\"'#*/+]*)(?P<last>[A-Za-z0-9+/]{2,}={1,2}|[A-Za-z0-9+/]{4,})(?m:[ \t\"'+,]*\r?$)")
+_KEY_LINE = re.compile(r"\s*(?:[#*/\-\"'+ ]{0,6})([A-Za-z0-9+/]{16,}={0,2})(?:[\"'\\n,+ ]*\r?$|(?<=[A-Za-z0-9+/=]{40}) )")
 _HEADER_LINE = re.compile(r"\s*(?:Proc-Type|DEK-Info|Comment|Version):")
 
 _B64 = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z0-9+/]{12,}={0,2}|[A-Za-z0-9_-]{16,}={0,2})(?![A-Za-z0-9+/_=-])")
@@ -225,7 +226,8 @@ def _key_blocks(text: str) -> Iterator[Hit]:
         following = _BEGIN.search(text, m.end())
         if stop is not None and (following is None or stop < following.start()):
             for b in _BODY.finditer(re.sub(r"\\[nrt]", "  ", text[m.end() : stop])):
-                yield Hit(m.end() + b.start(), m.end() + b.end(), "private_key")
+                lo, hi = b.span("last") if b["last"] else b.span()
+                yield Hit(m.end() + lo, m.end() + hi, "private_key")
             at = stop
             continue
         pos = m.end()
@@ -308,7 +310,8 @@ def _named(text: str, begin: int, end: int) -> Iterator[Hit]:
     joined = _JOINED.match(text, m.start("quote"), line_end) if m["quote"] in ("'", '"') else None
     if joined:
         pieces = list(_PIECE.finditer(text, joined.start(), joined.end()))
-        if looks_random("".join(p[1] for p in pieces), name):
+        whole = "".join(p[1] for p in pieces)
+        if looks_random(whole, name) or _FORMATS.fullmatch(whole):
             for p in pieces:
                 yield Hit(p.start(1), p.end(1), "secret")
         return

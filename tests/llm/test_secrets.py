@@ -71,6 +71,13 @@ def test_key_blocks():
     assert values('K = "' + PEM.replace("\n", "\\n") + '"') == body
 
 
+def test_key_blocks_with_prose_in_them():
+    body = PEM.split("\n")[1:3]
+    noisy = PEM.replace(body[0], body[0] + " The idea is that it waits.").replace(body[1], "Some prose stands here.\n" + body[1] + "\nAb3=")
+    assert values(noisy) == [*body, "Ab3="]
+    assert values(noisy.rsplit("Some prose", 1)[0]) == body[:1]
+
+
 def test_layers():
     plain = "Pore=8324DGmtb"
     layer = base64.b64encode(plain.encode()).decode()
@@ -107,6 +114,7 @@ def test_key_containers():
 
 def test_joined_pieces_and_redaction():
     text = 'service_token = "lFSWcP" + "IUFZMHEiKe0sxDb6KnpWrBuUuh"\nx = 1\n' + PEM
+    assert values('smtp_pass = "eyJhbGciO" + "iJIUzI1NiJ9.eyJzdWIiOiAiemFzYXRpIiwgImlhdCI6.RKSjvn49FKOJOR9__nwGboex"') == ["eyJhbGciO", "iJIUzI1NiJ9.eyJzdWIiOiAiemFzYXRpIiwgImlhdCI6.RKSjvn49FKOJOR9__nwGboex"]
     hits = S.find_in_text(text)
     done = S.redact_text(text, hits)
     assert done.split("\n")[:2] == ['service_token = "REDACTED" + "REDACTED"', "x = 1"]
