@@ -36,7 +36,7 @@ def default_repo_key(root: str | Path) -> str:
 class Settings:
     repo_root: str = "."
     repo_key: str | None = None
-    prefix: str = "repo_semantic"
+    prefix: str = "corpusloom"
     profile_name: str = "cpu_e5"
     embedding_backend: str = "hashing"
     embedding_model: str = "intfloat/multilingual-e5-small"

@@ -101,7 +101,7 @@ SELECT repo_key, chunk_id, content_hash, substr(h, 1, 8) || '-' || substr(h, 9,
     "prompts": "SELECT name, 'query: ' || query AS query_prompt, 'passage: ' || query AS document_prompt FROM search_queries",
     "payload_bytes": f"""WITH {_LATEST} SELECT repo_key, scope, sum(strlen(text) + strlen(relative_path) + strlen(language) + strlen(chunk_type) + strlen(array_to_string(domain_tags, '')) + 16 * 64 + 2048)::BIGINT AS bytes, count(*) AS n
 FROM latest GROUP BY ALL""",
-    "collection_names": """SELECT repo_key, scope, 'repo_semantic_' || s(repo_key) || '_' || s(profile_name) || '_' || s(embedding_model) || '_' || scope || '_v' || index_schema_version AS name
+    "collection_names": """SELECT repo_key, scope, 'corpusloom_' || s(repo_key) || '_' || s(profile_name) || '_' || s(embedding_model) || '_' || scope || '_v' || index_schema_version AS name
 FROM repositories, (SELECT unnest(['code', 'docs']) AS scope)""",
     "chunk_current_files": f"""WITH {_CURRENT}, c AS (SELECT DISTINCT c.repo_key, chunk_id, scope, c.relative_path, language, chunk_type, text, start_line, end_line, content_hash, symbol_path, heading_path,
     array_to_string(domain_tags, ',') AS domain_tags, extra['locator'] AS locator, extra['split_part'] AS split_part

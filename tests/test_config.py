@@ -9,7 +9,7 @@ def test_slug():
 
 def test_table_name_and_key(tmp_path):
     s = Settings(repo_key="My Repo", profile_name="cpu_e5", embedding_model="x/Small-64", index_schema_version=3)
-    assert s.table_name("code") == "repo_semantic_my_repo_cpu_e5_small_64_code_v3"
+    assert s.table_name("code") == "corpusloom_my_repo_cpu_e5_small_64_code_v3"
     key = default_repo_key(tmp_path)
     assert key.startswith(slug(tmp_path.name) + "_") and len(key.rsplit("_", 1)[1]) == 8
     assert Settings(repo_root=str(tmp_path)).key == key
