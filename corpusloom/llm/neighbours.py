@@ -145,9 +145,10 @@ def _probes(books: Codebooks, probes: int | float) -> Callable:
     return run
 
 
-def _match(k: int, min_cosine: float) -> Callable:
+def _match(k: int, min_cosine: float, both: bool) -> Callable:
     """Rerank the entries of a block for its queries: cells as matrix products in single precision, with a running
     list of the k best for each query whose floor skips rows that cannot enter; the lists in double precision.
+    With `both` a pair is given from either end, since what one side sees holds for the other.
     """
 
     def run(entries: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
@@ -178,16 +179,19 @@ def _match(k: int, min_cosine: float) -> Callable:
                 if not len(rows):
                     continue
                 who, cos = who[rows], cos[rows]
-                both = np.concatenate([score[who], cos], axis=1)
+                joint = np.concatenate([score[who], cos], axis=1)
                 where = np.concatenate([place[who], np.broadcast_to(np.arange(lo, hi), cos.shape)], axis=1)
-                top = np.argpartition(-both, k - 1, axis=1)[:, :k]
-                score[who] = np.take_along_axis(both, top, axis=1)
+                top = np.argpartition(-joint, k - 1, axis=1)[:, :k]
+                score[who] = np.take_along_axis(joint, top, axis=1)
                 place[who] = np.take_along_axis(where, top, axis=1)
         q, n = np.nonzero(score > least)
         e = place[q, n]
         exact = np.concatenate([np.einsum("ij,ij->i", q_unit[q[x : x + 65_536]], e_unit[e[x : x + 65_536]]) for x in range(0, len(q), 65_536)]) if len(q) else np.empty(0)
         keep = exact >= min_cosine
-        return pd.DataFrame({"key": q_key[q[keep]], "other": e_key[e[keep]], "cosine": exact[keep]})
+        a, b, exact = q_key[q[keep]], e_key[e[keep]], exact[keep]
+        if both:
+            a, b, exact = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([exact, exact])
+        return pd.DataFrame({"key": a, "other": b, "cosine": exact})
 
     return run
 
@@ -217,10 +221,9 @@ def similar_vectors(rows: DataFrame, k: int = 10, min_cosine: float = -1.0, prob
     entries = entries.withColumn("es", salt).withColumn("qs", every if hot else F.lit(0))
     queries = queries.withColumn("qs", salt).withColumn("es", every if hot else F.lit(0))
     keys = ["space", "c1", "es", "qs"]
-    near = entries.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(_match(k, min_cosine), "key bigint, other bigint, cosine double")
-    # A pair seen from one side holds for both.
+    near = entries.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(_match(k, min_cosine, min_cosine > 0), "key bigint, other bigint, cosine double")
     if min_cosine > 0:
-        near = near.unionByName(near.select(F.col("other").alias("key"), F.col("key").alias("other"), "cosine")).groupBy("key", "other").agg(F.max("cosine").alias("cosine"))
+        near = near.groupBy("key", "other").agg(F.max("cosine").alias("cosine"))
     top = near.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("cosine"), "other"))).where(F.col("r") <= k).select("key", "other", "cosine")
     # Copies: k + 1 members of a group are enough for anybody's k nearest.
     members = all_rows.select("key", "chunk_id")
