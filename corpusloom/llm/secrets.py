@@ -100,15 +100,46 @@ _LITERAL = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 _NAME_BEFORE = re.compile(r"[\w.$:-]*\Z")
 
 
-def looks_random(value: str, name: str = "") -> bool:
-    """A value no person writes as a word, path, variable, checksum or identifier."""
+# Letters as words have them: a first cluster, vowels between clusters, a last cluster.
+_WORDLIKE = re.compile(
+    r"(?:[b-df-hj-np-tv-z]|[bcfgkps]l|[bcdfgkptw]r|[cgpstw]h|s[ckmnptvw]|sch|s[cpt]r|s[hp][lr]|[dst]w|[gkp]n|ps|qu|squ|thr|chr|ts|zw)?[aeiouy]+(?:[b-df-hj-np-tv-z]{1,4}[aeiouy]+)*"
+    r"(?:[b-df-ik-np-tw-z]|ff|ll|ss|tt|zz|gg|nn|rr|mm|dd|mn|dth|phs|ngth|[cgpst]h|[dlnrs]t|ck|ct|ft|pt|xt|ght|tch|cht|sch|l[dfkmp]|lth|m[bp]|mpt|n[dgkcs]|n[ct]h|r[bcdfgklmnp]|r[ct]h|s[kmp]|t[sz]|w[nlk]|[bcdfgklmnprtw]s|(?:c[kt]|n[dgkt]|r[dkt]|ld|st|th)s)?"
+)
+_CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+_SHORT_WORDS = frozenset(
+    "a an as at be by do go if in is it me my no of ok on or to up us we api arg args attr aws btn cfg cli cmd cpu css csv ctx db dns dst env fn gpu html http https id idx io ip json jwt len md mgr msg num obj os passwd pdf ptr pwd ref rsa req res sdk sql src srv ssh ssl stderr stdin stdout str svc tcp tls tmp ui uri url utf uuid val var xml yaml".split()
+)
+_SEPARATORS = re.compile(r"[-_./=:,\\ ]+")
+
+
+def _is_words(part: str) -> bool:
+    """Whether the letters are mostly words, as in camel case and constants. Letters beyond ASCII are taken for words."""
+    if not part.isascii():
+        return True
+    pieces = [x.lower() for x in _CAMEL.findall(part)]
+    return sum(len(x) for x in pieces if x in _SHORT_WORDS or (len(x) > 2 and _WORDLIKE.fullmatch(x))) > 0.7 * sum(map(len, pieces))
+
+
+def _is_mixed(value: str) -> bool:
+    """Whether parts that are no words, numbers or short tags make up a value that keeps changing between two classes."""
+    parts = [x for x in _SEPARATORS.split(value) if not x.isdigit() and not (len(x) < 6 and (x.islower() or x.isupper())) and not (_CAMEL.search(x) and _is_words(x))]
+    size, turns = sum(map(len, parts)), sum(_kind(a) != _kind(b) for x in parts for a, b in zip(x, x[1:]))
+    return size >= 8 and (turns >= 3 or (turns == 2 and size >= 12 and len(set("".join(parts))) >= 10))
+
+
+def looks_random(value: str, name: str = "", strong: bool = False) -> bool:
+    """A value no person writes as a word, path, variable, checksum or identifier.
+
+    At a strong place (a login, a secret's name, an encoded literal) two of lower case, upper case and digits, or one
+    with symbols, are enough: a random password often lacks one.
+    """
     if len(value) < 8 or len(value) > 512 or len(set(value)) < 6 or _PLACEHOLDER.search(value) or _UUID.match(value) or _CALL.search(value):
         return False
     if _HEXES.match(value):
         return len(value) >= 20 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and not (len(value) in (64, 96, 128) or _CHECKSUM_NAME.search(name))
     lower, upper, digit = (any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit))
     if lower + upper + digit < 3:
-        return False
+        return strong and _is_mixed(value)
     if re.fullmatch(r"[A-Za-z]+(?:[-_ /.][A-Za-z]+)*[-_ .v]?\d{1,3}", value):  # words with a number behind
         return False
     turns = sum(_kind(a) != _kind(b) for a, b in zip(value, value[1:]))
@@ -213,7 +244,7 @@ def _layers(text: str, depth: int) -> Iterator[Hit]:
                 continue
         else:
             plain = content
-        if plain and plain != text[start:end] and (looks_random(plain.strip()) or any(True for _ in _scan(plain, depth + 1))):
+        if plain and plain != text[start:end] and (looks_random(plain.strip(), strong=True) or any(True for _ in _scan(plain, depth + 1))):
             yield Hit(start, end, "encoded")
 
 
@@ -291,7 +322,7 @@ def _scan(text: str, depth: int = 0) -> Iterator[Hit]:
             continue
         for m in {"sql": _SQL, "secure": _SECURE, "login": _LOGIN}[what].finditer(text, lo, hi):
             value, start = _login_value(m)
-            if looks_random(value) and not _HEXES.match(value):
+            if looks_random(value, strong=True) and not _HEXES.match(value):
                 yield Hit(start, start + len(value), {"sql": "sql_login", "secure": "password", "login": "login"}[what])
     yield from _layers(text, depth)
 
@@ -311,7 +342,7 @@ def _named(text: str, begin: int, end: int) -> Iterator[Hit]:
     if joined:
         pieces = list(_PIECE.finditer(text, joined.start(), joined.end()))
         whole = "".join(p[1] for p in pieces)
-        if looks_random(whole, name) or _FORMATS.fullmatch(whole):
+        if looks_random(whole, name, True) or _FORMATS.fullmatch(whole):
             for p in pieces:
                 yield Hit(p.start(1), p.end(1), "secret")
         return
@@ -322,7 +353,7 @@ def _named(text: str, begin: int, end: int) -> Iterator[Hit]:
     else:
         value = value.rstrip(").]}")
     value = value.rstrip("\\")
-    if "://" in value or not looks_random(value, name):
+    if "://" in value or not looks_random(value, name, True):
         return
     yield Hit(start, start + len(value), "secret")
 

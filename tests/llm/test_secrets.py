@@ -63,6 +63,32 @@ def test_not_found(text):
     assert values(text) == []
 
 
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ("PGPASSWORD=MlWvxAfPOMzyWNR psql -h x.example", "MlWvxAfPOMzyWNR"),
+        ("machine dabosa.example login bosa password paYNwMYMgyNKa", "paYNwMYMgyNKa"),
+        ("учётную запись mate, пароль: drahWoyiplVweO", "drahWoyiplVweO"),
+        ("# old login was kaka / dugEIFufK-HDVtrrp, remove later", "dugEIFufK-HDVtrrp"),
+        ("CREATE USER boba IDENTIFIED BY 'k3j9x2m4q8';", "k3j9x2m4q8"),
+        ("totp_secret: JBSWY3DPEHPK3PXP", "JBSWY3DPEHPK3PXP"),
+        ("x = '" + base64.b64encode(b"paYNwMYMgyNKa").decode() + "'", base64.b64encode(b"paYNwMYMgyNKa").decode()),
+    ],
+)
+def test_two_classes_at_strong_places(text, value):
+    assert values(text) == [value]
+    assert values(text.replace(value, "REDACTED")) == []
+
+
+def test_two_classes_in_pieces():
+    assert values('private_token_lane = "sino_ie" + "KCWSGOShtGkqOSuOeBhFbiLWOd"') == ["sino_ie", "KCWSGOShtGkqOSuOeBhFbiLWOd"]
+
+
+def test_words_at_strong_places():
+    words = "getUserPassword ConvertTo-SecureString Read-Host parseJSONValue HTTPServerError MAX_RETRIES_PER_USER maxTokenLength plan_bridge-2ric us-east-1a-prod2 k8s-prod-eu1-a2 AES256-GCM-SHA384 OAuthBearerToken cursor=147".split()
+    assert [w for w in words if values(f"password = {w}") or values(f'token: "{w}"') or values(f"login as x: {w}")] == []
+
+
 def test_key_blocks():
     body = PEM.split("\n")[1:3]
     assert values(PEM) == body
