@@ -3,10 +3,11 @@
 1. Each file is read once. Token composition decides what its text alone can tell: a generator's note in the head,
    a lock file, a machine's line shapes, minified lines, masses of literals.
 2. Vendored copies need the collection. The hashes of the files' lines form an inverted index that tells of each line
-   in how many repositories it stands and whether one of its files carries marks of a third party (a licence
-   head, a vendor folder). Lines of more than `most_share` of the repositories are boilerplate; the rest are
-   rare. A file without marks whose rare lines are contained to `least_containment` in marked files of other
-   repositories is a copy as well, edited or stripped of its head.
+   in how many files with marks of a third party (a licence head, a vendor folder) it stands, and in how many
+   repositories a file without marks holds it. Lines that unmarked files of more than `most_share` of the
+   repositories hold are boilerplate; the rest are rare. Every file's containment is measured: the share of its
+   rare lines that stand in other marked files. From `least_containment` it is a copy, edited or stripped of its
+   head; marks of its own say the same of a copy that has no marked twin.
 
 File bytes are never shuffled. The index carries hashes and file numbers only.
 """
@@ -148,7 +149,7 @@ def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for repo, path, mtime, content in zip(batch["repo_key"], batch["relative_path"], batch["mtime_ns"], batch["content"]):
             text = decode(content)
             kind, third, _ = judge(path, text)
-            out.append((repo, path, int(mtime), kind, third, b"" if kind and not third else line_hashes(text)))
+            out.append((repo, path, int(mtime), kind, third, line_hashes(text)))
         yield pd.DataFrame(out, columns=["repo_key", "relative_path", "mtime_ns", "kind", "third_party", "lines"])
 
 
@@ -164,7 +165,8 @@ def classify_files(files: DataFrame, most_share: float = 0.5, least_containment:
     """repo_key, relative_path (with `/`), kind, containment for the current version of every file.
 
     kind is generated, minified, data, vendored, or null for hand-written; a vendored file that is also one of
-    the others keeps vendored. The current version has the greatest mtime_ns (null is least, ties are equal
+    the others keeps vendored. containment is the share of a file's rare lines that stand in other files with marks
+    of a third party, for marked files as well; marks alone, without a twin, leave it at 0. The current version has the greatest mtime_ns (null is least, ties are equal
     rows). Null paths are left out, a null repo_key is a repository of its own, null content is an empty file.
     """
     rows = files.select("repo_key", posix("relative_path").alias("relative_path"), known_time(), "content").where(F.col("relative_path").isNotNull())
@@ -175,19 +177,18 @@ def classify_files(files: DataFrame, most_share: float = 0.5, least_containment:
     most = max(2, int(most_share * repositories))
     posting = current.select("file", "repo", "third_party", "lines").mapInPandas(_line_batches, "line bigint, file bigint, repo bigint, third_party boolean")
     # Per line and repository first: a repository with a third of all files adds one row for a line.
-    by_repo = posting.groupBy("line", "repo").agg(F.max("third_party").alias("marked"))
-    by_line = by_repo.groupBy("line").agg(F.count("*").alias("repos"), F.count(F.when(F.col("marked"), 1)).alias("marked_repos"), F.max(F.when(F.col("marked"), F.col("repo"))).alias("marked_repo"))
-    known = by_line.where(F.col("repos") > 1)
-    plain = posting.where(~F.col("third_party"))
-    foreign = (F.col("marked_repos") > 1) | ((F.col("marked_repos") == 1) & (F.col("marked_repo") != F.col("repo")))
+    by_repo = posting.groupBy("line", "repo").agg(F.count("*").alias("files"), F.count(F.when(F.col("third_party"), 1)).alias("marked"))
+    by_line = by_repo.groupBy("line").agg(F.sum("files").alias("files"), F.sum("marked").alias("marked"), F.count(F.when(F.col("files") > F.col("marked"), 1)).alias("plain_repos"))
+    known = by_line.where((F.col("plain_repos") > most) | ((F.col("marked") > 0) & (F.col("files") > 1))).select("line", "marked", "plain_repos")
     shares = (
-        plain.join(known, "line", "left")
-        .where(F.col("repos").isNull() | (F.col("repos") <= most))
+        posting.join(known, "line", "left")
+        .where(F.col("plain_repos").isNull() | (F.col("plain_repos") <= most))
         .groupBy("file")
-        .agg(F.count("*").alias("rare"), F.count(F.when(foreign, 1)).alias("shared"))
-        .where(F.col("shared") >= least_shared)
-        .select("file", (F.col("shared") / F.col("rare")).alias("containment"))
+        .agg(F.count("*").alias("rare"), F.count(F.when(F.col("marked") > F.col("third_party").cast("int"), 1)).alias("shared"))
+        .where(F.col("shared") > 0)
+        .select("file", "shared", (F.col("shared") / F.col("rare")).alias("containment"))
     )
     joined = current.join(shares, "file", "left")
-    vendored = F.col("third_party") | (F.coalesce("containment", F.lit(0.0)) >= least_containment)
-    return joined.select("repo_key", "relative_path", F.when(vendored, F.lit("vendored")).otherwise(F.col("kind")).alias("kind"), F.round(F.when(F.col("third_party"), 1.0).otherwise(F.coalesce("containment", F.lit(0.0))), 4).alias("containment"))
+    copied = (F.col("containment") >= least_containment) & (F.col("shared") >= least_shared)
+    vendored = F.coalesce(copied, F.lit(False)) | F.col("third_party")
+    return joined.select("repo_key", "relative_path", F.when(vendored, F.lit("vendored")).otherwise(F.col("kind")).alias("kind"), F.round(F.coalesce("containment", F.lit(0.0)), 4).alias("containment"))

@@ -97,6 +97,26 @@ def test_vendored_copies_without_marks(spark):
     assert {k for k, v in got.items() if v[0]} == {("r1", "apps/u/vendor/lib/a.py"), ("r2", "apps/x/copied.py")}
 
 
+def test_containment_is_measured_for_every_file(spark):
+    mark = "# Part of the lib library, upstream release 1.2\n"
+    everywhere = library(6)
+    rows = [
+        ("r1", "apps/vendor/one.py", mark + library(1)),
+        ("r1", "apps/x/same_repository.py", library(1)),
+        ("r2", "apps/y/alone.py", mark + library(4)),
+        ("r3", "apps/y/twin.py", mark + library(5)),
+        ("r4", "apps/y/twin.py", mark + library(5) + library(7)),
+        *[(f"r{i}", "libs/spread.py", mark + everywhere) for i in range(1, 6)],
+        ("r6", "libs/stripped.py", everywhere),
+    ]
+    df = spark.createDataFrame([(a, b, c.encode(), 1, "clash", None) for a, b, c in rows], FILES)
+    got = {(r["repo_key"], r["relative_path"]): (r["kind"], r["containment"]) for r in P.classify_files(df).collect()}
+    assert {k for k, _ in got.values()} == {"vendored"}
+    assert got[("r1", "apps/x/same_repository.py")][1] == got[("r6", "libs/stripped.py")][1] == 1
+    assert got[("r2", "apps/y/alone.py")][1] < 0.1 and got[("r3", "apps/y/twin.py")][1] == 1
+    assert 0.4 < got[("r4", "apps/y/twin.py")][1] < 0.6
+
+
 def test_edges(spark):
     t = 1759000000123456789
     rows = [
