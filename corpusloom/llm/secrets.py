@@ -12,7 +12,6 @@ Redaction replaces only the characters of the values, so quotes, separators and
 from __future__ import annotations
 
 import base64
-import binascii
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -96,7 +95,9 @@ for _what, _words in _WORDS.items():
     for _word in _words:
         _FINDER.add_word(_word, (_what, len(_word)))
 _FINDER.make_automaton()
-_LITERAL = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+_LITERAL = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
+_LITERAL_CHAR = re.compile(r"[A-Za-z0-9+/_-]")
+_UNREADABLE = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 _NAME_BEFORE = re.compile(r"[\w.$:-]*\Z")
 
 
@@ -203,6 +204,40 @@ def _readable(raw: bytes) -> str | None:
     return text if len(text) >= 6 and all(c.isprintable() or c in "\r\n\t" for c in text) else None
 
 
+def _may_be_base64(s: str) -> bool:
+    return not (s.islower() or (s.isupper() and not s.endswith("=")) or _HEXES.match(s))
+
+
+def _unpadded(bare: str) -> bytes:
+    return base64.b64decode(bare + "=" * (-len(bare) % 4))
+
+
+def _after_prefix(s: str, bare: str) -> Iterator[tuple[int, bytes]]:
+    """(start, content) of what follows a `-` or `_` and decodes to text or begins like a key container.
+
+    Places that are a multiple of four apart decode to the same bytes, so four decodings serve all of them.
+    """
+    for turn in range(4):
+        starts = [i + 1 for i in range(turn, len(bare) - 12, 4) if s[i] in "-_"]
+        if not starts or (len(bare) - starts[0]) % 4 == 1:
+            continue
+        raw = _unpadded(bare[starts[0] :])
+        bad = max((m.start() for m in _UNREADABLE.finditer(raw)), default=-1)
+        for at in starts:
+            lo = (at - starts[0]) // 4 * 3
+            if raw[lo] == 0x30 or raw.startswith(b"openssh-key-v1\0", lo):
+                yield at, raw[lo:]
+            if lo > bad:
+                try:
+                    raw[lo:].decode()
+                except UnicodeDecodeError as e:
+                    bad = lo + e.start
+                    continue
+                if _may_be_base64(s[at:]):
+                    yield at, raw[lo:]
+                break
+
+
 def _decoded(text: str) -> Iterator[tuple[int, int, str | bytes]]:
     """(start, end, content) of literals that decode, one layer."""
     for m in _HEX.finditer(text) if _HEX_RUN.search(text) else ():
@@ -213,16 +248,17 @@ def _decoded(text: str) -> Iterator[tuple[int, int, str | bytes]]:
             if _readable(raw):
                 yield m.start(), m.end(), raw
     for m in _LITERAL.finditer(text):
-        s = m[0]
-        if s.islower() or (s.isupper() and not s.endswith("=")) or _HEXES.match(s) or not _B64.fullmatch(s):
+        start, end, s = m.start(), m.end(), m[0]
+        if s[-1] == "=" and _LITERAL_CHAR.match(text, end):
+            s = s.rstrip("=")  # it stands between a name and a value
+            end = start + len(s)
+        if not _may_be_base64(s):
             continue
         bare = s.rstrip("=").replace("-", "+").replace("_", "/")
-        if len(bare) % 4 == 1:
-            continue
-        try:
-            yield m.start(), m.end(), base64.b64decode(bare + "=" * (-len(bare) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            pass
+        if _B64.fullmatch(s) and len(bare) % 4 != 1:
+            yield start, end, _unpadded(bare)
+        for at, raw in _after_prefix(s, bare) if "-" in s or "_" in s else ():
+            yield start + at, end, raw
     for m in _PERCENT.finditer(text) if "%" in text else ():
         yield m.start(), m.end(), unquote(m[0])
     for m in _ESCAPED.finditer(text) if "\\" in text else ():

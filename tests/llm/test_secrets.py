@@ -117,6 +117,20 @@ def test_layers():
     assert values(f'data = "{words}"') == []
 
 
+def test_base64_after_a_name_or_prefix():
+    layer = "cGFzc3dvcmQ9WDlrUTJ2THB3N1o="
+    safe = base64.urlsafe_b64encode("password=Xя9kQ2>>?vLpw7Z".encode()).decode()
+    assert "-" in safe or "_" in safe
+    for value in (layer, layer.rstrip("="), safe):
+        for before in ("SERVICE_CFG=", "ENV SERVICE_CONFIGURATION=", "a.service.configuration==", "--cfg-", "cfg_", "-", "x-y_z-12-"):
+            assert values(before + value) == [value], before
+    assert values("SERVICE_CFG=" + base64.b64encode(b"nothing but plain words here").decode()) == []
+    key = base64.b64encode(_der(0x30, _der(2, b"\0"), _der(0x30, _der(6, b"\x2a\x86\x48"), _der(5)), _der(4, b"\x07" * 80))).decode()
+    assert values("SERVICE_BLOB=" + key) == values("blob-" + key) == [key]
+    for text in ("aB-" * 100_000, "aB3d-_" * 50_000, "Ab=" * 100_000, "MIIE_" * 60_000):
+        S.find_in_text(text)
+
+
 def _der(tag, *parts):
     body = b"".join(parts)
     n = len(body)
