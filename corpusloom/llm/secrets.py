@@ -2,8 +2,8 @@
 
 Detectors look for secret values by format (cloud and service tokens, signed web tokens), by place (URL logins,
 private key blocks, machine/login/password lines) and by name (a value that looks random next to a name such as
-password, token or key). Literals in base64, hex, percent or backslash escapes are decoded and scanned again, up
-to `MAX_LAYERS` deep; a hit inside marks the enclosing literal. Binary literals are parsed as key containers
+password, token or key). Literals in base64, hex, percent or backslash escapes are decoded and scanned again until
+nothing decodes; a hit inside marks the enclosing literal. Binary literals are parsed as key containers
 (DER PKCS#1, PKCS#8, SEC1, OpenSSH): a private one is a secret, a public one is not.
 
 Redaction replaces only the characters of the values, so quotes, separators and line structure stay.
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from .common import spread
 
-MAX_LAYERS = 4
 MARK = "REDACTED"
 
 
@@ -54,6 +53,9 @@ _AFTER = re.compile(
     r"(?i)[\w.-]{0,120}\\{0,3}(?P<close>[\"'`\])]{0,2})[ \t]*(?P<sep>:=|=>|==?|:|,|(?:is|as|by|ist|es|lautet)\b|(?=[ \t\"'`]))[ \t]*"
     r"[(\[{]?(?:[bru]?\\{0,3}(?P<quote>[\"'`]))?(?:(?:Bearer|Basic)[ ]+)?(?P<value>[^\s\"'`,;<>]{6,600})"
 )
+# The whole of a longer value; inside one that was read from an earlier name, up to the next separator.
+_LONG = re.compile(r"[^\s\"'`,;<>]+")
+_LONG_INSIDE = re.compile(r"[^\s\"'`,;<>&=:]+={0,2}")
 _SQL = re.compile(r"(?i)\b(?:PASSWORD|IDENTIFIED\s+BY)\s+'(?P<value>[^']{6,})'")
 _SECURE = re.compile(r"(?i)ConvertTo-SecureString\s+(?:-String\s+)?[\"'](?P<value>[^\"']{6,})[\"']")
 _LOGIN = re.compile(r"(?i)\b(?:login|account|user(?:name)?|credentials?|anmeldung|zugang|cuenta|usuario|acceso|логин\w*|вход\w*|учётн\w+|учетн\w+)\b[^\n]{0,60}?(?:\s/\s|:|\bas\b)\s*[`\"']?(?P<value>[^\s`\"',;]{8,})")
@@ -71,6 +73,7 @@ _B64 = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z0-9+/]{12,}={0,2}|[A-Za-z0-9_
 _HEX = re.compile(r"(?<![A-Za-z0-9])(?:0x)?((?:[0-9a-f]{2}){8,}|(?:[0-9A-F]{2}){8,})(?![A-Za-z0-9])")
 _HEX_RUN = re.compile(r"[0-9a-fA-F]{16}")
 _PERCENT = re.compile(r"(?<![A-Za-z0-9._~+=/@:!$&*%-])[A-Za-z0-9._~+=/@:!$&*-]*(?:%[0-9A-Fa-f]{2}[A-Za-z0-9._~+=/@:!$&*-]*){2,}")
+_PERCENT_AGAIN = re.compile(r"%(?:25)+(?=[0-9A-Fa-f]{2})")  # layers of percent escapes alone, however many
 _ESCAPED = re.compile(r"(?:\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\[0-7]{3}){4,}")
 
 _PLACEHOLDER = re.compile(
@@ -134,10 +137,10 @@ def looks_random(value: str, name: str = "", strong: bool = False) -> bool:
     At a strong place (a login, a secret's name, an encoded literal) two of lower case, upper case and digits, or one
     with symbols, are enough: a random password often lacks one.
     """
-    if len(value) < 8 or len(value) > 512 or len(set(value)) < 6 or _PLACEHOLDER.search(value) or _UUID.match(value) or _CALL.search(value):
+    if len(value) < 8 or len(set(value)) < 6 or _PLACEHOLDER.search(value) or _UUID.match(value) or _CALL.search(value):
         return False
     if _HEXES.match(value):
-        return len(value) >= 20 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and not (len(value) in (64, 96, 128) or _CHECKSUM_NAME.search(name))
+        return len(value) >= 20 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and not (_CHECKSUM_NAME.search(name) if name else len(value) in (64, 96, 128))
     lower, upper, digit = (any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit))
     if lower + upper + digit < 3:
         return strong and _is_mixed(value)
@@ -260,7 +263,7 @@ def _decoded(text: str) -> Iterator[tuple[int, int, str | bytes]]:
         for at, raw in _after_prefix(s, bare) if "-" in s or "_" in s else ():
             yield start + at, end, raw
     for m in _PERCENT.finditer(text) if "%" in text else ():
-        yield m.start(), m.end(), unquote(m[0])
+        yield m.start(), m.end(), unquote(_PERCENT_AGAIN.sub("%", m[0]))
     for m in _ESCAPED.finditer(text) if "\\" in text else ():
         try:
             yield m.start(), m.end(), m[0].encode("ascii", "ignore").decode("unicode_escape")
@@ -268,19 +271,17 @@ def _decoded(text: str) -> Iterator[tuple[int, int, str | bytes]]:
             pass
 
 
-def _layers(text: str, depth: int) -> Iterator[Hit]:
-    if depth >= MAX_LAYERS:
-        return
+def _layers(text: str) -> Iterator[Hit]:
     for start, end, content in _decoded(text):
         if isinstance(content, bytes):
             plain = _readable(content)
             if plain is None:
-                if len(content) >= 64 and key_container(content) == "private":
+                if key_container(content) == "private":
                     yield Hit(start, end, "key_container")
                 continue
         else:
             plain = content
-        if plain and plain != text[start:end] and (looks_random(plain.strip(), strong=True) or any(True for _ in _scan(plain, depth + 1))):
+        if plain and plain != text[start:end] and (looks_random(plain.strip(), strong=True) or any(True for _ in _scan(plain))):
             yield Hit(start, end, "encoded")
 
 
@@ -330,14 +331,15 @@ def _login_value(m: re.Match) -> tuple[str, int]:
     return value, m.start("value")
 
 
-def _scan(text: str, depth: int = 0) -> Iterator[Hit]:
+def _scan(text: str) -> Iterator[Hit]:
     if "PRIVATE KEY" in text:
         yield from _key_blocks(text)
     done: set[tuple[str, int]] = set()
+    read = {"value": 0, "pieces": 0}
     for last, (what, size) in _FINDER.iter(_lowered(text)):
         end = last + 1
         if what == "name":
-            yield from _named(text, end - size, end)
+            yield from _named(text, end - size, end, read)
             continue
         if what == "format":
             m = _FORMATS.match(text, end - size)
@@ -360,10 +362,11 @@ def _scan(text: str, depth: int = 0) -> Iterator[Hit]:
             value, start = _login_value(m)
             if looks_random(value, strong=True) and not _HEXES.match(value):
                 yield Hit(start, start + len(value), {"sql": "sql_login", "secure": "password", "login": "login"}[what])
-    yield from _layers(text, depth)
+    yield from _layers(text)
 
 
-def _named(text: str, begin: int, end: int) -> Iterator[Hit]:
+def _named(text: str, begin: int, end: int, read: dict[str, int]) -> Iterator[Hit]:
+    """read: how far long values and joined pieces were read from earlier names, so that no long line is read again for each name."""
     m = _AFTER.match(text, end)
     if not m or (m["sep"] == "," and not m["close"]):
         return
@@ -372,10 +375,14 @@ def _named(text: str, begin: int, end: int) -> Iterator[Hit]:
     if text[begin] == "-" and not name.lower().startswith("x-"):
         return
     value, start = m["value"], m.start("value")
+    if len(value) == 600:
+        value = (_LONG_INSIDE if start < read["value"] else _LONG).match(text, start)[0]
+        read["value"] = max(read["value"], start + len(value))
     line_end = text.find("\n", start)
-    line_end = min(len(text) if line_end < 0 else line_end, start + 600)  # a longer value is none
-    joined = _JOINED.match(text, m.start("quote"), line_end) if m["quote"] in ("'", '"') else None
+    line_end = len(text) if line_end < 0 else line_end
+    joined = _JOINED.match(text, m.start("quote"), min(line_end, start + 600) if start < read["pieces"] else line_end) if m["quote"] in ("'", '"') else None
     if joined:
+        read["pieces"] = max(read["pieces"], joined.end())
         pieces = list(_PIECE.finditer(text, joined.start(), joined.end()))
         whole = "".join(p[1] for p in pieces)
         if looks_random(whole, name, True) or _FORMATS.fullmatch(whole):

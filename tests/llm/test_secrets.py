@@ -1,4 +1,5 @@
 import base64
+import hashlib
 
 import pytest
 
@@ -152,6 +153,26 @@ def test_key_containers():
     assert values(f"blob: {blob}") == [blob] and values(f"blob: {base64.b64encode(public).decode()}") == []
 
 
+def test_no_size_limits():
+    opaque = base64.b64encode(hashlib.shake_256(b"x").digest(1500)).decode()
+    assert values("AWS_SESSION_TOKEN=" + opaque) == values(f'session_token: "{opaque}"') == [opaque]
+    pieces = [opaque[i : i + 60] for i in range(0, 1500, 60)]
+    assert values("session_token = " + " + ".join(f'"{x}"' for x in pieces)) == pieces
+    for n in (32, 48, 64):
+        key = hashlib.shake_256(b"k").hexdigest(n)
+        assert values(f"SECRET_KEY={key}") == [key] and values(f"secret_key_sha256={key}") == values(f"token_digest: {key}") == []
+    ed25519 = base64.b64encode(_der(0x30, _der(2, b"\0"), _der(0x30, _der(6, b"\x2b\x65\x70")), _der(4, _der(4, b"\xb7" * 32)))).decode()
+    assert len(base64.b64decode(ed25519)) == 48 and values(f"blob: {ed25519}") == [ed25519]
+    layer = "password=Pore=8324DGmtb"
+    for _ in range(9):
+        layer = base64.b64encode(layer.encode()).decode()
+    assert values(f"data = '{layer}'") == [layer]
+    percent = "".join(f"%{'25' * 5000}{b:02X}" for b in b"password=Pore=8324DGmtb")
+    assert values(f"data = '{percent}'") == [percent]
+    for text in ("token:" * 50_000, '"password" ' * 3_000, "token=a&" * 40_000, "token='aaaaaa" * 30_000, '"password","password" + ' * 20_000, "token=(" + "token=aB3" * 40_000):
+        S.find_in_text(text)
+
+
 def test_joined_pieces_and_redaction():
     text = 'service_token = "lFSWcP" + "IUFZMHEiKe0sxDb6KnpWrBuUuh"\nx = 1\n' + PEM
     assert values('smtp_pass = "eyJhbGciO" + "iJIUzI1NiJ9.eyJzdWIiOiAiemFzYXRpIiwgImlhdCI6.RKSjvn49FKOJOR9__nwGboex"') == ["eyJhbGciO", "iJIUzI1NiJ9.eyJzdWIiOiAiemFzYXRpIiwgImlhdCI6.RKSjvn49FKOJOR9__nwGboex"]
