@@ -27,7 +27,6 @@ from .common import cut, known_time, latest, posix, spread
 from .parsing import decode
 
 _COMMENT = re.compile(r"^\s*(?:#|//|--|/\*|\*|<!--|;|%|\"\"\"|'''|REM\b)")
-HEAD_LINES = 12
 # Notes that generators leave, in the languages of the collection.
 _GENERATED = re.compile(
     r"(?i)@generated\b|\bauto-?generated\b|<auto-?generated|\bcode generated\b|\b(?:machine|automatically|auto)[- ]?(?:written|generated|created|produced|built)\b"
@@ -55,9 +54,9 @@ CODE = ("py", "sql", "sh", "ps1", "js", "ts")
 
 
 def leading_comments(text: str) -> list[str]:
-    """The comment lines and module docstring before the first line of code, at most HEAD_LINES lines down."""
+    """The comment lines and module docstring before the first line of code."""
     out, quote = [], ""
-    for line in text.split("\n", HEAD_LINES)[:HEAD_LINES]:
+    for line in text.split("\n"):
         bare = line.strip()
         if quote:
             out.append(line)

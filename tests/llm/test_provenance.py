@@ -48,6 +48,14 @@ def test_generated():
     assert kind("apps/package-lock.json", lock) == "generated" and kind("apps/x.json", lock) == "generated"
 
 
+def test_notes_below_a_long_licence():
+    licence = "".join(f"# The text may be used{' as it stands' * i}.\n" for i in range(20))
+    assert kind("apps/a.py", licence + HAND) is None
+    assert kind("apps/a.py", licence + "# Code generated by rogodogen v6.12; DO NOT EDIT.\n" + HAND) == "generated"
+    assert P.judge("apps/a.py", licence + "# Upstream: https://x.example/lib\n" + HAND)[1]
+    assert kind("apps/a.py", licence + HAND + "# Code generated by rogodogen v6.12; DO NOT EDIT.\n") is None
+
+
 def test_hand_written():
     assert kind("services/report_generator-x/minify.py", HAND) is None
     assert kind("apps/generated_report_reader.py", HAND.replace("Helpers", "Reads the generated report")) is None
