@@ -24,7 +24,7 @@ def hit_at_k(results: DataFrame, queries: DataFrame, k: int = 3, run: tuple[str,
 
 
 def compare_runs(results: DataFrame) -> DataFrame:
-    """run_label, queries, mean and 95th percentile of elapsed_ms, hit rate: one row a run for side-by-side reading."""
+    """run_label, calls, queries, mean of elapsed_ms, hit rate: one row a run for side-by-side reading."""
     calls = results.groupBy("run_label", "query_name", "served_at").agg(F.max("elapsed_ms").alias("elapsed_ms"), F.max("hit_top_k").alias("hit"))
     return calls.groupBy("run_label").agg(
         F.count("*").alias("calls"),
