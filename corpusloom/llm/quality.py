@@ -1,11 +1,11 @@
 """Text statistics of every document, and natural prose told from the rest (problem 9).
 
 A document is read in blocks: comment prefixes shared by its lines are taken off, hard-wrapped lines are joined,
-and lines that stand alone (items, rows, paths, frames of a trace) stay alone. Two distributions of each block,
-over the function words of a language and over character classes, are compared with that language's prose
-profile by the Jensen-Shannon divergence. The share of a document's characters in blocks near a prose profile,
-with the shape of its lines, gives its place among the structural profiles (prose, list, table, junk); the nearest
-one is assigned.
+and lines that stand alone (items, rows, paths, frames of a trace) stay alone. Hand rules on function words, stops
+and letters tell which blocks are sentences. The share of a document's characters in them, and in the other forms,
+gives its place among the structural profiles (prose, list, table, junk); the nearest one is assigned. Two
+distributions of the whole document, over the function words of its language and over character classes, are compared
+with that language's prose profile by the Jensen-Shannon divergence, which counts little beside the shares.
 
 Language profiles are counts over all documents. Structural profiles are the means of the labelled documents
 (at most `MOST_LABELS` rows), or fixed ones where there are no labels.
