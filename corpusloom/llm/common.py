@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -29,28 +30,65 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_TABLES: dict[str, tuple] = {}  # path -> (session, weak reference to the file listing that every plan over the table holds)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows once as a table in the shared folder and read them from there.
 
     Later stages depend on those files alone, so a lost executor costs no recomputation of what came before,
-    and each reader takes only its columns. The files go when the last frame that reads them is collected, or at exit.
+    and each reader takes only its columns. A table is deleted once no frame over it is left (`sweep`, which each
+    further call runs), and at the end of the program at the latest.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/corpusloom/{uuid.uuid4().hex}"
+    sweep()
+    path = f"{shared_folder(spark)}/corpusloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    listing = table._jdf.queryExecution().analyzed().relation().location()
+    _TABLES[path] = (spark, spark._jvm.java.lang.ref.WeakReference(listing))
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration() if spark.sparkContext._jsc is None else spark._jsc.hadoopConfiguration()).delete(where, True)
+
 
+def sweep() -> int:
+    """Delete the tables that no plan in the driver's memory can read any more; how many are left."""
+    for path, (spark, listing) in list(_TABLES.items()):
+        if listing.refersTo(None):
+            _delete(spark, path)
+            _TABLES.pop(path, None)
+    return len(_TABLES)
 
-def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """Give a CPU-heavy map at least as many partitions as there are cores; a larger scan keeps its own splits."""
-    n = least or df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+@atexit.register
+def _delete_all() -> None:
+    for path in list(_TABLES):
+        try:
+            _delete(_TABLES[path][0], path)
+            _delete(_TABLES[path][0], path.rsplit("/", 1)[0])
+        except Exception:  # noqa: BLE001 - the JVM may be gone before us
+            pass
+        _TABLES.pop(path, None)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a CPU-heavy map over a scan at least as many partitions as there are cores; a larger scan keeps its own splits.
+
+    For frames without a shuffle only: to ask an aggregate for its partitions would run it. Behind a shuffle the
+    adaptive plan keeps the cores busy by itself.
+    """
+    n = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= n else scan.repartition(n)
 
 
 def clear_shared(spark: SparkSession) -> None:
     """Delete all tables that `cut` wrote. For the end of an application: earlier frames cannot be read afterwards."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/corpusloom")
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _delete(spark, f"{shared_folder(spark)}/corpusloom")
+    _TABLES.clear()
 
 
 def posix(path: Column) -> Column:

@@ -1,14 +1,17 @@
 """Text statistics of every document, and natural prose told from the rest (problem 9).
 
-A document is read in blocks: comment prefixes shared by its lines are taken off, hard-wrapped lines are joined,
-and lines that stand alone (items, rows, paths, frames of a trace) stay alone. Hand rules on function words, stops
-and letters tell which blocks are sentences. The share of a document's characters in them, and in the other forms,
-gives its place among the structural profiles (prose, list, table, junk); the nearest one is assigned. Two
-distributions of the whole document, over the function words of its language and over character classes, are compared
-with that language's prose profile by the Jensen-Shannon divergence, which counts little beside the shares.
-
-Language profiles are counts over all documents. Structural profiles are the means of the labelled documents
-(at most `MOST_LABELS` rows), or fixed ones where there are no labels.
+A document is read once, in segments: comment prefixes shared by its lines are taken off and hard-wrapped lines are
+joined; each paragraph of running text is a segment, and the lines that stand alone (items, rows, frames of a trace,
+rules) form one segment of each kind. A segment yields two count vectors: over the function words of its language (in
+bands of frequency, beside all other words), and over character classes, counted in runs, so that a word is one event
+and a full stop weighs as much as a word. Both are compared with the prose profile of that language, the sum over all
+documents' running text, by the Jensen-Shannon divergence. A segment is prose if both divergences are small, and nothing
+else makes it prose: bullets, tabs and time stamps only say whether the rest is a list, a table or junk. The shares of a document's
+characters in prose, list, table and junk segments give its place among the structural profiles; the nearest is assigned.
+
+What is small is fitted on the labelled documents (at most `MOST_LABELS` rows); without labels fixed limits hold. The
+structural profiles are the labelled documents' mean shares, or the pure forms. The counts are written once and all later
+steps read them, never the texts again.
 """
 
 from __future__ import annotations
@@ -22,11 +25,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread
+from .common import cut, spread
 
 MOST_LABELS = 100_000
+MOST_WORDS = 100_000
 FORMS = ("prose", "list", "table", "junk")
-CLASSES = ("lower", "upper", "digit", "space", "stop", "mark", "symbol", "other")
+KINDS = ("text", "item", "row", "trace", "rule")
+CLASSES = ("lower", "upper", "digit", "space", "stop", "mark", "symbol", "other", "gap")
+LOWER, UPPER, DIGIT, SPACE, STOP, MARK, SYMBOL, OTHER, GAP = range(len(CLASSES))
+BANDS = 2  # of equal weight, into which a language's function words are put by frequency: single words are too rare in a short text
+LONG_RUN = 32  # characters of a run that count as one
+SMOOTHING = 10.0  # words or runs of the profile itself that a segment is taken to hold before its own
+CHAR_LIMIT, WORD_LIMIT = 0.02, 0.6  # without labels
+_STOPS, _MARKS, _CLOSERS = ".!?…", ",;:'’\"«»“”„()-–—¿¡", "\"'»”)]"
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _TERMINAL = re.compile(r"[.!?…:;][\"'»”)\]`*_]*\s*$")
 _STOP = re.compile(r"[.!?…][\"'»”)\]]*(?=\s|$)")
@@ -84,201 +95,364 @@ def blocks(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def char_classes(text: str) -> np.ndarray:
-    n = dict.fromkeys(CLASSES, 0)
-    for c, k in Counter(text).items():
-        if c.islower():
-            n["lower"] += k
-        elif c.isupper():
-            n["upper"] += k
-        elif c.isdigit():
-            n["digit"] += k
-        elif c.isspace():
-            n["space"] += k
-        elif c in ".!?…":
-            n["stop"] += k
-        elif c in ",;:'’\"«»“”„()-–—¿¡":
-            n["mark"] += k
-        elif ord(c) < 128:
-            n["symbol"] += k
+def segments(text: str) -> list[tuple[int, str]]:
+    """(place in KINDS, text): every paragraph by itself, the other blocks joined by kind. A few words without an end are an item: they head one."""
+    out, pooled = [], {}
+    for kind, block in blocks(text):
+        if kind == "text" and len(block.split()) < 5 and not _TERMINAL.search(block):
+            kind = "item"
+        if kind == "text":
+            out.append((0, block))
         else:
-            n["lower" if c.isalpha() else "other"] += k
-    return np.array([n[c] for c in CLASSES], dtype=float)
+            pooled.setdefault(KINDS.index(kind), []).append(block)
+    return out + [(kind, "\n".join(pooled[kind])) for kind in sorted(pooled)]
+
+
+def _class_of(c: str) -> int:
+    if c in "\n\t":
+        return GAP
+    if c.isspace():
+        return SPACE
+    if c.isupper():
+        return UPPER
+    if c.isalpha():
+        return LOWER
+    if c.isdigit():
+        return DIGIT
+    return STOP if c in _STOPS else MARK if c in _MARKS else SYMBOL if ord(c) < 128 else OTHER
+
+
+class _Characters:
+    """The class of every character and whether it is a symbol (neither alphanumeric nor blank), by table."""
+
+    BASIC = 0x10000
+
+    def __init__(self):
+        basic = [chr(i) for i in range(self.BASIC)]
+        self.classes = np.array([_class_of(c) for c in basic], dtype=np.uint8)
+        self.symbols = np.array([not c.isalnum() and not c.isspace() for c in basic])
+
+    def codes(self, texts: list[str]) -> np.ndarray:
+        return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+
+    def _beyond(self, codes: np.ndarray, out: np.ndarray, rule: Callable) -> np.ndarray:
+        for i in np.flatnonzero(codes >= self.BASIC):
+            out[i] = rule(chr(codes[i]))
+        return out
+
+    def symbol_counts(self, texts: list[str]) -> np.ndarray:
+        codes = self.codes(texts)
+        is_symbol = self._beyond(codes, self.symbols[np.minimum(codes, self.BASIC - 1)], lambda c: not c.isalnum() and not c.isspace())
+        owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        return np.bincount(owner[is_symbol], minlength=len(texts))
+
+    def runs(self, texts: list[str], kinds: np.ndarray) -> np.ndarray:
+        """Runs of each class for each text. A stop counts where a sentence can end, else as a symbol; blanks of more
+        than one character are a gap, but not in running text; in capitals the two cases change places."""
+        k, n = len(CLASSES), len(texts)
+        codes = self.codes(texts)
+        if not len(codes):
+            return np.zeros((n, k), dtype=np.int64)
+        cls = self._beyond(codes, self.classes[np.minimum(codes, self.BASIC - 1)], _class_of)
+        owner = np.repeat(np.arange(n), [len(t) for t in texts])
+        last = np.append(owner[1:] != owner[:-1], True)
+        after = np.where(last, GAP, np.append(cls[1:], GAP))
+        cls = np.where((cls == STOP) & ~np.isin(after, (SPACE, GAP, MARK, STOP)), SYMBOL, cls)
+        chars = np.bincount(owner * k + cls, minlength=n * k).reshape(n, k)
+        capitals = chars[:, UPPER] > chars[:, LOWER]
+        cls = np.where(capitals[owner] & (cls <= UPPER), UPPER - cls, cls)
+        first = np.append(True, (cls[1:] != cls[:-1]) | last[:-1])
+        at = np.flatnonzero(first)
+        size, of, who = np.diff(np.append(at, len(cls))), cls[at].astype(np.int64), owner[at]
+        of = np.where((of == SPACE) & (size > 1) & (kinds[who] > 0), GAP, of)
+        return np.bincount(who * k + of, weights=(size - 1) // LONG_RUN + 1, minlength=n * k).reshape(n, k)
 
 
 def divergence(p: np.ndarray, q: np.ndarray) -> float:
     """Jensen-Shannon divergence in bits of two count vectors; 1 if one of them is empty."""
     if p.sum() <= 0 or q.sum() <= 0:
         return 1.0
-    p, q = p / p.sum(), q / q.sum()
-    m = (p + q) / 2
-    part = lambda x: float((x[x > 0] * np.log2(x[x > 0] / m[x > 0])).sum())
-    return max(0.0, min(1.0, (part(p) + part(q)) / 2))
-
+    return float(_divergences((p / p.sum())[None, :], (q / q.sum())[None, :])[0])
 
-def is_sentences(words: int, function_words: int, stops: int, letters: int, chars: int, runs: int) -> bool:
-    """Whether a block reads as sentences: function words, ends at sentence distance, mostly letters in words of their own.
 
-    One to four words with an end count: a very short sentence need not hold a function word.
-    """
-    if words == 0 or letters < 0.55 * chars or words > 2 * runs:
-        return False
-    if words < 5:
-        return stops > 0
-    return function_words >= 0.08 * words and words <= 45 * stops
+def _divergences(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Row by row, of distributions."""
+    m = (p + q) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        part = lambda x: np.where(x > 0, x * np.log2(x / m), 0.0).sum(axis=1)
+        return np.clip((part(p) + part(q)) / 2, 0.0, 1.0)
 
 
 class _Language:
     def __init__(self, common: dict[str, list[str]]):
         self.names = sorted(common)
-        self.words = {name: {w: i for i, w in enumerate(sorted(set(common[name])))} for name in self.names}
-
-    def counts(self, words: list[str], name: str) -> np.ndarray:
-        """Counts of each function word of the language, then of all other words."""
-        index = self.words[name]
-        out = np.zeros(len(index) + 1)
-        for w in words:
-            out[index.get(w, -1)] += 1
-        return out
+        self.words = [{w: i for i, w in enumerate(sorted(set(common[name])))} for name in self.names]
+        self.any = frozenset(w for index in self.words for w in index)
+        self.width = max((len(x) for x in self.words), default=0) + 1
 
-    def best(self, words: list[str]) -> tuple[str | None, int]:
-        """The language whose function words cover most words; ties go to the first name."""
-        n = {name: sum(w in self.words[name] for w in words) for name in self.names}
-        name = max(self.names, key=lambda x: (n[x], -self.names.index(x)), default=None)
-        return (name, n[name]) if name and n[name] else (None, 0)
-
-
-class _Read:
-    """One document: its blocks judged and its plain counts."""
-
-    def __init__(self, text: str, language: _Language):
-        self.shares = dict.fromkeys(("prose", "list", "table", "junk"), 0)
-        prose: list[str] = []
-        for kind, block in blocks(text):
-            words = [w.lower() for w in _WORD.findall(block)]
-            _, known = language.best(words)
-            letters = sum(map(len, words)) + block.count(" ")
-            sentences = kind in ("text", "item") and is_sentences(len(words), known, len(_STOP.findall(block)) + (kind == "text" and bool(_TERMINAL.search(block))), letters, len(block), len(block.split()))
-            if sentences and (kind == "text" or len(words) >= 5):
-                self.shares["prose"] += len(block)
-                prose.append(block)
-            elif kind == "item":
-                self.shares["list"] += len(block)
-            elif kind == "row":
-                self.shares["table"] += len(block)
-            elif kind == "text" and len(words) <= 6 and not known and block.replace(" ", "").isalnum():
-                self.shares["list"] += len(block)  # a heading belongs to what it heads
-            else:
-                self.shares["junk"] += len(block)
-        self.prose = "\n".join(prose)
-        self.words = [w.lower() for w in _WORD.findall(text)]
-        self.language, self.known = language.best(self.words)
+    def best(self, words: list[str]) -> tuple[int, int, Counter]:
+        """(place of the language whose function words cover most words, how many, the counts); -1 for none; ties go to the first name."""
+        known = Counter(w for w in words if w in self.any)
+        if not known:
+            return -1, 0, known
+        n = [sum(k for w, k in known.items() if w in index) for index in self.words]
+        return n.index(max(n)), max(n), known
 
 
-def _profile_batches(common: dict[str, list[str]]) -> Callable:
+# Of each segment: kind, language, characters, words, then the runs of each class.
+_HEAD = 4
+_STATS = (
+    "doc_id bigint, n_chars int, n_words int, n_lines int, mean_word_length double, symbol_ratio double, terminal_line_share double, "
+    "common_word_share double, language string, word_divergence double, char_divergence double, prose_share double, list_share double, table_share double, junk_share double"
+)
+_PLAIN = ["doc_id", "n_chars", "n_words", "n_lines", "mean_word_length", "symbol_ratio", "terminal_line_share", "common_word_share", "language"]
+_COUNTED = ", ".join(x for x in _STATS.split(", ") if x.split()[0] in _PLAIN) + ", parts binary, known binary"
+
+
+def _share(a: float, b: float) -> float:
+    return a / b if b else 0.0
+
+
+def _ends_a_sentence(line: str) -> bool:
+    return line.rstrip(_CLOSERS)[-1:] in tuple(_STOPS)
+
+
+def _count_batches(common: dict[str, list[str]]) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        language, sums = _Language(common), {}
+        language, characters = _Language(common), _Characters()
         for batch in batches:
-            for text in batch["text"]:
-                r = _Read(text, language)
-                if r.language and r.prose:
-                    words = language.counts([w.lower() for w in _WORD.findall(r.prose)], r.language)
-                    old = sums.setdefault(r.language, [np.zeros_like(words), np.zeros(len(CLASSES))])
-                    old[0] += words
-                    old[1] += char_classes(r.prose)
-        rows = [(name, kind, i, float(v)) for name, pair in sums.items() for kind, values in zip(("word", "char"), pair) for i, v in enumerate(values)]
-        yield pd.DataFrame(rows, columns=["language", "kind", "place", "n"])
+            texts = batch["text"].tolist()
+            rows, parts, bodies, known_words = [], [], [], []
+            for doc_id, text in zip(batch["doc_id"], texts):
+                words = _WORD.findall(text.lower())
+                own, n_known, _ = language.best(words)
+                lines = [x for line in text.splitlines() if (x := line.strip())]
+                found = segments(text)
+                for n, (kind, body) in enumerate(found):
+                    some = _WORD.findall(body.lower())
+                    lang, _, hits = language.best(some)
+                    lang = own if lang < 0 else lang
+                    index = language.words[lang] if lang >= 0 else {}
+                    known_words.append([(n, index[w], k) for w, k in hits.items() if w in index])
+                    parts.append((kind, lang, len(body), len(some)))
+                    bodies.append(body)
+                ends = sum(map(_ends_a_sentence, lines))
+                rows.append((doc_id, len(text), len(words), len(lines), _share(sum(map(len, words)), len(words)), _share(ends, len(lines)), _share(n_known, len(words)), language.names[own] if own >= 0 else None, len(found)))
+            if not rows:
+                continue
+            head = np.array(parts, dtype=np.int32).reshape(len(parts), _HEAD)
+            table = np.concatenate([head, characters.runs(bodies, head[:, 0])], axis=1).astype("<i4")
+            out = pd.DataFrame(rows, columns=[c for c in _PLAIN if c != "symbol_ratio"] + ["n"])
+            out["symbol_ratio"] = characters.symbol_counts(texts) / np.maximum(1, out["n_chars"].to_numpy())
+            stop = out["n"].cumsum().tolist()
+            start = [0, *stop[:-1]]
+            out["parts"] = [table[a:b].tobytes() for a, b in zip(start, stop)]
+            out["known"] = [np.array([x for w in known_words[a:b] for x in w], dtype="<i4").tobytes() for a, b in zip(start, stop)]
+            yield out[[*_PLAIN, "parts", "known"]]
 
     return run
 
 
-Profiles = dict[str, tuple[np.ndarray, np.ndarray]]
+class _Batch:
+    """The counts of a batch of documents as matrices, one row a segment."""
 
+    def __init__(self, batch: pd.DataFrame, language: _Language):
+        width = _HEAD + len(CLASSES)
+        tables = [np.frombuffer(x, dtype="<i4").reshape(-1, width) for x in batch["parts"]]
+        sizes = [len(t) for t in tables]
+        table = np.concatenate(tables) if tables else np.empty((0, width), dtype="<i4")
+        self.owner = np.repeat(np.arange(len(tables)), sizes)
+        self.kind, self.language, self.chars, n_words = (table[:, i].astype(np.int64) for i in range(_HEAD))
+        self.runs = table[:, _HEAD:].astype(float)
+        base = np.cumsum([0, *sizes[:-1]]) if sizes else []
+        known = [np.frombuffer(x, dtype="<i4").reshape(-1, 3) + (b, 0, 0) for x, b in zip(batch["known"], base)]
+        flat = np.concatenate(known) if known else np.empty((0, 3), dtype=np.int64)
+        self.words = np.zeros((len(table), language.width))
+        self.words[flat[:, 0], flat[:, 1]] = flat[:, 2]
+        self.words[:, -1] = np.maximum(0, n_words - self.words.sum(axis=1))
 
-def language_profiles(documents: DataFrame, common: dict[str, list[str]]) -> Profiles:
-    """Function-word and character-class counts of the prose of each language, over all documents."""
-    rows = spread(documents.select("text").where(F.col("text").isNotNull())).mapInPandas(_profile_batches(common), "language string, kind string, place int, n double")
-    language, out = _Language(common), {}
-    for r in rows.groupBy("language", "kind", "place").agg(F.sum("n").alias("n")).collect():  # at most words + classes a language
-        words, chars = out.setdefault(r["language"], (np.zeros(len(language.words[r["language"]]) + 1), np.zeros(len(CLASSES))))
-        (words if r["kind"] == "word" else chars)[r["place"]] = r["n"]
-    return out
 
+def _profile_batches(common: dict[str, list[str]]) -> Callable:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        language = _Language(common)
+        n = len(language.names)
+        words, runs = np.zeros((n, language.width)), np.zeros((n, len(CLASSES)))
+        for batch in batches:
+            b = _Batch(batch, language)
+            running = (b.kind == 0) & (b.language >= 0) & (b.words[:, :-1].sum(axis=1) > 0) & (b.runs[:, STOP] > 0)
+            np.add.at(words, b.language[running], b.words[running])
+            np.add.at(runs, b.language[running], b.runs[running])
+        yield pd.DataFrame([(i, j, float(m[i, j]), kind) for kind, m in (("word", words), ("run", runs)) for i, j in zip(*np.nonzero(m))], columns=["language", "place", "n", "kind"])
 
-_STATS = (
-    "doc_id bigint, n_chars int, n_words int, n_lines int, mean_word_length double, symbol_ratio double, terminal_line_share double, "
-    "common_word_share double, language string, word_divergence double, char_divergence double, prose_share double, list_share double, table_share double, junk_share double"
-)
-_FEATURES = ("prose_share", "list_share", "table_share", "junk_share")
+    return run
 
 
-def _stats_batches(common: dict[str, list[str]], profiles: Profiles) -> Callable:
+class Profiles:
+    """Distributions of the bands of function words and of class runs for each language. A text of an unknown language is held against the largest."""
+
+    def __init__(self, words: np.ndarray, runs: np.ndarray):
+        size = words.sum(axis=1)
+        self.any = bool(size.sum() > 0)
+        self.known = size > 0
+        self.largest = int(size.argmax()) if len(size) else -1
+        self.band = np.full(words.shape, BANDS)
+        for band, row in zip(self.band, words[:, :-1]):
+            order = (-row).argsort(kind="stable")
+            before = row[order].cumsum() - row[order]
+            band[order] = np.minimum(BANDS - 1, (before * BANDS / max(1.0, row.sum())).astype(int))
+        banded = self._banded(np.arange(len(words)), words)
+        self.words = banded / np.maximum(size, 1)[:, None]
+        self.runs = runs / np.maximum(runs.sum(axis=1), 1)[:, None]
+
+    def compare(self, language: np.ndarray, words: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word divergence as a share of that of as many words without a function word, class divergence).
+
+        Counts are smoothed towards the profile, and as a few words or runs say little, divided by 1 + SMOOTHING / size.
+        """
+        if not self.any:
+            return np.full(len(words), np.inf), np.full(len(words), np.inf)
+        lang = np.where((language >= 0) & self.known[language], language, self.largest)
+        words = self._banded(lang, words)
+        word = self._smoothed(words, self.words[lang])
+        none = np.zeros_like(words)
+        none[:, -1] = words.sum(axis=1)
+        most = self._smoothed(none, self.words[lang])
+        weight = lambda x: 1 + SMOOTHING / np.maximum(x.sum(axis=1), 1)
+        return word / np.maximum(most, 1e-9) / weight(words), self._smoothed(runs, self.runs[lang]) / weight(runs)
+
+    def _banded(self, language: np.ndarray, words: np.ndarray) -> np.ndarray:
+        band = self.band[language]
+        return np.stack([(words * (band == i)).sum(axis=1) for i in range(BANDS + 1)], axis=1)
+
+    @staticmethod
+    def _smoothed(counts: np.ndarray, profile: np.ndarray) -> np.ndarray:
+        return _divergences((counts + SMOOTHING * profile) / (counts.sum(axis=1) + SMOOTHING)[:, None], profile)
+
+
+def language_profiles(counted: DataFrame, common: dict[str, list[str]]) -> Profiles:
+    """Sums over the running text of all documents that holds a function word and a sentence end."""
+    language = _Language(common)
+    words, runs = np.zeros((len(language.names), language.width)), np.zeros((len(language.names), len(CLASSES)))
+    rows = counted.select("parts", "known").mapInPandas(_profile_batches(common), "language int, place int, n double, kind string")
+    for r in rows.groupBy("kind", "language", "place").agg(F.sum("n").alias("n")).collect():  # at most languages x (words + classes)
+        (words if r["kind"] == "word" else runs)[r["language"], r["place"]] = r["n"]
+    return Profiles(words, runs)
+
+
+Limits = tuple[float, float]
+
+
+def _judged(b: _Batch, profiles: Profiles, limits: Limits) -> np.ndarray:
+    """The form of each segment, as its place in FORMS."""
+    word, char = profiles.compare(b.language, b.words, b.runs)
+    form = np.select([b.kind == 1, b.kind == 2], [1, 2], 3)
+    # Items whose letters change case more often than blanks and signs part them are codes.
+    form[(b.kind == 1) & (b.runs[:, UPPER] > b.runs[:, SPACE] + b.runs[:, GAP] + b.runs[:, SYMBOL])] = 3
+    return np.where((word <= limits[0]) & (char <= limits[1]), 0, form)
+
+
+def _verdict_batches(common: dict[str, list[str]], profiles: Profiles, limits: Limits) -> Callable:
     names = [x.split()[0] for x in _STATS.split(", ")]
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        language = _Language(common)
+        place = {name: i for i, name in enumerate(language.names)}
+        for batch in batches:
+            b, n = _Batch(batch, language), len(batch)
+            shares = np.zeros((n, len(FORMS)))
+            np.add.at(shares, (b.owner, _judged(b, profiles, limits)), b.chars)
+            shares /= np.maximum(1, shares.sum(axis=1))[:, None]
+            own = batch["language"].map(place).fillna(-1).to_numpy(dtype=np.int64)
+            words, runs = np.zeros((n, language.width)), np.zeros((n, len(CLASSES)))
+            same = b.language == own[b.owner]
+            np.add.at(words, b.owner[same], b.words[same])
+            np.add.at(runs, b.owner, b.runs)
+            word, char = profiles.compare(own, words, runs)
+            out = batch[_PLAIN].copy()
+            blank = (out["n_words"].to_numpy() == 0) & (runs.sum(axis=1) == 0)
+            out["word_divergence"], out["char_divergence"] = np.where(blank, 1.0, np.minimum(word, 1.0)), np.where(blank, 1.0, np.minimum(char, 1.0))
+            out[[f"{form}_share" for form in FORMS]] = shares
+            yield out[names]
+
+    return run
+
+
+def _main_batches(common: dict[str, list[str]], profiles: Profiles) -> Callable:
+    """The divergences of the largest segment of each document."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         language = _Language(common)
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                r = _Read(text, language)
-                lines = [x.strip() for x in text.splitlines() if x.strip()]
-                profile = profiles.get(r.language)
-                counts = char_classes(text)
-                total = sum(r.shares.values()) or 1
-                divergences = (1.0, 1.0) if profile is None else (divergence(language.counts(r.words, r.language), profile[0]), divergence(counts, profile[1]))
-                share = lambda a, b: a / b if b else 0.0
-                out.append(
-                    (
-                        doc_id,
-                        len(text),
-                        len(r.words),
-                        len(lines),
-                        share(sum(map(len, r.words)), len(r.words)),
-                        share(sum(not c.isalnum() and not c.isspace() for c in text), len(text)),
-                        share(sum(bool(_STOP.search(x[-4:])) for x in lines), len(lines)),
-                        share(r.known, len(r.words)),
-                        r.language,
-                        *divergences,
-                        *(r.shares[k] / total for k in FORMS),
-                    )
-                )
-            yield pd.DataFrame(out, columns=names)
+            b = _Batch(batch, language)
+            word, char = profiles.compare(b.language, b.words, b.runs)
+            order = np.lexsort((-b.chars, b.owner))
+            first = order[np.append(True, np.diff(b.owner[order]) > 0)] if len(order) else order
+            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy()[b.owner[first]], "word": word[first], "char": char[first]})
 
     return run
 
 
+def fit_limit(prose: list[float], other: list[float], default: float) -> float:
+    """The limit with the fewest labelled documents on its wrong side; of equal ones the middle of the widest, on a log scale."""
+    if not prose or not other:
+        return default
+    value = np.log(np.maximum(np.array([*prose, *other], dtype=float), 1e-6))
+    is_prose = np.array([True] * len(prose) + [False] * len(other))
+    order = value.argsort(kind="stable")
+    value, is_prose = value[order], is_prose[order]
+    wrong = np.r_[0, np.cumsum(~is_prose)] + (is_prose.sum() - np.r_[0, np.cumsum(is_prose)])  # the first i are called prose
+    gap = np.r_[0.0, np.diff(value), 0.0]
+    i = max(np.flatnonzero(wrong == wrong.min()), key=lambda x: (gap[x], -x))
+    return float(np.exp((value[i - 1] + value[i]) / 2)) if 0 < i < len(value) else default
+
+
 def structural_profiles(stats: DataFrame, labels: DataFrame | None) -> dict[str, list[float]]:
-    """Mean feature vector of each labelled form; a form without labels is its pure self."""
-    out = {form: [float(form == other) for other in FORMS] + ([0.1, 0.02] if form == "prose" else [0.5, 0.3]) for form in FORMS}
+    """Mean shares of the documents of each labelled form; a form without labels is its pure self."""
+    out = {form: [float(form == other) for other in FORMS] for form in FORMS}
     if labels is not None:
-        rows = labels.select("doc_id", "text_form").where(F.col("text_form").isin(*FORMS)).limit(MOST_LABELS)
-        means = stats.join(F.broadcast(rows), "doc_id").groupBy("text_form").agg(*[F.avg(c).alias(c) for c in (*_FEATURES, "word_divergence", "char_divergence")])
-        out |= {r["text_form"]: [r[c] for c in (*_FEATURES, "word_divergence", "char_divergence")] for r in means.collect()}
+        columns = [f"{form}_share" for form in FORMS]
+        means = stats.join(F.broadcast(labels), "doc_id").groupBy("text_form").agg(*[F.avg(c).alias(c) for c in columns])
+        out |= {r["text_form"]: [r[c] for c in columns] for r in means.collect()}
     return out
 
 
 def text_statistics(documents: DataFrame, common_words: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """doc_id, the counts and shares of `_STATS`, text_form and is_prose for every document.
 
-    Shares are of the block characters. Null texts count as empty, rows without an id are left out, repeated
-    rows stay. An empty or blank text has no prose: zero shares and the form junk. `language` is the one whose
-    function words cover most words, not the column `lang`, which is unreliable; null where none occurs.
+    Shares are of the segments' characters; the two divergences are the whole document's (the first as a share of that
+    of a text without function words), at most 1. Null texts count as empty, rows without an id are left out,
+    repeated rows stay. An empty or blank text has no prose: zero shares and the form junk. `language` is the one whose
+    function words cover most words, not the column `lang`, which is unreliable; null where none occurs. Without
+    any function word in all documents nothing is prose.
     """
-    rows = common_words.select("lang", "word").where(F.col("lang").isNotNull() & F.col("word").isNotNull()).distinct().limit(100_001).collect()
-    if len(rows) > 100_000:
+    rows = common_words.select(F.lower("lang").alias("lang"), F.lower("word").alias("word")).where(F.col("lang").isNotNull() & F.col("word").isNotNull()).distinct().limit(MOST_WORDS + 1).collect()
+    if len(rows) > MOST_WORDS:
         raise ValueError("common_words is a short list of function words")
     common: dict[str, list[str]] = {}
     for r in rows:
-        common.setdefault(r["lang"], []).append(r["word"].lower())
+        common.setdefault(r["lang"], []).append(r["word"])
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.col("doc_id").isNotNull())
-    profiles = language_profiles(docs, common)
-    stats = spread(docs).mapInPandas(_stats_batches(common, profiles), _STATS)
-    near = structural_profiles(stats.limit(0) if labels is None else spread(docs.join(F.broadcast(labels.select("doc_id").distinct()), "doc_id", "left_semi"), 1).mapInPandas(_stats_batches(common, profiles), _STATS), labels)
-    features = [F.col(c) for c in (*_FEATURES, "word_divergence", "char_divergence")]
-    weights = (1.0, 1.0, 1.0, 1.0, 0.25, 0.25)
-    distance = {form: sum((w * (f - F.lit(v)) * (f - F.lit(v)) for f, v, w in zip(features, near[form], weights)), F.lit(0.0)) for form in FORMS}
+    counted = cut(spread(docs).mapInPandas(_count_batches(common), _COUNTED))
+    profiles = language_profiles(counted, common)
+    limits, near = (WORD_LIMIT, CHAR_LIMIT), structural_profiles(counted, None)
+    if labels is not None:
+        some = labels.select("doc_id", "text_form").where(F.col("doc_id").isNotNull() & F.col("text_form").isin(*FORMS)).distinct().limit(MOST_LABELS)
+        labelled = counted.join(F.broadcast(some.select("doc_id").distinct()), "doc_id", "left_semi")
+        main = labelled.mapInPandas(_main_batches(common, profiles), "doc_id bigint, word double, char double").join(F.broadcast(some), "doc_id").collect()  # at most MOST_LABELS
+        limits = _fitted(main)
+        near = structural_profiles(labelled.mapInPandas(_verdict_batches(common, profiles, limits), _STATS), some)
+    stats = counted.mapInPandas(_verdict_batches(common, profiles, limits), _STATS)
+    distance = {form: sum(((F.col(f"{other}_share") - F.lit(v)) ** 2 for other, v in zip(FORMS, near[form])), F.lit(0.0)) for form in FORMS}
     least = F.least(*distance.values())
-    form = F.when(F.col("n_words") + F.col("list_share") + F.col("table_share") + F.col("junk_share") == 0, "junk")
+    form = F.when(F.col("prose_share") + F.col("list_share") + F.col("table_share") + F.col("junk_share") == 0, "junk")
     for name in FORMS:
         form = form.when(distance[name] == least, name)
     return stats.withColumn("text_form", form).withColumn("is_prose", F.col("text_form") == "prose")
+
+
+def _fitted(main: list) -> Limits:
+    """The class limit parts labelled prose from the rest; the word limit lies midway between labelled prose and text without function words."""
+    prose = [r for r in main if r["text_form"] == "prose"]
+    char = fit_limit([r["char"] for r in prose], [r["char"] for r in main if r["text_form"] != "prose"], CHAR_LIMIT)
+    word = (1 + float(np.quantile([r["word"] for r in prose], 0.95))) / 2 if prose else WORD_LIMIT
+    return word, char

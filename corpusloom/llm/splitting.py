@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_LIMIT, spread
+from .common import CHUNK_LIMIT
 
 # Strength of a cut, strongest first. A cut stands at the end of the match, so that separators stay before it.
 _BOUNDARIES: list[tuple[int, re.Pattern]] = [
@@ -100,4 +100,4 @@ def split_oversized(chunks: DataFrame, limit: int = CHUNK_LIMIT, overlap: int =
     """
     long = chunks.where(F.length("text") > limit).select("chunk_id", "text", "start_line", "heading_path")
     rows = long.groupBy("chunk_id", F.xxhash64("text").alias("_h")).agg(F.min(F.struct("text", "start_line", "heading_path")).alias("_c")).select("chunk_id", "_c.*")
-    return spread(rows).mapInPandas(_split_batches(limit, overlap), _PIECES)
+    return rows.mapInPandas(_split_batches(limit, overlap), _PIECES)

@@ -77,3 +77,35 @@ def test_labelled_documents(spark, data):
     labels = spark.read.parquet(f"{data}/doc_labels.parquet")
     got = p9_statistics(spark, data).join(labels.withColumnRenamed("text_form", "label"), "doc_id").collect()
     assert got and all((r["label"] == "prose") == r["is_prose"] for r in got)
+
+
+def test_the_divergences_alone_make_prose():
+    import pandas as pd
+
+    common = {"en": EN}
+    garbled = "qneaibpg the uqydj we lplkexlv a jpuskh of tiasou to zxcvb in qwert is asdfg " * 5
+    bare = "Marker journal, query proxy. Anchor ticket shard. Rule window horizon prefix. Ledger stamp catalog. " * 5
+    texts = [PROSE * 3, garbled, bare, "- " + PROSE, "\n".join(f"part{i};{i * 7};x" for i in range(20))]
+    counted = next(Q._count_batches(common)(iter([pd.DataFrame({"doc_id": range(len(texts)), "text": texts})])))
+    language = Q._Language(common)
+    b, first = Q._Batch(counted, language), Q._Batch(counted.iloc[:1], language)
+    profiles = Q.Profiles(first.words.sum(axis=0)[None, :], first.runs.sum(axis=0)[None, :])
+    limits = (Q.WORD_LIMIT, Q.CHAR_LIMIT)
+    assert Q._judged(b, profiles, limits).tolist() == [0, 3, 3, 0, 2]
+    assert Q._judged(b, profiles, (np.inf, Q.CHAR_LIMIT)).tolist()[2] == 0  # without the words
+    assert Q._judged(b, profiles, (Q.WORD_LIMIT, np.inf)).tolist()[1] == 0  # without the classes
+    assert set(Q._judged(b, profiles, (np.inf, np.inf))) == {0}
+
+
+def test_limits_are_fitted():
+    assert 0.01 < Q.fit_limit([0.001, 0.01], [0.1, 0.4], 9.0) < 0.1
+    assert 0.01 < Q.fit_limit([0.001, 0.01, 0.5], [0.1, 0.4], 9.0) < 0.1
+    assert Q.fit_limit([], [0.1], 9.0) == Q.fit_limit([0.1], [], 9.0) == 9.0
+
+
+def test_character_runs():
+    c = Q._Characters()
+    runs = dict(zip(Q.CLASSES, c.runs(["The end.  a.b"], np.array([1]))[0]))
+    assert runs == {"lower": 4, "upper": 1, "digit": 0, "space": 1, "stop": 1, "mark": 0, "symbol": 1, "other": 0, "gap": 1}
+    assert c.runs(["", "AB CD"], np.array([0, 0])).tolist() == [[0] * 9, [2, 0, 0, 1, 0, 0, 0, 0, 0]]
+    assert c.symbol_counts(["a-b \U0001f600", "é"]).tolist() == [2, 0]
