@@ -84,7 +84,7 @@ def test_the_divergences_alone_make_prose():
 
     common = {"en": EN}
     garbled = "qneaibpg the uqydj we lplkexlv a jpuskh of tiasou to zxcvb in qwert is asdfg " * 5
-    bare = "Marker journal, query proxy. Anchor ticket shard. Rule window horizon prefix. Ledger stamp catalog. " * 5
+    bare = "Marker journal query proxy anchor ticket shard rule window horizon. Ledger stamp catalog prefix batch unit role phase wave graph kernel. " * 3
     texts = [PROSE * 3, garbled, bare, "- " + PROSE, "\n".join(f"part{i};{i * 7};x" for i in range(20))]
     counted = next(Q._count_batches(common)(iter([pd.DataFrame({"doc_id": range(len(texts)), "text": texts})])))
     language = Q._Language(common)
