@@ -1,23 +1,28 @@
 """Source files no person of the project wrote by hand (problem 4): generated, minified, vendored, or data.
 
-1. Each file is read once. Token composition decides what its text alone can tell: a generator's note in the head,
-   a lock file, a machine's line shapes, minified lines, masses of literals.
-2. Vendored copies need the collection. The hashes of the files' lines form an inverted index that tells of each line
-   in how many files with marks of a third party (a licence head, a vendor folder) it stands, and in how many
-   repositories a file without marks holds it. Lines that unmarked files of more than `most_share` of the
-   repositories hold are boilerplate; the rest are rare. Every file's containment is measured: the share of its
-   rare lines that stand in other marked files. From `least_containment` it is a copy, edited or stripped of its
-   head; marks of its own say the same of a copy that has no marked twin.
-
-File bytes are never shuffled. The index carries hashes and file numbers only.
+1. Vendored copies. The hashes of the lines of all files form an inverted index. Lines that stand in few repositories are
+   rare; a file's containment in another one is the exact share of its rare lines that stand there too. From
+   `least_containment`, with `least_shared` lines, the other file holds a copy of it. What was copied from outside shows in
+   the copies themselves, without any wording: the family (a file and those that hold it) spans three repositories or
+   more, and two of them keep it in a folder of the same name, as packages are kept, while code handed around in the
+   house lands under the names of its new places. A family of two counts if a member carries the marks of a third party (a
+   licence head, or with the copies a vendor folder).
+2. What has no copy here: a file's own marks, or a vendor folder with a package that is known from elsewhere. A folder
+   name alone says nothing.
+3. Token composition judges the remaining files: generator's notes, lock files, a machine's line shapes, minified lines,
+   masses of literals.
+
+Files of equal lines are one class, and the index holds classes. Within a repository files are compared with marked
+ones only, so a third of all files in one repository costs no pairs among themselves. File bytes are never shuffled.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -99,14 +104,40 @@ def composition(text: str) -> dict[str, float]:
     }
 
 
+_CELL = re.compile(r'"source"\s*:\s*(\[(?:\s*"(?:\\.|[^"\\])*"\s*,?)*\s*\]|"(?:\\.|[^"\\])*")')
+
+
+def notebook_source(text: str) -> str:
+    """The text of a notebook's cells, also of a notebook that was cut off; any other text as it is."""
+    if not text.lstrip().startswith("{") or '"cells"' not in text:
+        return text
+    out = []
+    for m in _CELL.finditer(text):
+        try:
+            source = json.loads(m[1], strict=False)
+        except ValueError:
+            continue
+        out.append(source if isinstance(source, str) else "".join(source))
+    return "\n".join(out) or text
+
+
+def is_prose(path: str) -> bool:
+    return path.rsplit(".", 1)[-1].lower() in ("md", "rst", "txt")
+
+
+def has_marks(path: str, text: str) -> bool:
+    """Whether a source file's own leading comments name a third party."""
+    return not is_prose(path) and any(_THIRD_PARTY.search(x) for x in leading_comments(text))
+
+
+def in_vendor_folder(path: str) -> bool:
+    return not is_prose(path) and bool(_VENDOR_FOLDER.search(path))
+
+
 def judge(path: str, text: str) -> tuple[str | None, bool, dict[str, float]]:
     """(generated, minified, data or None; whether the file itself carries marks of a third party; composition)."""
-    suffix = path.rsplit(".", 1)[-1].lower()
-    head = leading_comments(text)
-    prose = suffix in ("md", "rst", "txt")
-    third = not prose and (any(_THIRD_PARTY.search(x) for x in head) or bool(_VENDOR_FOLDER.search(path)))
     c = composition(text)
-    return _kind(path, suffix, text, head, prose, c), third, c
+    return _kind(path, path.rsplit(".", 1)[-1].lower(), text, leading_comments(text), is_prose(path), c), has_marks(path, text), c
 
 
 def _kind(path: str, suffix: str, text: str, head: list[str], prose: bool, c: dict[str, float]) -> str | None:
@@ -121,25 +152,23 @@ def _kind(path: str, suffix: str, text: str, head: list[str], prose: bool, c: di
         return "minified" if c["long_share"] > 0.5 and _MIN_NAME.search(path) else "data"
     if c["long_share"] > 0.5 and c["chars"] > 500 and (c["space"] < 0.08 or c["mean_line"] > 500):
         return "minified"
+    if suffix in (*CODE, "json") and c["mean_line"] > 120 and c["chars"] > 500 and c["space"] < 0.05:
+        return "minified"
     if suffix in (*CODE, "json") and c["lines"] >= 12 and c["top_shapes"] > 0.75 and c["digits"] > 0.12:
         return "data"
-    if suffix in CODE and c["lines"] >= 6 and (c["escapes"] > 0.2 or (_GENERATED_NAME.search(path) and c["top_shapes"] > 0.5)):
+    if suffix in CODE and c["lines"] >= 6 and (c["escapes"] > 0.1 or (_GENERATED_NAME.search(path) and c["top_shapes"] > 0.5)):
         return "generated"
     if suffix in ("py", "js", "ts") and c["lines"] >= 10 and c["shapes"] < 0.3 and c["top_shapes"] > 0.6:
         return "generated"
     return None
 
 
-LEAST_LINE = 12
-
-
-def line_hashes(text: str) -> bytes:
-    """Distinct 8-byte hashes of the stripped lines of at least LEAST_LINE characters."""
-    seen = {xxhash.xxh3_64_intdigest(x) for line in text.split("\n") if len(x := line.strip()) >= LEAST_LINE}
-    return np.fromiter(seen, dtype="<u8", count=len(seen)).tobytes()
+def line_hashes(text: str) -> list[int]:
+    """The distinct 64-bit hashes of the stripped lines that are not blank, in order."""
+    return sorted({xxhash.xxh3_64_intdigest(x) - 2**63 for line in text.split("\n") if (x := line.strip())})
 
 
-_READ = "repo_key string, relative_path string, mtime_ns bigint, kind string, third_party boolean, lines binary"
+_READ = "repo_key string, relative_path string, mtime_ns bigint, kind string, marked boolean, foldered boolean, prose boolean, package string, class binary, lines array<bigint>"
 
 
 def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,47 +176,86 @@ def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for repo, path, mtime, content in zip(batch["repo_key"], batch["relative_path"], batch["mtime_ns"], batch["content"]):
             text = decode(content)
-            kind, third, _ = judge(path, text)
-            out.append((repo, path, int(mtime), kind, third, line_hashes(text)))
-        yield pd.DataFrame(out, columns=["repo_key", "relative_path", "mtime_ns", "kind", "third_party", "lines"])
+            source = notebook_source(text)
+            kind, marked, _ = judge(path, text)
+            lines = line_hashes(source)
+            name = xxhash.xxh3_128_digest(repr(lines))
+            out.append((repo, path, int(mtime), kind, marked or has_marks(path, source), in_vendor_folder(path), is_prose(path), path.rpartition("/")[0].rpartition("/")[2], name, lines))
+        yield pd.DataFrame(out, columns=[x.split()[0] for x in _READ.split(", ")])
 
 
-def _line_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        lines = [np.frombuffer(x, dtype="<i8") for x in batch["lines"]]
-        n = [len(x) for x in lines]
-        each = lambda c: np.repeat(batch[c].to_numpy(), n)
-        yield pd.DataFrame({"line": np.concatenate(lines) if lines else np.empty(0, dtype="<i8"), "file": each("file"), "repo": each("repo"), "third_party": each("third_party")})
+def _copies(current: DataFrame, most: int) -> DataFrame:
+    """(a, b, shared, rare, across) of classes of which b holds rare lines of a: of different repositories (across), or b is marked.
+
+    A class of several repositories differs from every other class's place, so it bears a label of its own; others bear that of
+    their repository. Of a line's classes only those outside its commonest repository meet all others.
+    """
+    spans = current.groupBy("class").agg(F.min("repo").alias("home"), F.max("repo").alias("last"), F.max("marked").alias("marked"))
+    holders = current.groupBy("class", "repo").agg(F.first("lines").alias("lines")).join(spans, "class")
+    posting = holders.select("class", "repo", "home", "marked", F.when(F.col("home") == F.col("last"), F.col("home")).alias("label"), F.explode("lines").alias("line"))
+    by_repo = posting.groupBy("line", "repo").agg(F.count("*").alias("n"), F.count("label").alias("own"))
+    by_line = by_repo.groupBy("line").agg(F.count("*").alias("repos"), F.sum("n").alias("n"), F.max_by("repo", F.struct("own", "repo")).alias("common"))
+    told = by_line.where((F.col("repos") > most) | (F.col("n") > 1))
+    rare = posting.where(F.col("repo") == F.col("home")).join(told, "line", "left").where(F.col("repos").isNull() | (F.col("repos") <= most))
+    sizes = rare.groupBy("class").agg(F.count("*").alias("rare"))
+    label = F.coalesce("label", F.xxhash64("class"))  # of several repositories
+    shared = rare.where(F.col("n") > 1).select("line", "class", label.alias("label"), "marked", (label == F.col("common")).alias("in_common"))
+    a, b = shared.toDF("line", "a", "la", "ma", "ca"), shared.toDF("line", "b", "lb", "mb", "cb")
+    apart = (F.col("a") != F.col("b")) & (F.col("la") != F.col("lb"))
+    met = [
+        a.join(b.where(~F.col("cb")), "line").where(apart),
+        a.where(~F.col("ca")).join(b.where("cb"), "line").where(apart),
+        a.where(~F.col("ma")).join(b.where("mb"), "line").where((F.col("la") == F.col("lb")) & (F.col("a") != F.col("b"))),
+    ]
+    pairs = [x.groupBy("a", "b").agg(F.count("*").alias("shared")).withColumn("across", F.lit(n < 2)) for n, x in enumerate(met)]
+    # A pair may have met in the first two ways, for different lines.
+    counted = pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).groupBy("a", "b", "across").agg(F.sum("shared").alias("shared"))
+    return counted.join(sizes.withColumnRenamed("class", "a"), "a").select("a", "b", "shared", "rare", "across")
 
 
-def classify_files(files: DataFrame, most_share: float = 0.5, least_containment: float = 0.5, least_shared: int = 5) -> DataFrame:
-    """repo_key, relative_path (with `/`), kind, containment for the current version of every file.
+def classify_files(files: DataFrame, rare_share: float = 0.25, least_rare: int = 8, least_containment: float = 0.5, least_shared: int = 5) -> DataFrame:
+    """repo_key, relative_path (with `/`), kind, containment, evidence for the current version of every file.
 
     kind is generated, minified, data, vendored, or null for hand-written; a vendored file that is also one of
-    the others keeps vendored. containment is the share of a file's rare lines that stand in other files with marks
-    of a third party, for marked files as well; marks alone, without a twin, leave it at 0. The current version has the greatest mtime_ns (null is least, ties are equal
-    rows). Null paths are left out, a null repo_key is a repository of its own, null content is an empty file.
+    the others keeps vendored. containment is the greatest share of a file's rare lines that stand in one file of another
+    repository, or in a marked one of its own. A line is rare if at most `rare_share` of the repositories, or `least_rare`
+    of them, hold it. evidence is copies (the family alone), marked_copy, mark, package or composition. The current version
+    has the greatest mtime_ns (null is least, ties are equal rows). Null paths are left out, a null repo_key is a
+    repository of its own, null content is an empty file.
     """
     rows = files.select("repo_key", posix("relative_path").alias("relative_path"), known_time(), "content").where(F.col("relative_path").isNotNull())
     read = spread(rows).mapInPandas(_read_batches, _READ)
-    current = latest(read, ["repo_key", "relative_path"], ["mtime_ns"], ["mtime_ns", "kind", "third_party", "lines"])
-    current = cut(current.withColumn("file", F.xxhash64("repo_key", "relative_path")).withColumn("repo", F.xxhash64(F.coalesce("repo_key", F.lit("\0")))))
+    current = latest(read, ["repo_key", "relative_path"], ["mtime_ns"], [x.split()[0] for x in _READ.split(", ")][2:])
+    current = cut(current.withColumn("repo", F.xxhash64(F.coalesce("repo_key", F.lit("\0")))))
     repositories = current.select("repo").distinct().count()
-    most = max(2, int(most_share * repositories))
-    posting = current.select("file", "repo", "third_party", "lines").mapInPandas(_line_batches, "line bigint, file bigint, repo bigint, third_party boolean")
-    # Per line and repository first: a repository with a third of all files adds one row for a line.
-    by_repo = posting.groupBy("line", "repo").agg(F.count("*").alias("files"), F.count(F.when(F.col("third_party"), 1)).alias("marked"))
-    by_line = by_repo.groupBy("line").agg(F.sum("files").alias("files"), F.sum("marked").alias("marked"), F.count(F.when(F.col("files") > F.col("marked"), 1)).alias("plain_repos"))
-    known = by_line.where((F.col("plain_repos") > most) | ((F.col("marked") > 0) & (F.col("files") > 1))).select("line", "marked", "plain_repos")
-    shares = (
-        posting.join(known, "line", "left")
-        .where(F.col("plain_repos").isNull() | (F.col("plain_repos") <= most))
-        .groupBy("file")
-        .agg(F.count("*").alias("rare"), F.count(F.when(F.col("marked") > F.col("third_party").cast("int"), 1)).alias("shared"))
-        .where(F.col("shared") > 0)
-        .select("file", "shared", (F.col("shared") / F.col("rare")).alias("containment"))
+    copies = cut(_copies(current, max(least_rare, math.ceil(rare_share * repositories))))
+    share = F.col("shared") / F.col("rare")
+    links = copies.where((share >= least_containment) & (F.col("shared") >= least_shared)).select("a", "b", "across")
+    # The family of a class: itself and what holds it, by repository and folder.
+    places = current.groupBy("class", "repo", "package").agg(F.max("marked").alias("marked"), F.max("foldered").alias("foldered"), F.max("prose").alias("prose"))
+    itself = current.where(F.size("lines") >= least_shared).select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(False).alias("across")).distinct()
+    family = links.unionByName(itself).join(places.withColumnRenamed("class", "b"), "b")
+    by_folder = family.groupBy("a", "package").agg(F.min("repo").alias("lo"), F.max("repo").alias("hi"), F.max("across").alias("across"), F.max("marked").alias("marked"), F.max("foldered").alias("foldered"), F.min("prose").alias("prose"))
+    kept_alike = F.max((F.col("lo") < F.col("hi")) & (F.col("package") != "") & ~F.col("prose"))
+    kin = by_folder.groupBy("a").agg(
+        kept_alike.alias("alike"), F.max("marked").alias("marked_kin"), F.max("foldered").alias("foldered_kin"), (F.max("across") | (F.min("lo") < F.max("hi"))).alias("spread")
+    )
+    sizes = family.groupBy("a").agg(F.countDistinct("repo").alias("repos"))
+    several = current.where(F.size("lines") > 0).groupBy(F.col("class").alias("a")).agg(F.min("repo").alias("lo"), F.max("repo").alias("hi")).where(F.col("lo") < F.col("hi")).select("a", F.lit(1.0).alias("held"))
+    best = copies.select("a", share.alias("held")).unionByName(several).groupBy("a").agg(F.max("held").alias("held"))
+    of_class = kin.join(sizes, "a").join(best, "a", "full").withColumnRenamed("a", "class")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    joined = current.drop("lines").join(of_class, "class", "left").withColumns(
+        {
+            "copies": yes(F.col("alike") & (F.col("repos") > 2) & ~F.col("prose")),
+            "marked_copy": yes(~F.col("prose") & (F.col("marked_kin") | (F.col("spread") & F.col("foldered_kin"))) & ~F.col("marked")),
+            "held": F.coalesce("held", F.lit(0.0)),
+        }
     )
-    joined = current.join(shares, "file", "left")
-    copied = (F.col("containment") >= least_containment) & (F.col("shared") >= least_shared)
-    vendored = F.coalesce(copied, F.lit(False)) | F.col("third_party")
-    return joined.select("repo_key", "relative_path", F.when(vendored, F.lit("vendored")).otherwise(F.col("kind")).alias("kind"), F.round(F.coalesce("containment", F.lit(0.0)), 4).alias("containment"))
+    # Packages known by a copy or a mark, with the repositories that hold them: one row a name.
+    known = joined.where((F.col("copies") | F.col("marked_copy") | F.col("marked")) & (F.col("package") != "")).groupBy("package").agg(F.min("repo").alias("first_repo"), F.max("repo").alias("last_repo"))
+    in_folder = joined.where("foldered").select("repo", "package").distinct().join(known, "package").where((F.col("repo") != F.col("first_repo")) | (F.col("repo") != F.col("last_repo")))
+    found = joined.join(in_folder.select("repo", "package", F.lit(True).alias("known")), ["repo", "package"], "left")
+    evidence = F.when(F.col("copies"), "copies").when(F.col("marked_copy"), "marked_copy").when(F.col("marked"), "mark").when(F.col("known") & F.col("foldered"), "package").when(F.col("kind").isNotNull(), "composition")
+    kind = F.when(F.col("evidence") != "composition", "vendored").otherwise(F.col("kind"))
+    return found.withColumn("evidence", evidence).select("repo_key", "relative_path", kind.alias("kind"), F.round("held", 4).alias("containment"), "evidence")
