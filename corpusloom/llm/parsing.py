@@ -1,9 +1,10 @@
 """Source files that do not parse (problem 1).
 
-Every file is decoded (UTF-8, invalid bytes dropped, a leading byte-order mark removed) and given to the
-grammar of its suffix. When that grammar refuses it, token evidence ranks the other grammars and each is
-tried in that order: a foreign grammar that accepts the text names a wrong extension, refusal by all of them
-means corruption. Grammars are the real ones: Python's own parser, JSON, TOML, YAML 1.1 and bash.
+Every file is decoded (UTF-8, invalid bytes dropped, a leading byte-order mark removed, CRLF taken as the line end it
+is) and given to all grammars in the order of its token evidence, its own language first. What they accept decides: its
+own grammar makes it valid; else a foreign grammar that accepts it, with evidence for that language, names a wrong
+extension, and refusal by all of them means corruption. Grammars are the real ones: Python's own parser, JSON, TOML,
+YAML 1.1 and bash. A worker without PyYAML or bash fails; no lesser check stands in.
 
 Parsing is a map over the scan: file bytes are never shuffled. Only the verdict rows are, to keep the current
 version of each path.
@@ -16,6 +17,7 @@ import json
 import re
 import shutil
 import subprocess
+import tempfile
 import tomllib
 import warnings
 from collections.abc import Callable, Iterator
@@ -30,7 +32,7 @@ try:
     import yaml
 
     _YAML_LOADER = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
-except ImportError:  # the structural check below stands in
+except ImportError:
     yaml = None
 
 SUFFIX_LANGUAGE = {"py": "python", "json": "json", "toml": "toml", "yml": "yaml", "yaml": "yaml", "sh": "bash"}
@@ -39,10 +41,10 @@ SUFFIX_PATTERN = r"(?i)\.(py|json|toml|ya?ml|sh)$"
 
 VERDICT_SCHEMA = (
     "repo_key string, relative_path string, mtime_ns bigint, language string, parses boolean, "
-    "verdict string, parsed_as string, tried array<string>, message string"
+    "verdict string, parsed_as string, accepted array<string>, tried array<string>, message string"
 )
 
-# Token evidence for a language: (pattern, weight). Only files their own grammar refuses are ranked.
+# Token evidence for a language: (pattern, weight).
 _EVIDENCE: dict[str, list[tuple[re.Pattern, float]]] = {
     "python": [(re.compile(r"(?m)^\s*(?:def|class|from|import|elif|with|return|raise)\b"), 2.0), (re.compile(r"(?m):\s*$"), 0.4), (re.compile(r"\bself\."), 1.0)],
     "json": [(re.compile(r'"[^"\n]*"\s*:'), 1.0), (re.compile(r"(?m)^\s*[}\]],?\s*$"), 0.6), (re.compile(r"\A\s*[{\[]"), 4.0)],
@@ -84,14 +86,14 @@ MOST_DEPTH = 500
 
 
 def _yaml(text: str) -> None:
-    if yaml is None:
-        return _yaml_structure(text)
     for _ in _yaml_events(text):
         pass
 
 
 def _yaml_events(text: str) -> Iterator:
     """The events of all documents, with the composer's rules on anchors; an event stream needs no deep C stack."""
+    if yaml is None:
+        raise RuntimeError("this worker has no PyYAML")
     depth, anchors = 0, set()
     try:
         for event in yaml.parse(text, Loader=_YAML_LOADER):
@@ -112,42 +114,48 @@ def _yaml_events(text: str) -> Iterator:
         raise ValueError(" ".join(str(e).split())) from None
 
 
-def _yaml_structure(text: str) -> None:
-    """Without a YAML parser: conflict markers, tab indents, templates and unbalanced flow brackets or quotes."""
-    depth = 0
-    for n, line in enumerate(text.split("\n"), 1):
-        if line.startswith(("<<<<<<< ", ">>>>>>> ", "=======", "{%", "@", "`")) or (line.startswith("\t") and not depth):
-            raise ValueError(f"line {n}: not YAML")
-        bare = re.sub(r"'[^']*'|\"(?:\\.|[^\"\\])*\"|(?:^|\s)#.*", "", line)
-        if re.search(r":\s*[\"'][^\"']*$", bare):
-            raise ValueError(f"line {n}: open quote")
-        for ch in bare if depth or re.search(r"(?:^|[:\-])\s*[\[{]", bare) else "":
-            depth += (ch in "[{") - (ch in "]}")
-            if depth < 0:
-                raise ValueError(f"line {n}: unbalanced bracket")
-    if depth:
-        raise ValueError("unbalanced bracket at the end")
+_BASH = shutil.which("bash")
+# Parses each text in a fork of its own: after `set -n` commands are read but none is run.
+_BASH_MANY = """mapfile -d '' -t texts <"$1"
+for t in "${texts[@]}"; do ( eval "set -n
+$t" ) >/dev/null 2>&1 </dev/null; echo $?; done"""
+BASH_BATCH = 128
 
 
-_BASH = shutil.which("bash")
+def _run_bash(*given: str, text: bytes | None = None) -> subprocess.CompletedProcess:
+    if _BASH is None:
+        raise RuntimeError("this worker has no bash")
+    return subprocess.run([_BASH, "--norc", *given], input=text, capture_output=True, env={"LC_ALL": "C", "PATH": ""})
 
 
 def _bash(text: str) -> None:
-    """`bash -n` reads without executing. Without a bash binary, block words and quotes are balanced."""
-    if _BASH:
-        done = subprocess.run([_BASH, "--norc", "-n"], input=text.encode("utf-8", "ignore"), capture_output=True, env={"LC_ALL": "C", "PATH": ""})
-        if done.returncode:
-            raise ValueError(done.stderr.decode("utf-8", "replace").strip()[:300])
-        return
-    if re.search(r"(?m)^(?:<{7}|>{7}) |(?:\b(?:do|then)|\{)\r$", text):
-        raise ValueError("conflict marker or carriage return after a block word")
-    bare = re.sub(r"<<-?\s*['\"]?(\w+)['\"]?[^\n]*\n.*?\n\s*\1\s*(?=\n|\Z)|\\.|'[^']*'|\"(?:\\.|[^\"\\])*\"|(?m:(?:^|\s)#.*$)", " ", text, flags=re.S)
-    if re.search(r"[\"']", bare):
-        raise ValueError("open quote")
-    for begin, end in (("if", "fi"), ("do", "done"), ("case", "esac")):
-        count = lambda word: len(re.findall(rf"(?m)(?:^|[;&|]|\bthen|\belse|\bdo)\s*{word}\b", bare))
-        if count(begin) != count(end):
-            raise ValueError(f"{begin} without {end}")
+    """`bash -n` reads without executing."""
+    done = _run_bash("-n", text=text.encode("utf-8", "ignore"))
+    if done.returncode:
+        raise ValueError(done.stderr.decode("utf-8", "replace").strip()[:300])
+
+
+def bash_accepts(texts: list[str]) -> list[bool]:
+    """As `bash -n` of each text, many to a process. One with null bytes, and all of a process that ended early, are run by themselves."""
+
+    def alone(text: str) -> bool:
+        try:
+            _bash(text)
+            return True
+        except ValueError:
+            return False
+
+    out: dict[int, bool] = {}
+    together = [i for i, t in enumerate(texts) if "\0" not in t]
+    for lo in range(0, len(together), BASH_BATCH):
+        part = together[lo : lo + BASH_BATCH]
+        with tempfile.NamedTemporaryFile() as f:
+            f.write(b"".join(texts[i].encode("utf-8", "ignore") + b"\0" for i in part))
+            f.flush()
+            codes = _run_bash("-c", _BASH_MANY, "bash", f.name).stdout.split()
+        if len(codes) == len(part):
+            out.update(zip(part, (c == b"0" for c in codes)))
+    return [out[i] if i in out else alone(t) for i, t in enumerate(texts)]
 
 
 _PARSERS: dict[str, Callable[[str], None]] = {"python": _python, "json": _json, "toml": _toml, "yaml": _yaml, "bash": _bash}
@@ -163,62 +171,67 @@ def rank_languages(text: str) -> list[tuple[str, float]]:
 
 def _is_structured(name: str, text: str, score: float) -> bool:
     """YAML takes any prose as a scalar and bash nearly any words as commands: acceptance counts only with evidence."""
-    if name == "yaml" and yaml is not None:
+    if name == "yaml":
         return score > 0.2 and any(isinstance(e, yaml.CollectionStartEvent) for e in _yaml_events(text))
     return score > 0.2
 
 
-def examine(text: str, language: str) -> tuple[bool, str, str | None, list[str], str | None]:
-    """(parses, verdict, parsed_as, grammars tried, message of its own grammar).
+def examine(text: str, language: str) -> tuple:
+    """(parses, verdict, parsed_as, grammars that accept it, grammars tried, message of its own grammar).
 
-    An empty or blank text parses except as JSON, as the grammars themselves hold.
+    An empty or blank text parses except as JSON, as the grammars themselves hold. Foreign acceptances count with evidence only.
     """
-    try:
-        _PARSERS[language](text)
-        return True, "valid", language, [language], None
-    except _REFUSED as e:
-        message = (str(e) or type(e).__name__)[:300]
-    tried = [language]
-    for name, score in rank_languages(text):
-        if name == language:
-            continue
-        tried.append(name)
+    return examine_all([(text, language)])[0]
+
+
+def examine_all(items: list[tuple[str, str]]) -> list[tuple]:
+    in_bash = bash_accepts([text for text, _ in items])
+    return [_verdict(text, language, bash) for (text, language), bash in zip(items, in_bash)]
+
+
+def _verdict(text: str, language: str, bash: bool) -> tuple:
+    ranked = rank_languages(text)
+    order = [language, *(name for name, _ in ranked if name != language)]
+    score, accepted, message = dict(ranked), [], None
+    for name in order:
         try:
-            _PARSERS[name](text)
-            if _is_structured(name, text, score):
-                return False, "wrong_extension", name, tried, message
-        except _REFUSED:
-            pass
-    return False, "corrupt", None, tried, message
+            if name != "bash":
+                _PARSERS[name](text)
+            elif not bash:
+                if name == language:
+                    _bash(text)  # for its message
+                continue
+            if name == language or _is_structured(name, text, score[name]):
+                accepted.append(name)
+        except _REFUSED as e:
+            if name == language:
+                message = (str(e) or type(e).__name__)[:300]
+    first = accepted[0] if accepted else None
+    return first == language, "valid" if first == language else "wrong_extension" if first else "corrupt", first, accepted, order, message
 
 
 def _examine_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    seen: dict[tuple[str, bytes], tuple] = {}  # repeated uploads of one version; emptied when it grows
     for batch in batches:
-        out = []
-        for repo, path, mtime, content in zip(batch["repo_key"], batch["relative_path"], batch["mtime_ns"], batch["content"]):
-            language = SUFFIX_LANGUAGE[path.rsplit(".", 1)[-1].lower()]
-            key = (language, content or b"")
-            if key not in seen:
-                if len(seen) >= 512:
-                    seen.clear()
-                seen[key] = examine(decode(content), language)
-            out.append((repo, path, int(mtime), language, *seen[key]))
-        yield pd.DataFrame(out, columns=["repo_key", "relative_path", "mtime_ns", "language", "parses", "verdict", "parsed_as", "tried", "message"])
+        texts = [decode(content).replace("\r\n", "\n") for content in batch["content"]]
+        languages = [SUFFIX_LANGUAGE[path.rsplit(".", 1)[-1].lower()] for path in batch["relative_path"]]
+        distinct = list(dict.fromkeys(zip(texts, languages)))  # repeated uploads of one version
+        known = dict(zip(distinct, examine_all(distinct)))
+        out = [(repo, path, int(mtime), language, *known[text, language]) for repo, path, mtime, text, language in zip(batch["repo_key"], batch["relative_path"], batch["mtime_ns"], texts, languages)]
+        yield pd.DataFrame(out, columns=[x.split()[0] for x in VERDICT_SCHEMA.split(", ")])
 
 
 def parse_files(files: DataFrame) -> DataFrame:
     """One row for the current version of each file with a supported suffix.
 
     In: repo_key, relative_path, content, mtime_ns; other columns are ignored. Out: repo_key, relative_path
-    (with `/`), language, parses, verdict (valid, wrong_extension, corrupt), parsed_as, tried, message.
+    (with `/`), language, parses, verdict (valid, wrong_extension, corrupt), parsed_as, accepted, tried, message.
     The current version has the greatest mtime_ns (null counts as the least; equal times: a row that does
     not parse loses to one that does, so a repeated row changes nothing). Null paths are left out, a null
     repo_key is a group of its own, null content counts as an empty file. Empty input gives no rows.
     """
     rows = files.select("repo_key", posix("relative_path").alias("relative_path"), known_time(), "content").where(F.col("relative_path").rlike(SUFFIX_PATTERN))
     verdicts = spread(rows).mapInPandas(_examine_batches, VERDICT_SCHEMA)
-    fields = ["mtime_ns", "parses", "language", "verdict", "parsed_as", "tried", "message"]
+    fields = ["mtime_ns", "parses", "language", "verdict", "parsed_as", "accepted", "tried", "message"]
     return latest(verdicts, ["repo_key", "relative_path"], ["mtime_ns", "parses"], fields).drop("mtime_ns")
 
 

@@ -22,7 +22,7 @@ def test_wrong_extension_and_corruption():
     assert P.examine("[package]\nname = \"x\"\n\n[deps]\na = \"1\"\n", "json")[1:3] == ("wrong_extension", "toml")
     assert P.examine("import os\n\n\ndef f(x):\n    return os.name\n", "bash")[1:3] == ("wrong_extension", "python")
     verdict = P.examine("def f():\n    return 1\n<<<<<<< HEAD\nx = 1\n=======\nx = 2\n>>>>>>> other\n", "python")
-    assert verdict[1] == "corrupt" and set(verdict[3]) == set(P.GRAMMARS)
+    assert verdict[1] == "corrupt" and verdict[3] == [] and set(verdict[4]) == set(P.GRAMMARS)
     assert P.examine("Some prose that is no program, at all.\n(", "json")[1] == "corrupt"
 
 
@@ -36,11 +36,41 @@ def test_bash_takes_carriage_returns_as_characters():
     assert not P.examine("for x in a b; do\r\n  echo $x\r\ndone\r\n", "bash")[0]
 
 
-def test_checks_that_stand_in(monkeypatch):
+def test_a_worker_without_the_grammars_fails(monkeypatch):
     monkeypatch.setattr(P, "yaml", None)
+    with pytest.raises(RuntimeError):
+        P.examine("a: 1\n", "yaml")
+    monkeypatch.undo()
     monkeypatch.setattr(P, "_BASH", None)
-    assert P.examine("a: 1\nb: [x, y]\n# it's\n", "yaml")[0] and not P.examine("a: [x\nb: 1\n", "yaml")[0] and not P.examine("{% if x %}\n", "yaml")[0]
-    assert P.examine("cat <<'E'\nit's if\nE\nif true; then\n  echo 'a'\nfi\n", "bash")[0] and not P.examine("if true; then\n  echo\n", "bash")[0]
+    with pytest.raises(RuntimeError):
+        P.examine("true\n", "bash")
+
+
+def test_bash_in_one_process_agrees_with_one_each():
+    texts = ["", "if", "fi", "if true; then :; fi", "cat <<E\nx", "a\\", "'", "$(", "}", "echo }; echo )", "set +n; exit 9", "trap 'exit 3' EXIT\nfalse", "return 4", "exit 3", "x() { ", "a=(1 2", "\0if", "case x in a) ;; esac", "for ((;;)); do :; done", "echo ${x", "echo $((1+", "if true; then\r\n:\r\nfi\r\n", "# é\n'"] * 12
+
+    def alone(text):
+        try:
+            P._bash(text)
+            return True
+        except ValueError:
+            return False
+
+    assert P.bash_accepts(texts) == [alone(t) for t in texts[: len(texts) // 12]] * 12
+
+
+def test_bash_runs_nothing(tmp_path):
+    mark = tmp_path / "mark"
+    P.bash_accepts([f"echo x > {mark}", f"set +n\necho x > {mark}", f"}}\necho x > {mark}", f")\necho x > {mark}", f"trap 'echo x > {mark}' EXIT DEBUG ERR", f"$(echo x > {mark})", f"alias a='echo x > {mark}'\na"])
+    assert not mark.exists()
+
+
+def test_every_grammar_is_tried():
+    for text, language in (("x = 1\n", "python"), ('{"a": 1}', "json"), ("a: 1\n", "yaml"), ("if\n", "bash")):
+        got = P.examine(text, language)
+        assert set(got[4]) == set(P.GRAMMARS) and got[4][0] == language
+    assert P.examine('{"a": 1,\n "b": [1, 2]}', "json")[3][0] == "json"
+    assert P.examine('{"a": 1,\n "b": [1, 2]}', "toml")[1:3] == ("wrong_extension", "json")
 
 
 def test_rank_prefers_the_evidence():
@@ -61,10 +91,11 @@ def test_current_version_decides(spark):
         ("r", "a/n.json", None, 1, None),
         ("r", "a/skip.md", b"(", 1, None),
         ("r", "a/long.py", b"x = 1\n" * 100_000, 1, None),
+        ("r", "a/crlf.sh", b"for x in a b; do\r\n  echo $x\r\ndone\r\n", 1, None),
     ]
     df = spark.createDataFrame(rows, FILES)
     got = {(r["repo_key"], r["relative_path"]): r["parses"] for r in P.parse_files(df).collect()}
-    assert got == {("r", "a/x.py"): True, ("r", "a/y.json"): True, ("r", "a/z.toml"): True, (None, "a/w.yml"): True, ("r", "a/n.json"): False, ("r", "a/long.py"): True}
+    assert got == {("r", "a/x.py"): True, ("r", "a/y.json"): True, ("r", "a/z.toml"): True, (None, "a/w.yml"): True, ("r", "a/n.json"): False, ("r", "a/long.py"): True, ("r", "a/crlf.sh"): True}
     rates = {r["language"]: (r["n_files"], r["n_failed"], r["failure_rate"]) for r in P.parse_rates(df).where("repo_key is not null").collect()}
     assert rates["json"] == (2, 1, 0.5) and rates["python"] == (2, 0, 0.0)
     assert P.parse_files(df.where("false")).count() == 0 and P.parse_rates(df.where("false")).count() == 0
