@@ -1,10 +1,11 @@
 """Near-duplicate texts (problem 5), by bottom-k sketches from one hash function.
 
-1. Distinct texts become classes; exact copies are membership, never pairs.
+1. Distinct texts become classes; exact copies are membership, never pairs. A class is known by 128 bits of its text and
+   numbered when its table is written.
 2. A class is the set of hashes of its shingles; its sketch is the k smallest.
-3. Inverted lists of the retained values generate the overlaps. A list is keyed by a run of neighbours in
-   the sketch: boilerplate shared by many texts builds long lists of single values but hardly of neighbours, while
-   similar sets share many neighbours. No list is capped; long ones are split among tasks.
+3. Inverted lists of the retained values generate the overlaps. Similar sets share many of their retained values, so two
+   of them also meet among their rarest ones: of each sketch only the values needed for that are listed, by
+   the length of their lists. Values of boilerplate, with the longest lists, come last and are mostly left out; no list is cut.
 4. The union of two sketches estimates their Jaccard similarity and drops clear misses.
 5. The exact Jaccard similarity of the full sets decides.
 """
@@ -21,10 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, spread
+from .common import cut
 
 _TOKEN = re.compile(r"\w+")
-SMALL = 28
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,12 +62,12 @@ def unpack(raw: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def _shingle_batches(width: int, least_tokens: int) -> Callable:
+def _shingle_batches(width: int, least_tokens: int, k: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
         for batch in batches:
             out = []
-            for key, text in zip(batch["class_id"], batch["text"]):
+            for key, text in zip(batch["key"], batch["text"]):
                 if len(known) > 200_000:
                     known.clear()
                 words = tokens(text)
@@ -75,75 +75,61 @@ def _shingle_batches(width: int, least_tokens: int) -> Callable:
                     continue
                 hashes = shingle_hashes(words, width, known)
                 if len(hashes):
-                    out.append((key, len(hashes), pack(hashes)))
-            yield pd.DataFrame(out, columns=["class_id", "n", "shingles"])
+                    out.append((key, len(hashes), pack(hashes), (hashes[:k] >> np.uint64(16)).astype(np.int64)))
+            yield pd.DataFrame(out, columns=["key", "n", "shingles", "sketch"])
 
     return run
 
 
-def _runs(sketch: np.ndarray, length: int) -> np.ndarray:
-    n = max(0, len(sketch) - length + 1)
-    mixed = np.zeros(n, dtype=np.uint64)
-    for i in range(length):
-        mixed = (mixed * np.uint64(3) + sketch[i : i + n]) * _MIX
-        mixed ^= mixed >> np.uint64(29)
-    return mixed
-
+def least_overlap(n: int, threshold: float, k: int) -> int:
+    """Retained values that a set of n values shares with any set of at least the threshold's similarity.
 
-def list_keys(sketch: np.ndarray, n: int, threshold: float) -> np.ndarray:
-    """Keys of runs of neighbours in a sketch: runs of three (even keys), for small sets of two (odd keys).
-
-    If two sets share no run of three, every third value of their union in hash order is not shared, so with
-    SMALL or more values their similarity is under 0.7: complete sketches miss nothing. Of cut sketches with
-    k = 40 the chance of a miss is 2 in 100,000 at a similarity of 0.7 and less above. Sets under SMALL use
-    runs of two, which likewise miss nothing over 0.67, or their single value; sets that may meet a smaller
-    one carry both.
+    Up to threshold * k values the union of the two fits into k, so both sketches are complete and the count is certain.
+    Of larger sets the k least values of the union are shared with the chance of their similarity; five deviations
+    below its mean, a miss has a chance of about one in a million at the threshold, and less above.
     """
-    one = np.uint64(1)
-    out = []
-    if n <= SMALL / threshold:
-        out.append((_runs(sketch, 2) if len(sketch) > 1 else sketch) | one)
-    if n >= SMALL:
-        out.append(_runs(sketch, 3) & ~one)
-    return np.concatenate(out)
+    if n <= threshold * k:
+        return max(1, math.ceil(threshold * n - 1e-9))
+    return max(1, math.floor(threshold * k - 5 * math.sqrt(k * threshold * (1 - threshold))))
 
 
-def _key_batches(threshold: float, k: int) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keys = [list_keys(unpack(x[: 6 * k]), n, threshold).view(np.int64) for x, n in zip(batch["shingles"], batch["n"])]
-            n = [len(x) for x in keys]
-            yield pd.DataFrame({"value": np.concatenate(keys) if keys else np.empty(0, dtype=np.int64), "class_id": np.repeat(batch["class_id"].to_numpy(), n), "n": np.repeat(batch["n"].to_numpy(), n)})
-
-    return run
-
-
-def _short_batches(k: int) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            short = [np.frombuffer(x[: 6 * k], dtype=np.uint8).reshape(-1, 6)[:, 2:].tobytes() for x in batch["shingles"]]
-            yield pd.DataFrame({"class_id": batch["class_id"], "short": short})
-
-    return run
+def listed(n: int, threshold: float, k: int) -> int:
+    """How many values of a sketch, the rarest first, must be listed: sets that share m values share one outside any m - 1."""
+    return min(n, k) - least_overlap(n, threshold, k) + 1
 
 
 def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(class_id, text) of the distinct texts, and (chunk_id, class_id) of the members. Null texts and ids are left out."""
-    known = rows.select("chunk_id", "text").where(F.col("chunk_id").isNotNull() & F.col("text").isNotNull()).withColumn("class_id", F.xxhash64("text"))
-    return known.select("class_id", "text"), known.select("chunk_id", "class_id").distinct()
+    """(key, text) of the distinct texts, and (chunk_id, key) of the members. Null texts and ids are left out."""
+    known = rows.select("chunk_id", "text").where(F.col("chunk_id").isNotNull() & F.col("text").isNotNull()).withColumn("key", F.unhex(F.md5("text")))
+    return known.groupBy("key").agg(F.first("text").alias("text")), known.select("chunk_id", "key").distinct()
+
+
+def candidates(sets: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(a, b, overlap) of classes whose listed values meet; sizes that rule out the threshold do not."""
+    posting = sets.select("class_id", "n", F.explode("sketch").alias("value"))
+    length = posting.groupBy("value").agg(F.count("*").alias("length")).where(F.col("length") > 1)
+    # Values of one set alone are its rarest, and meet nothing; the others follow by the length of their lists.
+    by_rarity = posting.join(length, "value").groupBy("class_id", "n").agg(F.sort_array(F.collect_list(F.struct("length", "value"))).alias("values"))  # at most k
+    plan = F.array(*[F.lit(listed(n, threshold, k)) for n in range(1, k + 1)])
+    most = F.when(F.col("n") <= k, F.element_at(plan, F.least("n", F.lit(k)))).otherwise(F.lit(listed(k + 1, threshold, k)))
+    keep = most - (F.least("n", F.lit(k)) - F.size("values"))
+    kept = by_rarity.where(keep > 0).select("class_id", "n", F.explode(F.slice("values", F.lit(1), keep)).alias("v")).select(F.col("v.value").alias("value"), "class_id", "n")
+    left, right = kept.toDF("value", "a", "na"), kept.toDF("value", "b", "nb")
+    # Both sides are one exchange, read twice; a long list is split among tasks by the skew join.
+    met = left.join(right, "value").where((F.col("a") < F.col("b")) & (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9))
+    return met.groupBy("a", "b").agg(F.count("*").alias("overlap"))
 
 
 def _estimate(threshold: float, k: int) -> Callable:
     """Drop pairs whose union sketch holds too few shared values, four deviations below the threshold.
 
-    The short sketches keep the upper four bytes of each value, in order.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = []
             for x, y in zip(batch["x"], batch["y"]):
-                x, y = np.frombuffer(x, dtype="<u4"), np.frombuffer(y, dtype="<u4")
+                x, y = np.asarray(x), np.asarray(y)
                 union = np.union1d(x, y)[:k]
                 both = len(np.intersect1d(union, np.intersect1d(x, y)))
                 keep.append(both / len(union) >= threshold - 4 * math.sqrt(threshold * (1 - threshold) / len(union)))
@@ -168,50 +154,41 @@ def _verify(threshold: float) -> Callable:
 
 
 def similar_classes(rows: DataFrame, threshold: float = 0.8, width: int = 5, least_tokens: int = 0, k: int = 40) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(a, b, jaccard) of distinct texts with a < b; (chunk_id, class_id); the class_id of the texts that count.
+    """(a, b, jaccard) of distinct texts with a < b; (chunk_id, key); (class_id, key) of the texts that count.
 
-    Texts with fewer than `least_tokens` tokens, or fewer than `width`, belong to a class but link to none.
-    Needs a threshold of at least 0.7.
+    Texts with fewer than `least_tokens` tokens, or fewer than `width`, have no class number and link to none.
+    Needs a threshold of at least 0.5.
     """
-    if not 0.7 <= threshold <= 1:
-        raise ValueError("the lists are complete only for thresholds from 0.7")
+    if not 0.5 <= threshold <= 1:
+        raise ValueError("the lists need a threshold of at least 0.5")
     texts, members = classes(rows)
-    distinct = texts.groupBy("class_id").agg(F.first("text").alias("text"))
-    sets = cut(spread(distinct).mapInPandas(_shingle_batches(width, least_tokens), "class_id bigint, n int, shingles binary"))
-    posting = sets.mapInPandas(_key_batches(threshold, k), "value bigint, class_id bigint, n int")
-    left, right = posting.toDF("value", "a", "na"), posting.toDF("value", "b", "nb")
-    # Both sides are one exchange, read twice; a long list is split among tasks by the skew join.
-    pairs = (
-        left.join(right, "value")
-        .where((F.col("a") < F.col("b")) & (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9))
-        .where((F.least("na", "nb") < SMALL) == (F.col("value").bitwiseAND(F.lit(1)) == 1))
-        .select("a", "b")
-        .distinct()
-    )
-    short = sets.mapInPandas(_short_batches(k), "class_id bigint, short binary")
+    made = texts.mapInPandas(_shingle_batches(width, least_tokens, k), "key binary, n int, shingles binary, sketch array<bigint>")
+    sets = cut(made.withColumn("class_id", F.monotonically_increasing_id()))  # numbered once, as the table is written
+    pairs = candidates(sets, threshold, k).select("a", "b")
+    short, full = sets.select("class_id", "sketch"), sets.select("class_id", "shingles")
     near = pairs.join(short.toDF("a", "x"), "a").join(short.toDF("b", "y"), "b").mapInPandas(_estimate(threshold, k), "a bigint, b bigint")
-    full = sets.select("class_id", "shingles")
     links = near.join(full.toDF("a", "x"), "a").join(full.toDF("b", "y"), "b").mapInPandas(_verify(threshold), "a bigint, b bigint, jaccard double")
-    return links, members, sets.select("class_id")
+    return links, members, sets.select("class_id", "key")
 
 
 def near_duplicate_groups(rows: DataFrame, threshold: float = 0.8, width: int = 5, least_tokens: int = 0) -> DataFrame:
     """chunk_id, class_id, copies, links, group_id: one row per chunk.
 
-    `copies` counts the chunks with exactly this text, `links` the other texts within the threshold, and
-    group_id is the least class of the connected component. A repeated chunk_id with the same text is one row.
+    class_id is the text's MD5, `copies` counts the chunks with exactly this text, `links` the other texts within
+    the threshold, and group_id is one class of the connected component. A repeated chunk_id with the same text is one row.
     """
-    links, members, _ = similar_classes(rows, threshold, width, least_tokens)
+    links, members, numbers = similar_classes(rows, threshold, width, least_tokens)
     links, members = cut(links), cut(members)
     both = links.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(links.select(F.col("b").alias("v"), F.col("a").alias("w")))
     degree = both.groupBy("v").agg(F.count("*").alias("links"))
-    groups = components(links)
-    copies = members.groupBy("class_id").agg(F.count("*").alias("copies"))
+    named = numbers.select(F.col("class_id").alias("group_id"), F.col("key").alias("group_key"))
+    linked = numbers.join(degree.withColumnRenamed("v", "class_id"), "class_id").join(components(links), "class_id").join(named, "group_id").select("key", "links", "group_key")
     return (
-        members.join(copies, "class_id")
-        .join(degree.withColumnRenamed("v", "class_id"), "class_id", "left")
-        .join(groups, "class_id", "left")
-        .select("chunk_id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("group_id", "class_id").alias("group_id"))
+        members.groupBy("key")
+        .agg(F.count("*").alias("copies"))
+        .join(linked, "key", "left")
+        .join(members, "key")
+        .select("chunk_id", F.lower(F.hex("key")).alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"), F.lower(F.hex(F.coalesce("group_key", "key"))).alias("group_id"))
     )
 
 
@@ -240,14 +217,14 @@ def near_duplicate_pairs(rows: DataFrame, threshold: float = 0.7, width: int = 3
     its first member, which together name the same group without a quadratic result; its links to other
     texts are given for its first member.
     """
-    links, members, counted = similar_classes(rows, threshold, width, least_tokens)
-    members = cut(members)
+    links, members, numbers = similar_classes(rows, threshold, width, least_tokens)
+    members = cut(members.join(numbers, "key").select("chunk_id", "class_id"))
     sizes = members.groupBy("class_id").agg(F.count("*").alias("copies"), F.min("chunk_id").alias("first_id"))
-    ends = members.join(sizes, "class_id").where((F.col("copies") <= expand) | (F.col("chunk_id") == F.col("first_id"))).select("class_id", "chunk_id")
+    sized = members.join(sizes, "class_id")
+    ends = sized.where((F.col("copies") <= expand) | (F.col("chunk_id") == F.col("first_id"))).select("class_id", "chunk_id")
     across = links.select("a", "b").join(ends.toDF("a", "p"), "a").join(ends.toDF("b", "q"), "b").select("p", "q")
-    copied = members.join(sizes.where(F.col("copies") > 1), "class_id").join(counted, "class_id", "left_semi")
-    small = copied.where(F.col("copies") <= expand).select("class_id", "chunk_id")
+    small = sized.where((F.col("copies") > 1) & (F.col("copies") <= expand)).select("class_id", "chunk_id")
     inside = small.toDF("c", "p").join(small.toDF("c", "q"), "c").where(F.col("p") < F.col("q")).select("p", "q")
-    star = copied.where((F.col("copies") > expand) & (F.col("chunk_id") != F.col("first_id"))).select(F.col("first_id").alias("p"), F.col("chunk_id").alias("q"))
+    star = sized.where((F.col("copies") > expand) & (F.col("chunk_id") != F.col("first_id"))).select(F.col("first_id").alias("p"), F.col("chunk_id").alias("q"))
     pairs = across.unionByName(inside).unionByName(star)
-    return pairs.select(F.least("p", "q").alias("chunk_id_a"), F.greatest("p", "q").alias("chunk_id_b")).distinct()
+    return pairs.select(F.least("p", "q").alias("chunk_id_a"), F.greatest("p", "q").alias("chunk_id_b")).where(F.col("chunk_id_a") != F.col("chunk_id_b")).distinct()
