@@ -2,9 +2,11 @@
 
 Detectors look for secret values by format (cloud and service tokens, signed web tokens), by place (URL logins,
 private key blocks, machine/login/password lines) and by name (a value that looks random next to a name such as
-password, token or key). Literals in base64, hex, percent or backslash escapes are decoded and scanned again until
-nothing decodes; a hit inside marks the enclosing literal. Binary literals are parsed as key containers
-(DER PKCS#1, PKCS#8, SEC1, OpenSSH): a private one is a secret, a public one is not.
+password, token or key). Literals in base64 (also wrapped over lines), hex, percent or backslash escapes are decoded and
+scanned again until nothing decodes; a hit inside marks the enclosing literal. Binary literals and the bodies of key
+blocks are parsed as key containers by their grammar (DER: PKCS#1, PKCS#8 plain and encrypted, SEC1, PKCS#12; OpenSSH): a
+private one is a secret, a public one is not. A key block whose body does not parse, as where a chunk border cut it,
+counts by its markers.
 
 Redaction replaces only the characters of the values, so quotes, separators and line structure stay.
 """
@@ -154,17 +156,27 @@ def _kind(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
+_OPENSSH = b"openssh-key-v1\0"
+_PKCS7 = b"\x2a\x86\x48\x86\xf7\x0d\x01\x07"  # the object identifier that PKCS#12 content begins with
+
+
 def key_container(raw: bytes) -> str | None:
     """'private' or 'public' if the bytes are a key by their binary grammar, else None."""
-    if raw.startswith(b"openssh-key-v1\0"):
-        return "private"
-    if len(raw) > 11 and raw[:4] == b"\0\0\0\x07" and raw[4:8] == b"ssh-":
-        return "public"
+    kind = container_kind(raw)
+    return kind and kind.split(" ")[0]
+
+
+def container_kind(raw: bytes) -> str | None:
+    """Side and format of a key container: `private pkcs8`, `public spki`; None if no grammar fits."""
+    if raw.startswith(_OPENSSH):
+        return "private openssh" if _is_openssh(raw) else None
+    if raw[:4] in (b"\0\0\0\x07", b"\0\0\0\x0b", b"\0\0\0\x13") and _ssh_fields(raw, 0, 2) is not None and raw[4:].startswith((b"ssh-", b"ecdsa-")):
+        return "public ssh"
     outer = _der(raw, 0)
     if outer is None or outer[0] != 0x30 or outer[2] > len(raw):
         return None
     parts, at = [], outer[1]
-    while at < outer[2] and len(parts) < 12:
+    while at < outer[2]:
         part = _der(raw, at)
         if part is None or part[2] > outer[2]:
             return None
@@ -172,20 +184,40 @@ def key_container(raw: bytes) -> str | None:
         at = part[2]
     tags = [t for t, _ in parts]
     if tags[:2] == [0x30, 0x03]:
-        return "public"  # SubjectPublicKeyInfo
+        return "public spki"
     if tags == [0x02, 0x02]:
-        return "public"  # PKCS#1 public key
+        return "public pkcs1"
     if tags[:3] == [0x02, 0x30, 0x04]:
-        return "private"  # PKCS#8
+        return "private pkcs8"
     if len(tags) >= 9 and set(tags[:9]) == {0x02}:
-        return "private"  # PKCS#1
+        return "private pkcs1"
     if tags[:2] == [0x02, 0x04] and parts[0][1] == b"\x01":
-        return "private"  # SEC1
+        return "private sec1"
+    if tags[:2] == [0x02, 0x30] and parts[0][1] == b"\x03" and _PKCS7 in parts[1][1][:24]:
+        return "private pkcs12"
     if tags[:2] == [0x30, 0x04]:
-        return "private"  # encrypted PKCS#8
+        return "private encrypted"
     return None
 
 
+def _ssh_fields(raw: bytes, at: int, n: int) -> int | None:
+    """Where the n length-prefixed fields at `at` end; None if they do not fit."""
+    for _ in range(n):
+        if at + 4 > len(raw):
+            return None
+        at += 4 + int.from_bytes(raw[at : at + 4], "big")
+    return at if at <= len(raw) else None
+
+
+def _is_openssh(raw: bytes) -> bool:
+    """Cipher, key derivation and its options, the number of keys, each public key, and the private part."""
+    at = _ssh_fields(raw, len(_OPENSSH), 3)
+    if at is None or at + 4 > len(raw):
+        return False
+    keys = int.from_bytes(raw[at : at + 4], "big")
+    return 0 < keys <= len(raw) // 4 and _ssh_fields(raw, at + 4, keys + 1) is not None
+
+
 def _der(raw: bytes, at: int) -> tuple[int, int, int] | None:
     """(tag, value start, value end) of the element at `at`."""
     if at + 2 > len(raw):
@@ -228,7 +260,7 @@ def _after_prefix(s: str, bare: str) -> Iterator[tuple[int, bytes]]:
         bad = max((m.start() for m in _UNREADABLE.finditer(raw)), default=-1)
         for at in starts:
             lo = (at - starts[0]) // 4 * 3
-            if raw[lo] == 0x30 or raw.startswith(b"openssh-key-v1\0", lo):
+            if raw[lo] == 0x30 or raw.startswith(_OPENSSH, lo):
                 yield at, raw[lo:]
             if lo > bad:
                 try:
@@ -271,18 +303,67 @@ def _decoded(text: str) -> Iterator[tuple[int, int, str | bytes]]:
             pass
 
 
+_WRAP = re.compile(r"[A-Za-z0-9+/_-]{16}[\"'\\+, \t]*\r?\n[ \t\"'#*+]*[A-Za-z0-9+/_-]")
+_WRAP_HEAD = re.compile(r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{16,})[\"'\\+, \t]*\r?\Z")
+_WRAP_LINE = re.compile(r"[ \t\"'#*+]*([A-Za-z0-9+/_-]+={0,2})[\"'\\+,;)\]} \t]*\r?\Z")
+
+
+def _wrapped(text: str) -> Iterator[tuple[list[tuple[int, int]], bytes]]:
+    """(spans of the pieces, content) of base64 literals that go on over lines."""
+    if not _WRAP.search(text):
+        return
+    at, spans = 0, []
+
+    def ended() -> Iterator[tuple[list[tuple[int, int]], bytes]]:
+        bare = "".join(text[lo:hi] for lo, hi in spans).rstrip("=").replace("-", "+").replace("_", "/")
+        if len(spans) > 1 and len(bare) % 4 != 1 and _may_be_base64(bare):
+            yield spans, _unpadded(bare)
+
+    for line in text.split("\n"):
+        going = _WRAP_LINE.match(line) if spans else None
+        if going:
+            spans.append((at + going.start(1), at + going.end(1)))
+        if not going or going[1].endswith("="):
+            yield from ended()
+            spans = []
+        if not going:
+            head = _WRAP_HEAD.search(line)
+            spans = [(at + head.start(1), at + head.end(1))] if head else []
+        at += len(line) + 1
+    yield from ended()
+
+
+def _is_secret(content: str | bytes, literal: str) -> str | None:
+    """The kind of a decoded content that is a secret or holds one."""
+    if isinstance(content, bytes):
+        plain = _readable(content)
+        if plain is None:
+            return "key_container" if key_container(content) == "private" else None
+    else:
+        plain = content
+    if plain and plain != literal and (looks_random(plain.strip(), strong=True) or any(True for _ in _scan(plain))):
+        return "encoded"
+    return None
+
+
 def _layers(text: str) -> Iterator[Hit]:
     for start, end, content in _decoded(text):
-        if isinstance(content, bytes):
-            plain = _readable(content)
-            if plain is None:
-                if key_container(content) == "private":
-                    yield Hit(start, end, "key_container")
-                continue
-        else:
-            plain = content
-        if plain and plain != text[start:end] and (looks_random(plain.strip(), strong=True) or any(True for _ in _scan(plain))):
-            yield Hit(start, end, "encoded")
+        kind = _is_secret(content, text[start:end])
+        if kind:
+            yield Hit(start, end, kind)
+    for spans, content in _wrapped(text):
+        kind = _is_secret(content, "")
+        if kind:
+            yield from (Hit(lo, hi, kind) for lo, hi in spans)
+
+
+def _body_kind(body: str) -> str | None:
+    """What the base64 lines of a key block are by their grammar: private_key with its format, or None for a public one."""
+    bare = "".join(re.findall(r"(?m)^[ \t\"'#*/+]*([A-Za-z0-9+/]+={0,2})[ \t\"'+,]*\r?$", body)).rstrip("=")
+    found = container_kind(_unpadded(bare)) if len(bare) % 4 != 1 else None
+    if found is None:
+        return "private_key"
+    return f"private_key {found.split(' ')[1]}" if found.startswith("private") else None
 
 
 def _key_blocks(text: str) -> Iterator[Hit]:
@@ -293,9 +374,10 @@ def _key_blocks(text: str) -> Iterator[Hit]:
         stop = next((s for s, _ in ends if s >= m.end()), None)
         following = _BEGIN.search(text, m.end())
         if stop is not None and (following is None or stop < following.start()):
-            for b in _BODY.finditer(re.sub(r"\\[nrt]", "  ", text[m.end() : stop])):
+            kind = _body_kind(text[m.end() : stop].replace("\\n", "\n"))
+            for b in _BODY.finditer(re.sub(r"\\[nrt]", "  ", text[m.end() : stop])) if kind else ():
                 lo, hi = b.span("last") if b["last"] else b.span()
-                yield Hit(m.end() + lo, m.end() + hi, "private_key")
+                yield Hit(m.end() + lo, m.end() + hi, kind)
             at = stop
             continue
         pos = m.end()
@@ -402,11 +484,11 @@ def _named(text: str, begin: int, end: int, read: dict[str, int]) -> Iterator[Hi
 
 
 def find_in_text(text: str) -> list[Hit]:
-    """Merged, sorted spans of secret characters. The kind of a merged span is that of its first hit."""
+    """Merged, sorted spans of secret characters. The kind of a merged span is that of a key block, else of its first hit."""
     out: list[Hit] = []
     for h in sorted(h for h in set(_scan(text)) if text[h.start : h.end] != MARK):
         if out and h.start < out[-1].end:
-            out[-1] = Hit(out[-1].start, max(out[-1].end, h.end), out[-1].kind)
+            out[-1] = Hit(out[-1].start, max(out[-1].end, h.end), h.kind if h.kind.startswith("private_key") else out[-1].kind)
         else:
             out.append(h)
     return out

@@ -146,13 +146,35 @@ def test_key_containers():
     pkcs8 = _der(0x30, _der(2, b"\0"), oid, _der(4, b"\x07" * 80))
     sec1 = _der(0x30, _der(2, b"\x01"), _der(4, b"\x09" * 32), _der(0xA1, b"\x03" * 60))
     public = _der(0x30, oid, _der(3, b"\0" + b"\x05" * 80))
-    assert [S.key_container(x) for x in (pkcs1, pkcs8, sec1, b"openssh-key-v1\0" + b"x" * 90)] == ["private"] * 4
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    openssh = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + b"\0\0\0\1" + field(b"p" * 51) + field(b"s" * 136)
+    pkcs12 = _der(0x30, _der(2, b"\3"), _der(0x30, _der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x07\x01"), _der(0xA0, b"\x04" * 90)), _der(0x30, b"\5\0"))
+    assert [S.container_kind(x) for x in (pkcs1, pkcs8, sec1, openssh, pkcs12)] == [f"private {x}" for x in ("pkcs1", "pkcs8", "sec1", "openssh", "pkcs12")]
+    assert [S.key_container(x) for x in (pkcs1, pkcs8, sec1, openssh, pkcs12)] == ["private"] * 5
+    assert S.key_container(b"openssh-key-v1\0" + b"x" * 90) is None and S.key_container(openssh[:120]) is None
+    for raw, label, kind in ((pkcs8, "PRIVATE KEY", "private_key pkcs8"), (openssh, "OPENSSH PRIVATE KEY", "private_key openssh"), (public, "PRIVATE KEY", None)):
+        lines = [base64.b64encode(raw).decode()[i : i + 64] for i in range(0, 4 * len(raw) // 3 + 4, 64)]
+        block = f"-----BEGIN {label}-----\n" + "\n".join(x for x in lines if x) + f"\n-----END {label}-----\n"
+        assert {h.kind for h in S.find_in_text(block)} == ({kind} if kind else set())
     assert S.key_container(public) == S.key_container(_der(0x30, number(64), number(3))) == "public"
     assert S.key_container(b"") is None and S.key_container(b"\x30\x82\xff") is None and S.key_container(bytes(range(100))) is None
     blob = base64.b64encode(pkcs8).decode()
     assert values(f"blob: {blob}") == [blob] and values(f"blob: {base64.b64encode(public).decode()}") == []
 
 
+def test_base64_wrapped_over_lines():
+    plain = "nothing of note stands here at all, and more of it follows; password = 'Pata+5457MB7t' and then some other words"
+    whole = base64.b64encode(plain.encode()).decode()
+    for width in (20, 37, 76):
+        pieces = [whole[i : i + width] for i in range(0, len(whole), width)]
+        for text in ("CFG: " + "\n".join(pieces) + "\nx = 1\n", 'C = "' + '" \\\n    "'.join(pieces) + '"\n', "data: |\n  " + "\n  ".join(pieces) + "\n\nend"):
+            assert values(text) == pieces, text
+            assert values(S.redact_text(text, S.find_in_text(text))) == []
+    words = base64.b64encode(b"nothing but plain words stand here, line after line, and none of them is a secret").decode()
+    assert values(words[:40] + "\n" + words[40:80] + "\n" + words[80:]) == []
+    S.find_in_text("\n".join(["aB3d" * 19] * 20_000))
+
+
 def test_no_size_limits():
     opaque = base64.b64encode(hashlib.shake_256(b"x").digest(1500)).decode()
     assert values("AWS_SESSION_TOKEN=" + opaque) == values(f'session_token: "{opaque}"') == [opaque]
