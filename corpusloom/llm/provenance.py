@@ -184,22 +184,29 @@ def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=[x.split()[0] for x in _READ.split(", ")])
 
 
-def _copies(current: DataFrame, most: int) -> DataFrame:
+def _copies(current: DataFrame, lines: DataFrame, most: int) -> DataFrame:
     """(a, b, shared, rare, across) of classes of which b holds rare lines of a: of different repositories (across), or b is marked.
 
     A class of several repositories differs from every other class's place, so it bears a label of its own; others bear that of
     their repository. Of a line's classes only those outside its commonest repository meet all others.
     """
     spans = current.groupBy("class").agg(F.min("repo").alias("home"), F.max("repo").alias("last"), F.max("marked").alias("marked"))
-    holders = current.groupBy("class", "repo").agg(F.first("lines").alias("lines")).join(spans, "class")
-    posting = holders.select("class", "repo", "home", "marked", F.when(F.col("home") == F.col("last"), F.col("home")).alias("label"), F.explode("lines").alias("line"))
-    by_repo = posting.groupBy("line", "repo").agg(F.count("*").alias("n"), F.count("label").alias("own"))
-    by_line = by_repo.groupBy("line").agg(F.count("*").alias("repos"), F.sum("n").alias("n"), F.max_by("repo", F.struct("own", "repo")).alias("common"))
-    told = by_line.where((F.col("repos") > most) | (F.col("n") > 1))
-    rare = posting.where(F.col("repo") == F.col("home")).join(told, "line", "left").where(F.col("repos").isNull() | (F.col("repos") <= most))
-    sizes = rare.groupBy("class").agg(F.count("*").alias("rare"))
-    label = F.coalesce("label", F.xxhash64("class"))  # of several repositories
-    shared = rare.where(F.col("n") > 1).select("line", "class", label.alias("label"), "marked", (label == F.col("common")).alias("in_common"))
+    holders = lines.groupBy("class", "repo").agg(F.first("lines").alias("lines")).join(spans, "class")
+    label = F.when(F.col("home") == F.col("last"), F.col("home"))
+    posting = holders.select("class", "repo", label.alias("own"), "marked", (F.col("repo") == F.col("home")).alias("once"), F.explode("lines").alias("line"))
+    by_repo = posting.select("line", "repo", "own").groupBy("line", "repo").agg(F.count("*").alias("n"), F.count("own").alias("own"))
+    by_line = by_repo.groupBy("line").agg(F.count("*").alias("repos"), F.sum("n").alias("n"), F.max_by("repo", F.struct("own", "repo")).alias("common")).where(F.col("n") > 1)
+    # Lines that several classes or repositories hold, written once for the three ways to meet.
+    told = cut(
+        posting.where("once")
+        .join(by_line, "line")
+        .withColumn("label", F.coalesce("own", F.xxhash64("class")))
+        .select("line", "class", "label", "marked", (F.col("label") == F.col("common")).alias("in_common"), (F.col("repos") > most).alias("boilerplate"))
+    )
+    boilerplate = told.where("boilerplate").groupBy("class").agg(F.count("*").alias("n"))
+    size = current.groupBy("class").agg(F.max("size").alias("size"))
+    rare = size.join(boilerplate, "class", "left").select(F.col("class").alias("a"), (F.col("size") - F.coalesce("n", F.lit(0))).alias("rare"))
+    shared = told.where(~F.col("boilerplate")).drop("boilerplate")
     a, b = shared.toDF("line", "a", "la", "ma", "ca"), shared.toDF("line", "b", "lb", "mb", "cb")
     apart = (F.col("a") != F.col("b")) & (F.col("la") != F.col("lb"))
     met = [
@@ -207,10 +214,9 @@ def _copies(current: DataFrame, most: int) -> DataFrame:
         a.where(~F.col("ca")).join(b.where("cb"), "line").where(apart),
         a.where(~F.col("ma")).join(b.where("mb"), "line").where((F.col("la") == F.col("lb")) & (F.col("a") != F.col("b"))),
     ]
-    pairs = [x.groupBy("a", "b").agg(F.count("*").alias("shared")).withColumn("across", F.lit(n < 2)) for n, x in enumerate(met)]
-    # A pair may have met in the first two ways, for different lines.
-    counted = pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).groupBy("a", "b", "across").agg(F.sum("shared").alias("shared"))
-    return counted.join(sizes.withColumnRenamed("class", "a"), "a").select("a", "b", "shared", "rare", "across")
+    pairs = [x.select("a", "b", F.lit(n < 2).alias("across")) for n, x in enumerate(met)]  # no line meets twice
+    counted = pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).groupBy("a", "b", "across").agg(F.count("*").alias("shared"))
+    return counted.join(rare, "a").select("a", "b", "shared", "rare", "across")
 
 
 def classify_files(files: DataFrame, rare_share: float = 0.25, least_rare: int = 8, least_containment: float = 0.5, least_shared: int = 5) -> DataFrame:
@@ -226,14 +232,17 @@ def classify_files(files: DataFrame, rare_share: float = 0.25, least_rare: int =
     rows = files.select("repo_key", posix("relative_path").alias("relative_path"), known_time(), "content").where(F.col("relative_path").isNotNull())
     read = spread(rows).mapInPandas(_read_batches, _READ)
     current = latest(read, ["repo_key", "relative_path"], ["mtime_ns"], [x.split()[0] for x in _READ.split(", ")][2:])
-    current = cut(current.withColumn("repo", F.xxhash64(F.coalesce("repo_key", F.lit("\0")))))
+    current = cut(current.withColumn("repo", F.xxhash64(F.coalesce("repo_key", F.lit("\0")))).withColumnRenamed("class", "name"))
+    numbers = cut(current.select("name").distinct().withColumn("class", F.monotonically_increasing_id()))  # of classes, numbered as they are written
+    lines = current.select("name", "repo", "lines").join(numbers, "name").drop("name")
+    current = cut(current.withColumn("size", F.size("lines")).drop("lines").join(numbers, "name").drop("name"))
     repositories = current.select("repo").distinct().count()
-    copies = cut(_copies(current, max(least_rare, math.ceil(rare_share * repositories))))
+    copies = cut(_copies(current, lines, max(least_rare, math.ceil(rare_share * repositories))))
     share = F.col("shared") / F.col("rare")
     links = copies.where((share >= least_containment) & (F.col("shared") >= least_shared)).select("a", "b", "across")
     # The family of a class: itself and what holds it, by repository and folder.
     places = current.groupBy("class", "repo", "package").agg(F.max("marked").alias("marked"), F.max("foldered").alias("foldered"), F.max("prose").alias("prose"))
-    itself = current.where(F.size("lines") >= least_shared).select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(False).alias("across")).distinct()
+    itself = current.where(F.col("size") >= least_shared).select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(False).alias("across")).distinct()
     family = links.unionByName(itself).join(places.withColumnRenamed("class", "b"), "b")
     by_folder = family.groupBy("a", "package").agg(F.min("repo").alias("lo"), F.max("repo").alias("hi"), F.max("across").alias("across"), F.max("marked").alias("marked"), F.max("foldered").alias("foldered"), F.min("prose").alias("prose"))
     kept_alike = F.max((F.col("lo") < F.col("hi")) & (F.col("package") != "") & ~F.col("prose"))
@@ -241,11 +250,11 @@ def classify_files(files: DataFrame, rare_share: float = 0.25, least_rare: int =
         kept_alike.alias("alike"), F.max("marked").alias("marked_kin"), F.max("foldered").alias("foldered_kin"), (F.max("across") | (F.min("lo") < F.max("hi"))).alias("spread")
     )
     sizes = family.groupBy("a").agg(F.countDistinct("repo").alias("repos"))
-    several = current.where(F.size("lines") > 0).groupBy(F.col("class").alias("a")).agg(F.min("repo").alias("lo"), F.max("repo").alias("hi")).where(F.col("lo") < F.col("hi")).select("a", F.lit(1.0).alias("held"))
+    several = current.where(F.col("size") > 0).groupBy(F.col("class").alias("a")).agg(F.min("repo").alias("lo"), F.max("repo").alias("hi")).where(F.col("lo") < F.col("hi")).select("a", F.lit(1.0).alias("held"))
     best = copies.select("a", share.alias("held")).unionByName(several).groupBy("a").agg(F.max("held").alias("held"))
-    of_class = kin.join(sizes, "a").join(best, "a", "full").withColumnRenamed("a", "class")
+    of_class = cut(kin.join(sizes, "a").join(best, "a", "full").withColumnRenamed("a", "class"))
     yes = lambda c: F.coalesce(c, F.lit(False))
-    joined = current.drop("lines").join(of_class, "class", "left").withColumns(
+    joined = current.join(of_class, "class", "left").withColumns(
         {
             "copies": yes(F.col("alike") & (F.col("repos") > 2) & ~F.col("prose")),
             "marked_copy": yes(~F.col("prose") & (F.col("marked_kin") | (F.col("spread") & F.col("foldered_kin"))) & ~F.col("marked")),
