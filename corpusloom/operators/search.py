@@ -43,8 +43,13 @@ def dense_search(rows: DataFrame, query: list[float], top_k: int = 10, scopes: t
     found = lists[0]
     for other in lists[1:]:
         found = found.unionByName(other)
-    best = Window.partitionBy("chunk_id").orderBy(F.desc("dense_score"))
-    return found.where(keep).withColumn("_r", F.row_number().over(best)).where(F.col("_r") == 1).drop("_r").orderBy(F.desc("dense_score"), "chunk_id").limit(top_k)
+    return best_by_id(found.where(keep)).orderBy(F.desc("dense_score"), "chunk_id").limit(top_k)
+
+
+def similar_to(rows: DataFrame, chunk_id, scope: str, vector: list[float], top_k: int = 10) -> DataFrame:
+    """The nearest other chunks of a scope to a chunk's vector."""
+    near = dense_search(rows, vector, top_k + 1, (scope,))
+    return near.where(F.col("chunk_id") != chunk_id).orderBy(F.desc("dense_score"), "chunk_id").limit(top_k)
 
 
 def batch_knn(rows: DataFrame, queries: DataFrame, k: int, id_column: str, vector_column: str, query_id: str = "query_id", query_vector: str = "query_vector", block: int = 256, most_blocks: int = 64) -> DataFrame:
@@ -95,7 +100,13 @@ def _score_batches(taken: list[tuple], k: int, block: int, id_column: str, vecto
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """A scan with fewer splits than cores (one small file) is dealt out; a larger one keeps its own splits."""
+    """A scan with fewer splits than cores (one small file) is dealt out; a larger one keeps its own splits.
+
+    Behind a shuffle the rows stay as they are: to ask for their partitions would run it.
+    """
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    if any(x in plan for x in ("Aggregate", "Join", "Repartition", "Window", "Sort", "Distinct")):
+        return rows
     n = rows.sparkSession.sparkContext.defaultParallelism
     return rows if rows.rdd.getNumPartitions() >= n else rows.repartition(n)
 
@@ -106,12 +117,32 @@ def postings(rows: DataFrame, id_column: str = "chunk_id", text_column: str = "t
     return bags.select(*by, id_column, F.size("_t").alias("dl"), F.explode("_t").alias("term")).groupBy(*by, id_column, "dl", "term").agg(F.count("*").alias("tf"))
 
 
+def lengths(rows: DataFrame, id_column: str = "chunk_id", text_column: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., id, dl) of every row, also of those without a token."""
+    return rows.select(*by, id_column, F.size(text.tokens(F.coalesce(text_column, F.lit("")))).alias("dl"))
+
+
+_ROWS = "\0"  # stands in the vocabulary for the rows themselves; no token has this character
+
+
+def _idf_table(vocabulary: DataFrame, corpus: DataFrame, words: list[str], grouped: list[str]) -> DataFrame:
+    """(grouped..., n, avgdl, idf): one row a group with the idf of the query's terms as a map.
+
+    A term in more than half of the rows has the floor EPSILON * mean idf over the whole vocabulary.
+    """
+    raw = vocabulary.join(F.broadcast(corpus), grouped).withColumn("raw_idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    asked = F.collect_list(F.when(F.col("term").isin(words or [""]), F.struct("term", "raw_idf")))  # at most the query's terms
+    means = raw.groupBy(*grouped).agg(F.avg("raw_idf").alias("mean_idf"), asked.alias("asked"))
+    idf = F.transform("asked", lambda x: F.struct(x["term"], F.when(x["raw_idf"] >= 0, x["raw_idf"]).otherwise(EPSILON * F.col("mean_idf"))))
+    return corpus.join(means.select(*grouped, F.map_from_entries(idf).alias("idf")), grouped, "left")
+
+
 def bm25(rows: DataFrame, query: str, id_column: str = "chunk_id", text_column: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., id, lexical_raw): Okapi BM25 of every row, also those that match nothing.
 
-    Document counts, lengths and the mean idf are those of the given rows, for each value of `by`. A term in more
-    than half of the rows has the floor EPSILON * mean idf over the whole vocabulary. Repeated query terms count
-    again. One pass makes term counts and document frequencies; only rows of query terms reach the final sum.
+    Document counts, lengths and the mean idf are those of the given rows, for each value of `by`. Repeated query terms
+    count again. The texts are tokenised twice: for the vocabulary, whose groups also carry the rows' number and lengths,
+    and for the scores.
     """
     words = Counter(_query_tokens(query))
     by = tuple(by)
@@ -119,25 +150,42 @@ def bm25(rows: DataFrame, query: str, id_column: str = "chunk_id", text_column:
     base = rows if by else rows.withColumn("_all", F.lit(0))
     base = spread(base.select(*grouped, id_column, text_column))
     bags = base.select(*grouped, id_column, text.tokens(F.coalesce(text_column, F.lit(""))).alias("_t")).withColumn("dl", F.size("_t"))
-    corpus = bags.groupBy(*grouped).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    vocabulary = bags.select(*grouped, F.explode(F.array_distinct("_t")).alias("term")).groupBy(*grouped, "term").agg(F.count("*").alias("df"))
-    raw = vocabulary.join(F.broadcast(corpus), grouped).withColumn("raw_idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    means = raw.groupBy(*grouped).agg(F.avg("raw_idf").alias("mean_idf"))
-    wanted = raw.where(F.col("term").isin(list(words) or [""])).join(F.broadcast(means), grouped)
-    idf = F.when(F.col("raw_idf") >= 0, F.col("raw_idf")).otherwise(EPSILON * F.col("mean_idf"))
-    # At most the distinct query terms a group: the map of idf travels to the rows.
-    table = wanted.groupBy(*grouped).agg(F.map_from_entries(F.collect_list(F.struct("term", idf))).alias("idf"))
+    terms = bags.select(*grouped, "dl", F.explode(F.concat(F.array_distinct("_t"), F.array(F.lit(_ROWS)))).alias("term"))
+    counted = terms.groupBy(*grouped, "term").agg(F.count("*").alias("df"), F.sum("dl").alias("total"))
+    corpus = counted.where(F.col("term") == _ROWS).select(*grouped, F.col("df").alias("n"), (F.col("total") / F.col("df")).alias("avgdl"))
+    table = _idf_table(counted.where(F.col("term") != _ROWS).select(*grouped, "term", "df"), corpus, list(words), grouped)
     # One pass over a bag keeps the few tokens the query asks for; the terms are counted among those.
     asked = F.filter("_t", lambda t: t.isin(list(words) or [""]))
-    scored = bags.withColumn("_t", asked).join(F.broadcast(corpus.join(table, grouped, "left")), grouped)
+    scored = bags.withColumn("_t", asked).join(F.broadcast(table), grouped)
     score = F.lit(0.0)
     for word, times in sorted(words.items()):
-        tf = _times("_t", word)
-        one = F.coalesce(F.col("idf")[F.lit(word)], F.lit(0.0)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        score = score + F.lit(float(times)) * F.when((tf > 0) & (F.col("avgdl") > 0), one).otherwise(0.0)
+        score = score + _part(word, times, _times("_t", word))
     return scored.select(*by, id_column, score.alias("lexical_raw"))
 
 
+def _part(word: str, times: int, tf: Column) -> Column:
+    one = F.coalesce(F.col("idf")[F.lit(word)], F.lit(0.0)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return F.lit(float(times)) * F.when((tf > 0) & (F.col("avgdl") > 0), one).otherwise(0.0)
+
+
+def bm25_stored(bags: DataFrame, sizes: DataFrame, query: str, id_column: str = "chunk_id", by: tuple[str, ...] = ("scope",), vocabulary: DataFrame | None = None) -> DataFrame:
+    """As `bm25`, from stored postings and lengths: no text is read, and of the postings' rows only the query's terms reach the scores.
+
+    `vocabulary` (by..., term, df) spares the count over all postings; it must be that of the same rows.
+    """
+    words = Counter(_query_tokens(query))
+    grouped = list(by)
+    corpus = sizes.groupBy(*grouped).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    known = bags.groupBy(*grouped, "term").agg(F.count("*").alias("df")) if vocabulary is None else vocabulary
+    table = F.broadcast(_idf_table(known, corpus, list(words), grouped))
+    hits = bags.where(F.col("term").isin(list(words) or [""])).join(table, grouped)
+    score = F.lit(0.0)
+    for word, times in sorted(words.items()):
+        score = score + F.when(F.col("term") == word, _part(word, times, F.col("tf"))).otherwise(0.0)
+    found = hits.groupBy(*grouped, id_column).agg(F.sum(score).alias("lexical_raw"))
+    return sizes.join(found, [*grouped, id_column], "left").select(*by, id_column, F.coalesce("lexical_raw", F.lit(0.0)).alias("lexical_raw"))
+
+
 def _times(tokens: str, word: str) -> Column:
     return F.size(F.filter(tokens, lambda t: t == F.lit(word)))
 
@@ -149,26 +197,39 @@ def _query_tokens(query: str) -> list[str]:
 
 
 def normalise(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """lexical_score: the raw score over the greatest of its group; 0 where that is not positive."""
-    top = F.max("lexical_raw").over(Window.partitionBy(*by)) if by else None
-    if top is None:
-        most = scored.agg(F.max("lexical_raw").alias("_top"))
-        return scored.join(F.broadcast(most), how="left").withColumn("lexical_score", F.when(F.col("_top") > 0, F.col("lexical_raw") / F.col("_top")).otherwise(0.0)).drop("_top")
-    most = scored.groupBy(*by).agg(F.max("lexical_raw").alias("_top"))
-    return scored.join(F.broadcast(most), list(by)).withColumn("lexical_score", F.when(F.col("_top") > 0, F.col("lexical_raw") / F.col("_top")).otherwise(0.0)).drop("_top")
+    """lexical_score: the raw score over the greatest of its group; 0 where that is not positive.
+
+    The scores pass one exchange on all their other columns, which the maximum and the rows both read: what made them runs once.
+    """
+    held = scored.repartition(*[c for c in scored.columns if c != "lexical_raw"])
+    most = held.groupBy(*by).agg(F.max("lexical_raw").alias("_top"))
+    joined = held.join(F.broadcast(most), list(by)) if by else held.join(F.broadcast(most), how="left")
+    return joined.withColumn("lexical_score", F.when(F.col("_top") > 0, F.col("lexical_raw") / F.col("_top")).otherwise(0.0)).drop("_top")
+
+
+def best_by_id(found: DataFrame, score: str = "dense_score", id_columns: tuple[str, ...] = ("chunk_id",)) -> DataFrame:
+    """The row of the highest score for each id; null scores come last."""
+    best = Window.partitionBy(*id_columns).orderBy(F.desc_nulls_last(score))
+    return found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") == 1).drop("_r")
+
+
+def fused_score(dense: Column, lexical: Column, dense_weight: float = 0.7, lexical_weight: float = 0.3) -> Column:
+    """A missing side counts 0."""
+    return dense_weight * F.coalesce(dense, F.lit(0.0)) + lexical_weight * F.coalesce(lexical, F.lit(0.0))
 
 
 def fuse(dense: DataFrame, lexical: DataFrame, id_column: str = "chunk_id", dense_weight: float = 0.7, lexical_weight: float = 0.3) -> DataFrame:
     """Full outer join on the id; a missing side counts 0."""
     joined = dense.select(id_column, "dense_score").join(lexical.select(id_column, "lexical_score"), id_column, "full")
-    d, x = F.coalesce("dense_score", F.lit(0.0)), F.coalesce("lexical_score", F.lit(0.0))
-    return joined.select(id_column, d.alias("dense_score"), x.alias("lexical_score"), (dense_weight * d + lexical_weight * x).alias("score"))
+    score = fused_score(F.col("dense_score"), F.col("lexical_score"), dense_weight, lexical_weight)
+    return joined.select(id_column, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("dense_score", "lexical_score")], score.alias("score"))
 
 
-def hybrid_search(rows: DataFrame, query: str, query_vector: list[float], top_k: int = 10, scopes: tuple[str, ...] = ("code", "docs"), keep: Column | None = None, settings=None) -> DataFrame:
+def hybrid_search(rows: DataFrame, query: str, query_vector: list[float], top_k: int = 10, scopes: tuple[str, ...] = ("code", "docs"), keep: Column | None = None, settings=None, lexical: DataFrame | None = None) -> DataFrame:
     """Dense shortlist and BM25 over all filtered rows of each scope, fused; chunk_id, dense_score, lexical_score, score.
 
-    Rows without a matching term still fill the list. A query without tokens is dense only.
+    Rows without a matching term still fill the list. A query without tokens is dense only. `lexical` (scope, chunk_id,
+    lexical_raw) are scores of the same rows from stored postings; without them the texts are read.
     """
     from corpusloom.config import Settings
 
@@ -177,9 +238,9 @@ def hybrid_search(rows: DataFrame, query: str, query_vector: list[float], top_k:
     dense = dense_search(rows, query_vector, max(top_k * s.hybrid_overfetch, s.hybrid_floor), scopes, keep, s.overfetch, s.overfetch_floor)
     if not _query_tokens(query):
         return dense.select("chunk_id", "dense_score", F.lit(None).cast("double").alias("lexical_score"), F.col("dense_score").alias("score")).orderBy(F.desc("score"), "chunk_id").limit(top_k)
-    corpus = rows.where(F.col("scope").isin(list(scopes)) & keep)
-    lexical = normalise(bm25(corpus, query, by=("scope",)), by=("scope",))
-    return fuse(dense, lexical, dense_weight=s.dense_weight, lexical_weight=s.lexical_weight).orderBy(F.desc("score"), "chunk_id").limit(top_k)
+    if lexical is None:
+        lexical = bm25(rows.where(F.col("scope").isin(list(scopes)) & keep), query, by=("scope",))
+    return fuse(dense, normalise(lexical, by=("scope",)), dense_weight=s.dense_weight, lexical_weight=s.lexical_weight).orderBy(F.desc("score"), "chunk_id").limit(top_k)
 
 
 def result_rows(ranked: DataFrame, chunks: DataFrame, snippet_chars: int = 280) -> DataFrame:

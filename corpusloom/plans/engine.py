@@ -6,6 +6,7 @@ import json
 import logging
 import sys
 import time
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from corpusloom.operators import changes, embedding, search
 from corpusloom.operators.chunkers import chunk_files
 from corpusloom.plans.store import SCOPES, ChunkStore
 from corpusloom.schemas import READ_COLUMNS, RESULT_COLUMNS
-from corpusloom.sources.crawl import crawl
+from corpusloom.sources.crawl import crawl, read_paths
 
 log = logging.getLogger("corpusloom")
 
@@ -63,9 +64,12 @@ class Engine:
         return self.semantic_search(query, scope="docs", **given)
 
     def hybrid_search(self, query: str, top_k: int = 10, scope: str = "all", path_prefix: str | None = None, chunk_types: list[str] | None = None, domain_tags: list[str] | None = None) -> DataFrame:
+        """BM25 reads the stored token bags of the versions in force; no text is tokenised."""
+        filtered = bool(path_prefix or chunk_types or domain_tags)
         keep = search.chunk_filter(path_prefix, chunk_types, domain_tags)
-        rows = self.store.chunks()
-        ranked = search.hybrid_search(rows, query, self.provider.embed_query(query), top_k, scopes_of(scope), keep, self.settings)
+        scopes = scopes_of(scope)
+        lexical = self.store.lexical_scores(query, scopes, keep if filtered else None)
+        ranked = search.hybrid_search(self.store.chunks(), query, self.provider.embed_query(query), top_k, scopes, keep, self.settings, lexical)
         return search.result_rows(ranked, self.store.chunks(vectors=False), self.settings.snippet_chars)
 
     def hybrid_search_code(self, query: str, **given) -> DataFrame:
@@ -84,7 +88,7 @@ class Engine:
         """No row or one; scope `all` is refused."""
         if scope not in SCOPES:
             raise ValueError("read_chunk needs the scope code or docs")
-        return self.store.chunks(scope, vectors=False).where(F.col("chunk_id") == chunk_id).select(*READ_COLUMNS).limit(1)
+        return self.store.chunk(scope, chunk_id).select(*READ_COLUMNS)
 
     def find_similar_chunk(self, scope: str, chunk_id: str, top_k: int = 10, stored_vector: bool = False) -> DataFrame:
         """Neighbours of a chunk in its scope: its text is embedded as a query, or with `stored_vector` its own vector is used."""
@@ -109,34 +113,44 @@ class Engine:
     def rebuild_index(self) -> dict:
         """Everything anew in one swap; a scope without chunks becomes empty."""
         files = crawl(self.spark, self.settings.repo_root, self.settings)
+        # A file makes a few chunks; its bytes are not read for this.
+        rows = 4 * crawl(self.spark, self.settings.repo_root, self.settings, content=False).count()
         with self.store.locked():
-            meta = self.store.replace(self._embedded(files), self._manifest(files), last_full_build_at=datetime.now(timezone.utc).isoformat())
+            meta = self.store.replace(self._embedded(files), self._manifest(files), rows, last_full_build_at=datetime.now(timezone.utc).isoformat())
         log.info("rebuilt", extra={"fields": meta["counts"]})
         return {"rebuild": meta["counts"], "status": self.index_status()}
 
     def reindex_paths(self, given: list[str]) -> dict:
         """Drop the chunks of the given paths in both scopes and index the files that are there, in one swap."""
-        return self._reindex(changes.normal_paths(self.spark, given))
-
-    def _reindex(self, touched: DataFrame) -> dict:
-        # The changed paths of one tree between two looks at it; they are few beside the index.
-        touched = touched.select("relative_path").distinct()
-        files = crawl(self.spark, self.settings.repo_root, self.settings).join(F.broadcast(touched), "relative_path", "left_semi")
-        with self.store.locked():
-            rows = changes.delete_paths(self.store.chunks(), touched)
-            known = changes.delete_paths(self.store.manifest(), touched)
-            meta = self.store.replace(rows.unionByName(self._embedded(files), allowMissingColumns=True), known.unionByName(self._manifest(files)))
+        return self.reindex(changes.normal_paths(self.spark, given))
+
+    def reindex(self, touched: DataFrame) -> dict:
+        """As `reindex_paths`, for a frame of relative paths of any number. Only these files are opened, only their buckets written."""
+        held = f"{self.store.home}/pending/{uuid.uuid4().hex}"
+        touched.select("relative_path").distinct().write.parquet(held)  # the tree may change while it is read
+        try:
+            touched = self.spark.read.schema("relative_path string").parquet(held)
+            files = read_paths(touched, self.settings.repo_root, self.settings)
+            with self.store.locked():
+                meta = self.store.change(touched, self._embedded(files), self._manifest(files))
+        finally:
+            self.store.files.delete(held)
         return {"counts": meta["counts"]}
 
     def reconcile_index(self, by_hash: bool = False) -> dict:
-        """Index again what differs from the tree; nothing is written when nothing does."""
+        """Index again what differs from the tree; nothing is written when nothing does. Returns the paths, as the tool reports them."""
         current = self._manifest(crawl(self.spark, self.settings.repo_root, self.settings, content=by_hash))
         indexed = self.store.manifest()
         touched = changes.reconcile(indexed, current, by_hash=True) if by_hash else changes.snapshot_diff(indexed, current)
-        paths = [r["relative_path"] for r in touched.select("relative_path").collect()]
-        if paths:
-            self.reindex_paths(paths)
-        return {"touched": sorted(paths)}
+        held = f"{self.store.home}/pending/{uuid.uuid4().hex}"
+        touched.select("relative_path").write.parquet(held)
+        try:
+            touched = self.spark.read.schema("relative_path string").parquet(held)
+            if not touched.isEmpty():
+                self.reindex(touched)
+            return {"touched": sorted(r["relative_path"] for r in touched.collect())}
+        finally:
+            self.store.files.delete(held)
 
     def boot(self, attempts: int = 90, pause_seconds: float = 2.0) -> dict:
         """Wait for the services, then rebuild an empty index (if so set) or reconcile a filled one."""

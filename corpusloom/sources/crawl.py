@@ -8,6 +8,7 @@ reading names, sizes and nanosecond times; bytes are read where the rows are mad
 from __future__ import annotations
 
 import os
+import stat
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -91,6 +92,31 @@ def crawl(spark: SparkSession, root: str, settings: Settings, content: bool = Tr
     return rows.where(paths.is_text_like(p) & paths.should_index(p, settings.include_globs, settings.excludes))
 
 
+def read_paths(touched: DataFrame, root: str, settings: Settings) -> DataFrame:
+    """As `crawl`, for the relative paths of a frame: only these files are looked at. Those that are gone give no row."""
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for path in batch["relative_path"]:
+                full = os.path.join(root, path)
+                try:
+                    s = os.stat(full, follow_symlinks=False)
+                    if not stat.S_ISREG(s.st_mode):
+                        continue
+                    with open(full, "rb") as f:
+                        out.append((path, f.read(), s.st_mtime_ns, s.st_size))
+                except OSError:
+                    continue
+            yield pd.DataFrame(out, columns=FILE.fieldNames())
+
+    p = F.col("relative_path")
+    chosen = touched.select(paths.posix(p).alias("relative_path")).where(paths.is_confined(p) & paths.is_text_like(p) & paths.should_index(p, settings.include_globs, settings.excludes)).distinct()
+    return chosen.mapInPandas(run, FILE)
+
+
 def query_set(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of {name, query, expected_any}."""
     return spark.read.schema(QUERY).json(path, multiLine=True)

@@ -85,7 +85,7 @@ def change_stream(spark: SparkSession, root: str, state: str) -> DataFrame:
 
 
 class Watcher:
-    """Feeds the changed paths of each trigger to Engine.reindex_paths; Spark retries a failed batch from its checkpoint."""
+    """Feeds the changed paths of each trigger to Engine.reindex; Spark retries a failed batch from its checkpoint."""
 
     def __init__(self, engine, folder: str):
         self.engine, self.folder, self.query = engine, Path(folder), None
@@ -96,9 +96,8 @@ class Watcher:
         changed = change_stream(self.engine.spark, self.engine.settings.repo_root, str(self.folder / "state"))
 
         def apply(batch: DataFrame, _: int) -> None:
-            paths = [r["relative_path"] for r in batch.select("relative_path").collect()]
-            if paths:
-                self.engine.reindex_paths(paths)
+            if not batch.isEmpty():
+                self.engine.reindex(batch)
 
         self.query = (
             changed.writeStream.foreachBatch(apply)

@@ -103,6 +103,57 @@ def test_a_reader_keeps_its_version(engine, tree):
     assert held.count() == n and engine.store.chunks().count() < n
 
 
+def test_a_change_rewrites_its_bucket_alone(engine, tree, monkeypatch):
+    for i in range(40):
+        write(tree, f"apps/many/m{i}.py", f"def f{i}():\n    return {i}\n")
+    engine.rebuild_index()
+    old = engine.store.meta()
+    write(tree, "apps/many/m7.py", "def changed():\n    return 0\n")
+    os.chmod(tree / "apps/many/m8.py", 0)
+    monkeypatch.setattr("corpusloom.plans.engine.crawl", None)  # the tree is not walked
+    engine.reindex_paths(["apps/many/m7.py"])
+    new = engine.store.meta()
+    assert sum(new["parts"][b] != v for b, v in old["parts"].items()) == 1 and len(old["parts"]) > 1
+    assert sum(new["file_parts"][b] != v for b, v in old["file_parts"].items()) == 1
+    assert engine.store.chunks().where("text like '%changed%'").count() == 1 and engine.store.count("code") == old["counts"]["code"]
+    assert engine.store.manifest().count() == 44
+
+
+def test_old_versions_go(engine, tree):
+    engine.rebuild_index()
+    folders = lambda: {p for p in (tree.parent / "store").rglob("version=*") if p.is_dir()}
+    first = folders()
+    for i in range(3):
+        write(tree, "docs/a.md", f"# Window {i}\n")
+        engine.reindex_paths(["docs/a.md"])
+    assert first - folders() and all(engine.store.chunks().where("relative_path = 'docs/a.md'").first()["text"].endswith(str(2)) for _ in "x")
+
+
+def test_stored_bags_score_as_the_texts_do(engine, tree):
+    from pyspark.sql import functions as F
+
+    from corpusloom.operators import search
+
+    for i in range(12):
+        write(tree, f"apps/w{i}.py", f"def window_{i}():\n    return 'merged window' * {i}\n")
+    engine.rebuild_index()
+    write(tree, "docs/b.md", "# Other\n\nmerged window merged\n")
+    engine.reindex_paths(["docs/b.md"])
+    for keep in (None, search.chunk_filter(path_prefix="apps/"), search.chunk_filter(domain_tags=["docs"])):
+        stored = {(r["scope"], r["chunk_id"]): round(r["lexical_raw"], 9) for r in engine.store.lexical_scores("the merged window merged", keep=keep).collect()}
+        rows = engine.store.chunks().where(F.lit(True) if keep is None else keep)
+        assert stored == {(r["scope"], r["chunk_id"]): round(r["lexical_raw"], 9) for r in search.bm25(rows, "the merged window merged", by=("scope",)).collect()}
+    plan = engine.hybrid_search("merged window", 3)._jdf.queryExecution().toString()
+    assert "regexp_extract_all" not in plan and "In(term" in plan.replace(" ", "")
+
+
+def test_lookup_of_many(engine, spark):
+    engine.rebuild_index()
+    some = engine.store.chunks().select("scope", "chunk_id").limit(2).collect()
+    wanted = spark.createDataFrame([*some, *some, ("code", "missing")], "scope string, chunk_id string")
+    assert engine.store.lookup(wanted).count() == 2 and engine.store.chunk("code", "missing").count() == 0
+
+
 def test_two_writers(engine):
     with engine.store.locked():
         with pytest.raises(TimeoutError):
