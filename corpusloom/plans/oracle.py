@@ -50,6 +50,9 @@ SELECT coalesce(chunk_id, id) AS chunk_id, round(coalesce(s, 0), 6) AS dense_sco
   round(0.7 * coalesce(s, 0) + 0.3 * coalesce(lex.score, 0), 6) AS score
 FROM dense FULL JOIN lex ON chunk_id = id"""
 
+_NEAR = """u AS (SELECT repo_key || '/' || chunk_id AS chunk_id, scope, repo_key || '/' || replace(relative_path, chr(92), '/') AS relative_path, domain_tags, vector::DOUBLE[] AS embedding FROM latest WHERE vector IS NOT NULL),
+  o AS (SELECT chunk_id AS own, scope AS own_scope, embedding AS q FROM u ORDER BY chunk_id LIMIT 1),
+  near AS (SELECT u.*, own, own_scope, """ + _COSINE + """ AS s FROM u, o)"""
 
 ORACLE: dict[str, str] = {
     "dense_topk": f"WITH {_E} SELECT chunk_id, round(s, 6) AS dense_score FROM e ORDER BY s DESC, chunk_id LIMIT 10",
@@ -151,6 +154,32 @@ SELECT * FROM (SELECT coalesce(a.repo_key, b.repo_key) AS repo_key, coalesce(a.r
 JOIN repositories USING (repo_key)""",
     "read_chunks": f"""WITH {_LATEST} SELECT l.repo_key, l.scope, l.chunk_id, relative_path, chunk_type, start_line, end_line, md5(text) AS text_md5 FROM latest l
 WHERE EXISTS (SELECT 1 FROM search_results r WHERE r.repo_key = l.repo_key AND r.scope = l.scope AND r.chunk_id = l.chunk_id)""",
+    "store_scan": f"""WITH {_LATEST} SELECT repo_key || '/' || chunk_id AS chunk_id, scope, repo_key || '/' || replace(relative_path, chr(92), '/') AS relative_path, language, chunk_type, start_line, end_line,
+  content_hash, symbol_path, heading_path, is_generated, embedding_backend, embedding_model, index_schema_version, md5(text) AS text_md5, array_to_string(domain_tags, ',') AS domain_tags,
+  extra['locator'] AS locator, round(source_mtime, 3) AS source_mtime FROM latest""",
+    "store_vectors": f"""WITH {_LATEST} SELECT scope, count(*) AS points, count(vector) AS embedded, round(sum(list_sum(vector::DOUBLE[])), 3) AS total FROM latest GROUP BY ALL""",
+    "store_status": f"""WITH {_LATEST}, n AS (SELECT scope, count(*) AS points FROM latest GROUP BY ALL)
+SELECT scope, 'corpusloom_all_cpu_e5_multilingual_e5_small_' || scope || '_v1' AS name, coalesce(points, 0) > 0 AS exists, coalesce(points, 0) AS points FROM (SELECT unnest(['code', 'docs']) AS scope) LEFT JOIN n USING (scope)""",
+    "store_recreated": f"""WITH {_LATEST}, n AS (SELECT count(*) AS points FROM latest WHERE scope = 'docs')
+SELECT 'docs' AS scope, points, points > 0 AS exists FROM n UNION ALL SELECT 'code', 0, false""",
+    "store_deleted": f"""WITH {_LATEST}, {_CURRENT}, {_INDEXED}, {_TOUCHED}
+SELECT scope, count(*) AS n, count(DISTINCT repo_key || '/' || relative_path) AS n_paths FROM latest l
+WHERE NOT EXISTS (SELECT 1 FROM touched t WHERE op IS NOT NULL AND t.repo_key = l.repo_key AND t.relative_path = l.relative_path) GROUP BY ALL""",
+    "stored_bm25": f"WITH {_LATEST}, " + _bm25("SELECT scope AS g, repo_key || '/' || chunk_id AS id, text FROM latest") + " SELECT g AS scope, id AS chunk_id, round(raw, 6) AS lexical_raw, round(score, 6) AS lexical_score FROM lex",
+    "find_similar_stored": f"WITH {_LATEST}, {_NEAR} SELECT chunk_id, scope, round(s, 6) AS score FROM near WHERE chunk_id <> own AND scope = own_scope ORDER BY s DESC, chunk_id LIMIT 10",
+    "dense_by_path_and_tag": f"""WITH {_LATEST}, {_NEAR}, l AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY s DESC, chunk_id) AS r FROM near)
+SELECT chunk_id, scope, round(s, 6) AS dense_score FROM l WHERE r <= 1000 AND starts_with(relative_path, regexp_extract(own, '^[^/]*/')) AND list_has_any(domain_tags, ['general', 'docs']) ORDER BY s DESC, chunk_id LIMIT 25""",
+    "result_projection": f"""WITH {_LATEST}, best AS (SELECT repo_key || '/' || chunk_id AS chunk_id, scope, max(score) AS score FROM search_results GROUP BY ALL),
+  c AS (SELECT repo_key || '/' || chunk_id AS chunk_id, scope, repo_key || '/' || replace(relative_path, chr(92), '/') AS relative_path, language, chunk_type, start_line, end_line, symbol_path, heading_path,
+    array_to_string(domain_tags, ',') AS domain_tags, regexp_replace(regexp_replace(text, '{BLANK}+', ' ', 'g'), '^ | $', '', 'g') AS f FROM latest)
+SELECT chunk_id, scope, relative_path, language, chunk_type, CASE WHEN length(f) <= 280 THEN f ELSE regexp_replace(substring(f, 1, 277), '{BLANK}+$', '') || '...' END AS snippet,
+  start_line, end_line, symbol_path, heading_path, score, domain_tags FROM c JOIN best USING (chunk_id, scope) ORDER BY score DESC NULLS LAST, chunk_id LIMIT 100""",
+    "tracked_tree": """WITH f AS (SELECT repo_key, replace(relative_path, chr(92), '/') AS relative_path, mtime_ns FROM source_files),
+  tree AS (SELECT relative_path, max(mtime_ns) AS mtime_ns, arg_max(repo_key, (mtime_ns, repo_key)) AS repo_key FROM f GROUP BY ALL)
+SELECT c.relative_path, scope, count(DISTINCT extra['locator']) AS n_places, md5(string_agg(DISTINCT content_hash, ',' ORDER BY content_hash)) AS contents
+FROM chunks c JOIN tree t ON c.repo_key = t.repo_key AND c.relative_path = t.relative_path AND abs(c.source_mtime - t.mtime_ns / 1e9) < 1e-6 GROUP BY ALL""",
+    "query_set_file": "SELECT name, query, array_to_string(expected_any, '|') AS expected_any FROM search_queries",
+    "index_profiles": "SELECT repo_key, trim(profile_name) AS profile, index_schema_version FROM repositories",
     "dedup_results": """SELECT run_label, query_name, repo_key, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY run_label, query_name, repo_key ORDER BY score DESC NULLS LAST, chunk_id) AS rank
 FROM (SELECT run_label, query_name, repo_key, chunk_id, max(score) AS score FROM search_results GROUP BY ALL)""",
     "fused_results": """SELECT run_label, query_name, repo_key, served_at, position_no, chunk_id, 0.7::DOUBLE * coalesce(dense_score, 0) + 0.3::DOUBLE * coalesce(lexical_score, 0) AS fused FROM (

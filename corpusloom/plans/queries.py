@@ -89,7 +89,7 @@ def batch_knn(spark: SparkSession, d: str) -> DataFrame:
 def find_similar(spark: SparkSession, d: str) -> DataFrame:
     e = _embeddings(spark, d)
     own = e.orderBy(F.desc("chunk_id")).select("chunk_id", "scope", "vector").first()
-    near = search.dense_search(e, own["vector"], 11, (own["scope"],)).where(F.col("chunk_id") != own["chunk_id"]).orderBy(F.desc("dense_score"), "chunk_id").limit(10)
+    near = search.similar_to(e, own["chunk_id"], own["scope"], own["vector"], 10)
     return _scores(near.select("chunk_id", "scope", "dense_score"), "dense_score")
 
 
@@ -305,19 +305,12 @@ def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def index_status(spark: SparkSession, d: str) -> DataFrame:
-    chunks = latest_chunks(spark, d, "scope", "relative_path", "vector")
-    by = chunks.groupBy("repo_key", "scope").agg(F.count("*").alias("points"), F.countDistinct("relative_path").alias("paths"), F.count("vector").alias("embedded"), F.max("indexed_at").alias("last_indexed_at"))
+    rows = table(spark, d, "chunks").select("repo_key", "chunk_id", "indexed_at", "scope", "relative_path", F.col("vector").isNotNull().alias("embedded"))  # no vector is shuffled
+    chunks = changes.latest_rows(rows, ["repo_key", "chunk_id"], ["indexed_at"])
+    by = chunks.groupBy("repo_key", "scope").agg(F.count("*").alias("points"), F.countDistinct("relative_path").alias("paths"), F.count_if("embedded").alias("embedded"), F.max("indexed_at").alias("last_indexed_at"))
     return by.join(F.broadcast(table(spark, d, "repositories").select("repo_key", "profile_name", "embedding_backend", "index_schema_version", "watch_enabled", "last_full_build_at")), "repo_key")
 
 
-@query
-def read_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Lookup of the chunks that the searches returned, by scope and id; ids that are gone give no row."""
-    wanted = table(spark, d, "search_results").select("repo_key", "scope", "chunk_id").distinct()
-    rows = latest_chunks(spark, d, "scope", "relative_path", "chunk_type", "text", "start_line", "end_line")
-    return rows.join(wanted, ["repo_key", "scope", "chunk_id"]).select("repo_key", "scope", "chunk_id", "relative_path", "chunk_type", "start_line", "end_line", F.md5("text").alias("text_md5"))
-
-
 # Results and evaluation
 
 
@@ -330,7 +323,8 @@ def _results(spark: SparkSession, d: str) -> DataFrame:
 @query
 def dedup_results(spark: SparkSession, d: str) -> DataFrame:
     """The best score of each chunk for a run and query, ranked anew."""
-    rows = table(spark, d, "search_results").groupBy("run_label", "query_name", "repo_key", "chunk_id").agg(F.max("score").alias("score"))
+    keys = ("run_label", "query_name", "repo_key", "chunk_id")
+    rows = search.best_by_id(table(spark, d, "search_results").select(*keys, "score"), "score", keys)
     rank = F.row_number().over(Window.partitionBy("run_label", "query_name", "repo_key").orderBy(F.desc_nulls_last("score"), "chunk_id"))
     return _scores(rows.withColumn("rank", rank), "score")
 
@@ -339,7 +333,7 @@ def dedup_results(spark: SparkSession, d: str) -> DataFrame:
 def fused_results(spark: SparkSession, d: str) -> DataFrame:
     """The logged sides of each result fused anew; a missing side counts 0."""
     rows = _results(spark, d)
-    fused = 0.7 * F.coalesce("dense_score", F.lit(0.0)) + 0.3 * F.coalesce("lexical_score", F.lit(0.0))
+    fused = search.fused_score(F.col("dense_score"), F.col("lexical_score"))
     return rows.select("run_label", "query_name", "repo_key", "served_at", "position_no", "chunk_id", fused.alias("fused"))
 
 
@@ -353,3 +347,8 @@ def hit_at_k(spark: SparkSession, d: str) -> DataFrame:
 @query
 def compare_runs(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.compare_runs(table(spark, d, "search_results"))
+
+
+from corpusloom.plans import index_queries  # noqa: E402
+
+QUERIES |= index_queries.QUERIES
