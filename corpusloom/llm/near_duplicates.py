@@ -3,9 +3,11 @@
 1. Distinct texts become classes; exact copies are membership, never pairs. A class is known by 128 bits of its text and
    numbered when its table is written.
 2. A class is the set of hashes of its shingles; its sketch is the k smallest.
-3. Inverted lists of the retained values generate the overlaps. Similar sets share many of their retained values, so two
-   of them also meet among their rarest ones: of each sketch only the values needed for that are listed, by
-   the length of their lists. Values of boilerplate, with the longest lists, come last and are mostly left out; no list is cut.
+3. Inverted lists of the retained values generate the overlaps. Similar sets share many of their retained values, so they
+   also meet several times among their rarest ones: of each sketch only the values needed for that are listed, the rarest
+   first. Values of boilerplate, with the longest lists, come last and are mostly left out; no list is cut. How rare a value
+   is, is read off a table of `SLOTS` counters over all sketches: sharing a counter changes the order, which need
+   only be the same for all, and so the cost, but no result.
 4. The union of two sketches estimates their Jaccard similarity and drops clear misses.
 5. The exact Jaccard similarity of the full sets decides.
 """
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 _TOKEN = re.compile(r"\w+")
+SLOTS = 1 << 20
+MEETINGS = 3  # listed values that similar sets share at least
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,7 +66,7 @@ def unpack(raw: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def _shingle_batches(width: int, least_tokens: int, k: int) -> Callable:
+def _shingle_batches(width: int, least_tokens: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
         for batch in batches:
@@ -75,8 +79,8 @@ def _shingle_batches(width: int, least_tokens: int, k: int) -> Callable:
                     continue
                 hashes = shingle_hashes(words, width, known)
                 if len(hashes):
-                    out.append((key, len(hashes), pack(hashes), (hashes[:k] >> np.uint64(16)).astype(np.int64)))
-            yield pd.DataFrame(out, columns=["key", "n", "shingles", "sketch"])
+                    out.append((key, len(hashes), pack(hashes)))
+            yield pd.DataFrame(out, columns=["key", "n", "shingles"])
 
     return run
 
@@ -85,17 +89,69 @@ def least_overlap(n: int, threshold: float, k: int) -> int:
     """Retained values that a set of n values shares with any set of at least the threshold's similarity.
 
     Up to threshold * k values the union of the two fits into k, so both sketches are complete and the count is certain.
-    Of larger sets the k least values of the union are shared with the chance of their similarity; five deviations
-    below its mean, a miss has a chance of about one in a million at the threshold, and less above.
+    Of larger sets the k least values of the union are shared with the chance of their similarity; 4.2 deviations
+    below its mean, a miss has a chance of about one in a hundred thousand at the threshold, and less above.
     """
     if n <= threshold * k:
         return max(1, math.ceil(threshold * n - 1e-9))
-    return max(1, math.floor(threshold * k - 5 * math.sqrt(k * threshold * (1 - threshold))))
+    return max(1, math.floor(threshold * k - 4.2 * math.sqrt(k * threshold * (1 - threshold))))
 
 
 def listed(n: int, threshold: float, k: int) -> int:
-    """How many values of a sketch, the rarest first, must be listed: sets that share m values share one outside any m - 1."""
-    return min(n, k) - least_overlap(n, threshold, k) + 1
+    """How many values of a sketch, the rarest first, must be listed.
+
+    Sets that share m values share c of them outside any m - c: with c = min(MEETINGS, m) similar sets meet c times.
+    """
+    m = least_overlap(n, threshold, k)
+    return min(n, k) - m + min(MEETINGS, m)
+
+
+def _sketch(shingles: bytes, k: int) -> np.ndarray:
+    return (unpack(shingles[: 6 * k]) >> np.uint64(16)).astype(np.int64)
+
+
+def _slot_batches(k: int) -> Callable:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            for x in batch["shingles"]:
+                n[_sketch(x, k) % SLOTS] += 1  # the values of a sketch are distinct; two in one slot count once
+        at = np.flatnonzero(n)
+        yield pd.DataFrame({"slot": at.astype(np.int32), "n": n[at]})
+
+    return run
+
+
+def value_counts(sets: DataFrame, k: int) -> np.ndarray:
+    """How many sketches hold a value of each slot, at most 65,535: two bytes a slot, at any number of sketches."""
+    rows = sets.select("shingles").mapInPandas(_slot_batches(k), "slot int, n bigint").groupBy("slot").agg(F.least(F.sum("n"), F.lit(65_535)).cast("int").alias("n")).toArrow()
+    out = np.zeros(SLOTS, dtype=np.uint16)
+    out[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
+    return out
+
+
+def _list_batches(counts: np.ndarray, threshold: float, k: int) -> Callable:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        plan = [0, *(listed(n, threshold, k) for n in range(1, k + 2))]
+        for batch in batches:
+            values = []
+            for x, n in zip(batch["shingles"], batch["n"]):
+                v, most = _sketch(x, k), plan[min(n, k + 1)]
+                values.append(v[np.lexsort((v, counts[v % SLOTS]))[:most]] if most < len(v) else v)
+            sizes = [len(v) for v in values]
+            each = lambda c: np.repeat(batch[c].to_numpy(), sizes)
+            yield pd.DataFrame({"value": np.concatenate(values) if values else np.empty(0, dtype=np.int64), "class_id": each("class_id"), "n": each("n")})
+
+    return run
+
+
+def _short_batches(k: int) -> Callable:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            short = [np.frombuffer(x[: 6 * k], dtype=np.uint8).reshape(-1, 6)[:, 2:].tobytes() for x in batch["shingles"]]
+            yield pd.DataFrame({"class_id": batch["class_id"], "short": short})
+
+    return run
 
 
 def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -105,31 +161,29 @@ def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def candidates(sets: DataFrame, threshold: float, k: int) -> DataFrame:
-    """(a, b, overlap) of classes whose listed values meet; sizes that rule out the threshold do not."""
-    posting = sets.select("class_id", "n", F.explode("sketch").alias("value"))
-    length = posting.groupBy("value").agg(F.count("*").alias("length")).where(F.col("length") > 1)
-    # Values of one set alone are its rarest, and meet nothing; the others follow by the length of their lists.
-    by_rarity = posting.join(length, "value").groupBy("class_id", "n").agg(F.sort_array(F.collect_list(F.struct("length", "value"))).alias("values"))  # at most k
-    plan = F.array(*[F.lit(listed(n, threshold, k)) for n in range(1, k + 1)])
-    most = F.when(F.col("n") <= k, F.element_at(plan, F.least("n", F.lit(k)))).otherwise(F.lit(listed(k + 1, threshold, k)))
-    keep = most - (F.least("n", F.lit(k)) - F.size("values"))
-    kept = by_rarity.where(keep > 0).select("class_id", "n", F.explode(F.slice("values", F.lit(1), keep)).alias("v")).select(F.col("v.value").alias("value"), "class_id", "n")
-    left, right = kept.toDF("value", "a", "na"), kept.toDF("value", "b", "nb")
+    """(a, b, overlap) of classes whose listed values meet often enough; sizes that rule out the threshold do not."""
+    posting = sets.select("class_id", "n", "shingles").mapInPandas(_list_batches(value_counts(sets, k), threshold, k), "value bigint, class_id bigint, n int")
+    left, right = posting.toDF("value", "a", "na"), posting.toDF("value", "b", "nb")
     # Both sides are one exchange, read twice; a long list is split among tasks by the skew join.
     met = left.join(right, "value").where((F.col("a") < F.col("b")) & (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9))
-    return met.groupBy("a", "b").agg(F.count("*").alias("overlap"))
+    small = min(n for n in range(1, k + 2) if least_overlap(n, threshold, k) >= MEETINGS)
+    plan = F.array(*[F.lit(least_overlap(n, threshold, k)) for n in range(1, small)], F.lit(MEETINGS))
+    least = F.element_at(plan, F.least("na", "nb", F.lit(small)))
+    # Sizes are a class's own, so they only ride along.
+    return met.groupBy("a", "b").agg(F.count("*").alias("overlap"), F.first(least).alias("least")).where(F.col("overlap") >= F.col("least")).select("a", "b", "overlap")
 
 
 def _estimate(threshold: float, k: int) -> Callable:
     """Drop pairs whose union sketch holds too few shared values, four deviations below the threshold.
 
+    The short sketches keep the upper four bytes of each value, in order.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = []
             for x, y in zip(batch["x"], batch["y"]):
-                x, y = np.asarray(x), np.asarray(y)
+                x, y = np.frombuffer(x, dtype="<u4"), np.frombuffer(y, dtype="<u4")
                 union = np.union1d(x, y)[:k]
                 both = len(np.intersect1d(union, np.intersect1d(x, y)))
                 keep.append(both / len(union) >= threshold - 4 * math.sqrt(threshold * (1 - threshold) / len(union)))
@@ -153,20 +207,22 @@ def _verify(threshold: float) -> Callable:
     return run
 
 
-def similar_classes(rows: DataFrame, threshold: float = 0.8, width: int = 5, least_tokens: int = 0, k: int = 40) -> tuple[DataFrame, DataFrame, DataFrame]:
+def similar_classes(rows: DataFrame, threshold: float = 0.8, width: int = 5, least_tokens: int = 0, k: int = 256, estimate_k: int = 48) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(a, b, jaccard) of distinct texts with a < b; (chunk_id, key); (class_id, key) of the texts that count.
 
     Texts with fewer than `least_tokens` tokens, or fewer than `width`, have no class number and link to none.
-    Needs a threshold of at least 0.5.
+    Needs a threshold of at least 0.5. With k = 256 the sketches of most texts are complete: they list some 30 % of their
+    values, where a cut one lists 43 %. The least `estimate_k` values of a sketch, a sketch themselves, serve the estimate.
     """
     if not 0.5 <= threshold <= 1:
         raise ValueError("the lists need a threshold of at least 0.5")
     texts, members = classes(rows)
-    made = texts.mapInPandas(_shingle_batches(width, least_tokens, k), "key binary, n int, shingles binary, sketch array<bigint>")
+    made = texts.mapInPandas(_shingle_batches(width, least_tokens), "key binary, n int, shingles binary")
     sets = cut(made.withColumn("class_id", F.monotonically_increasing_id()))  # numbered once, as the table is written
     pairs = candidates(sets, threshold, k).select("a", "b")
-    short, full = sets.select("class_id", "sketch"), sets.select("class_id", "shingles")
-    near = pairs.join(short.toDF("a", "x"), "a").join(short.toDF("b", "y"), "b").mapInPandas(_estimate(threshold, k), "a bigint, b bigint")
+    short = sets.select("class_id", "shingles").mapInPandas(_short_batches(estimate_k), "class_id bigint, short binary")
+    full = sets.select("class_id", "shingles")
+    near = pairs.join(short.toDF("a", "x"), "a").join(short.toDF("b", "y"), "b").mapInPandas(_estimate(threshold, estimate_k), "a bigint, b bigint")
     links = near.join(full.toDF("a", "x"), "a").join(full.toDF("b", "y"), "b").mapInPandas(_verify(threshold), "a bigint, b bigint, jaccard double")
     return links, members, sets.select("class_id", "key")
 
