@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.plans.shared import delete, shared_folder
+
 CHUNK_LIMIT = 800
 
 
@@ -17,19 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only in local mode, where it is unset."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and sc._jsc.sc().getCheckpointDir().isDefined():
-        named = sc._jsc.sc().getCheckpointDir().get()
-    if not named:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = os.path.join(tempfile.gettempdir(), "corpusloom-checkpoints")
-    return named.rstrip("/")
-
-
 _TABLES: dict[str, tuple] = {}  # path -> (session, weak reference to the file listing that every plan over the table holds)
 
 
@@ -50,16 +37,11 @@ def cut(df: DataFrame) -> DataFrame:
     return table
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration() if spark.sparkContext._jsc is None else spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def sweep() -> int:
     """Delete the tables that no plan in the driver's memory can read any more; how many are left."""
     for path, (spark, listing) in list(_TABLES.items()):
         if listing.refersTo(None):
-            _delete(spark, path)
+            delete(spark, path)
             _TABLES.pop(path, None)
     return len(_TABLES)
 
@@ -68,8 +50,8 @@ def sweep() -> int:
 def _delete_all() -> None:
     for path in list(_TABLES):
         try:
-            _delete(_TABLES[path][0], path)
-            _delete(_TABLES[path][0], path.rsplit("/", 1)[0])
+            delete(_TABLES[path][0], path)
+            delete(_TABLES[path][0], path.rsplit("/", 1)[0])
         except Exception:  # noqa: BLE001 - the JVM may be gone before us
             pass
         _TABLES.pop(path, None)
@@ -87,7 +69,7 @@ def spread(scan: DataFrame) -> DataFrame:
 
 def clear_shared(spark: SparkSession) -> None:
     """Delete all tables that `cut` wrote. For the end of an application: earlier frames cannot be read afterwards."""
-    _delete(spark, f"{shared_folder(spark)}/corpusloom")
+    delete(spark, f"{shared_folder(spark)}/corpusloom")
     _TABLES.clear()
 
 

@@ -5,13 +5,14 @@ a window still meets its source when words there were replaced. Windows of the t
 documents are hashed under every mask and joined. Around each hit the two texts are laid side by side on the
 diagonal of the hit: the longest exact run and the best overlap tolerating substitutions are measured there.
 
-While the test windows are few (`most_windows`, checked by a count) they travel to the documents as sorted
-arrays and the join, the alignment and the verdict are one map over the documents, without a shuffle. A larger
-test set is joined by a shuffle on the hash, and only hits return to the texts.
+The test set is taken in blocks of at most `most_windows` windows. A block travels to the documents as sorted arrays, and the
+join, the alignment and the verdict are one map over the documents: nothing of the corpus is shuffled but the leaks, and
+a window that is common among the documents makes no group. A larger test set takes more passes over the corpus, each alike.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -134,32 +135,15 @@ def _search(items: list[tuple[int, str]]) -> Callable:
     return run
 
 
-def _windows(id_column: str) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
-        for batch in batches:
-            for i, text in zip(batch[id_column], batch["text"]):
-                if len(known) > 200_000:
-                    known.clear()
-                w = word_hashes(text, known)
-                for m in range(len(MASKS)):
-                    h = seed_hashes(w, m)
-                    if len(h):
-                        yield pd.DataFrame({id_column: i, "seed": h.view(np.int64), "place": np.arange(len(h), dtype=np.int32)})
-
-    return run
-
-
-def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known: dict[str, int] = {}
-    for batch in batches:
-        out = []
-        for d, i, text, passage, diagonal in zip(batch["doc_id"], batch["item_id"], batch["text"], batch["passage"], batch["diagonal"]):
-            if len(known) > 200_000:
-                known.clear()
-            item = word_hashes(passage, known)
-            out.append((d, i, *overlap(word_hashes(text, known), item, diagonal), len(item)))
-        yield pd.DataFrame(out, columns=_COLUMNS)
+def _blocks(tests: DataFrame, most_windows: int) -> Iterator[list[tuple[int, str]]]:
+    """The test passages in blocks: by a hash of the item, so many that each holds at most about `most_windows` windows."""
+    # A word takes at least two characters with its separator, so this bounds the windows.
+    size = tests.agg(F.sum(F.length("passage")).alias("chars"), F.count("*").alias("items")).first()
+    windows = (size["chars"] or 0) / 2 * len(MASKS)
+    n = max(1, min(size["items"], math.ceil(windows / max(1, most_windows))))  # a passage stays whole
+    for block in range(n):
+        part = tests.where(F.pmod(F.xxhash64("item_id", "passage"), F.lit(n)) == block) if n > 1 else tests
+        yield sorted((r["item_id"], r["passage"]) for r in part.collect())
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, least_run: int = SPAN, least_matched: int = 2 * SPAN, most_windows: int = 2_000_000) -> DataFrame:
@@ -174,18 +158,10 @@ def find_leaks(documents: DataFrame, items: DataFrame, least_run: int = SPAN, le
         raise ValueError(f"least_run must be at least {SPAN}")
     docs = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     tests = items.select("item_id", "passage").where(F.col("item_id").isNotNull() & F.col("passage").isNotNull()).distinct()
-    # A word takes at least two characters with its separator, so this bounds the windows.
-    bound = tests.agg(F.sum(F.length("passage"))).first()[0] or 0
-    if bound / 2 * len(MASKS) <= most_windows:
-        rows = [(r["item_id"], r["passage"]) for r in tests.collect()]
-        found = spread(docs).mapInPandas(_search(sorted(rows)), _FOUND)
-    else:
-        # A window that is common among the documents is common boilerplate of the test side too: each side is
-        # kept once per place, and the join spills by hash partition.
-        left = docs.mapInPandas(_windows("doc_id"), "doc_id bigint, seed bigint, place int")
-        right = tests.select("item_id", F.col("passage").alias("text")).mapInPandas(_windows("item_id"), "item_id bigint, seed bigint, place int").withColumnRenamed("place", "item_place")
-        hits = left.join(right, "seed").select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct()
-        found = hits.join(docs, "doc_id").join(tests, "item_id").mapInPandas(_align, _FOUND)
+    docs, found = spread(docs), None
+    for block in _blocks(tests, most_windows):
+        part = docs.mapInPandas(_search(block), _FOUND)
+        found = part if found is None else found.unionByName(part)
     score = F.col("matched_words") - 2 * F.col("replaced_words")
     one = found.groupBy("doc_id", "item_id").agg(F.max("longest_run").alias("longest_run"), F.max_by(F.struct("matched_words", "replaced_words"), F.struct(score, "matched_words")).alias("o"), F.max("item_words").alias("item_words"))
     named = one.select("doc_id", "item_id", "longest_run", "o.matched_words", "o.replaced_words", "item_words", (F.col("longest_run") >= least_run).alias("exact"))

@@ -103,7 +103,8 @@ def plan_mixture(counted: DataFrame, targets: DataFrame, budget: int | None = No
     if len(rows) > 10_000:
         raise ValueError("too many sources")
     whole = sum(r["target_share"] for r in rows)
-    have = {r["source"]: r["n"] for r in counted.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect() if r["source"] in {x["source"] for x in rows}}
+    listed = counted.where(F.col("source").isin([r["source"] for r in rows]))
+    have = {r["source"]: r["n"] for r in listed.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
     wanted: dict[str, list] = {}
     for r in rows:  # spellings of one source add up
         old = wanted.setdefault(r["source"], [0.0, 1])
@@ -133,34 +134,54 @@ def with_plan(rows: DataFrame, plan: list[dict]) -> DataFrame:
 
 
 def mixture(documents: DataFrame, plan: list[dict]) -> DataFrame:
-    """doc_id, copy_no, source, text, shuffle_key in global random order: each document as often as drawn."""
+    """doc_id, copy_no, source, text, shuffle_key in global random order: each document as often as drawn.
+
+    The key is uniform, so equal ranges of it are equal partitions: no pass over the texts has to sample their bounds.
+    """
     rows = documents.select("doc_id", canonical_source(F.col("source")).alias("source"), "text").where(F.col("doc_id").isNotNull())
     drawn = with_plan(rows, plan).withColumn("n", _count(F.col("seed"))).where(F.col("n") > 0)
     copies = drawn.select("doc_id", F.explode(F.sequence(F.lit(1), "n")).alias("copy_no"), "source", "text")
-    return copies.withColumn("shuffle_key", F.xxhash64("doc_id", "copy_no", F.lit("order"))).orderBy("shuffle_key", "doc_id", "copy_no")
+    keyed = copies.withColumn("shuffle_key", F.xxhash64("doc_id", "copy_no", F.lit("order")))
+    n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.least(F.floor((F.col("shuffle_key") / F.lit(2.0**64) + 0.5) * n), F.lit(n - 1)).cast("int")
+    return keyed.repartitionById(n, place).sortWithinPartitions("shuffle_key", "doc_id", "copy_no")
+
+
+def report(counted: DataFrame, plan: list[dict]) -> DataFrame:
+    """One row a planned source; see `mix_sources`. `counted` is read when the report is."""
+    drawn = with_plan(counted, plan).withColumn("n", _count(F.col("seed"))).withColumn("first", _count(F.lit(0)))
+    by = drawn.groupBy("source").agg(
+        F.sum(F.col("n_tokens") * F.col("n")).alias("tokens_mixed"), F.count(F.when(F.col("n") > 0, 1)).alias("documents"), F.sum("n").alias("copies"), F.max("n").alias("max_copies"), F.sum(F.col("n_tokens") * F.col("first")).alias("first_tokens")
+    )
+    spark = counted.sparkSession
+    listed = spark.createDataFrame([(p["source"], float(p["target_share"]), int(p["tokens"])) for p in plan], "source string, target_share double, tokens_available bigint")
+    total = by.agg(F.sum("tokens_mixed").alias("_all"), F.sum("first_tokens").alias("_first"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    share = lambda c, whole: F.round(F.coalesce(c, F.lit(0)) / F.greatest(F.coalesce(whole, F.lit(0)), F.lit(1)), 6)
+    return (
+        listed.join(F.broadcast(by), "source", "left")
+        .join(F.broadcast(total), how="left")
+        .select(
+            "source",
+            "target_share",
+            share("tokens_mixed", "_all").alias("actual_share"),
+            share("first_tokens", "_first").alias("first_seed_share"),
+            "tokens_available",
+            *map(zero, ["tokens_mixed", "documents", "copies", "max_copies"]),
+            F.round(F.coalesce("tokens_mixed", F.lit(0)) / F.greatest("tokens_available", F.lit(1)), 6).alias("mean_repeats"),
+        )
+    )
 
 
 def mix_sources(documents: DataFrame, targets: DataFrame, budget: int | None = None, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
     """(mixture, report).
 
-    Report: source, target_share, actual_share, tokens_available, tokens_mixed, documents, copies, max_copies,
-    mean_repeats. Documents of no or an unlisted source have no share and stay out. A source without documents
-    is reported with nothing; the others keep their proportions. A repeated doc_id is drawn alike each time.
+    Report: source, target_share, actual_share, first_seed_share, tokens_available, tokens_mixed, documents, copies,
+    max_copies, mean_repeats. actual_share is reached with the seeds chosen, first_seed_share is what the law gives with the
+    first seed for all. The scarcest source is drawn max_repeats times throughout, as its rate is its cap. Documents of no or
+    an unlisted source have no share and stay out. A source without documents is reported with nothing; the others keep their
+    proportions. A repeated doc_id is drawn alike each time.
     """
     counted = cut(count_tokens(documents, tokenizer))
     plan = plan_mixture(counted, targets, budget)
-    drawn = with_plan(counted, plan).withColumn("n", _count(F.col("seed")))
-    by = drawn.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n")).alias("tokens_mixed"), F.count(F.when(F.col("n") > 0, 1)).alias("documents"), F.sum("n").alias("copies"), F.max("n").alias("max_copies"))
-    spark = documents.sparkSession
-    listed = spark.createDataFrame([(p["source"], float(p["target_share"]), int(p["tokens"])) for p in plan], "source string, target_share double, tokens_available bigint")
-    total = by.agg(F.sum("tokens_mixed")).first()[0] or 0
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    report = listed.join(F.broadcast(by), "source", "left").select(
-        "source",
-        "target_share",
-        F.round(F.coalesce("tokens_mixed", F.lit(0)) / F.lit(max(1, total)), 6).alias("actual_share"),
-        "tokens_available",
-        *map(zero, ["tokens_mixed", "documents", "copies", "max_copies"]),
-        F.round(F.coalesce("tokens_mixed", F.lit(0)) / F.greatest("tokens_available", F.lit(1)), 6).alias("mean_repeats"),
-    )
-    return mixture(documents, plan), report
+    return mixture(documents, plan), report(counted, plan)

@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 
 from .common import cut, latest
 
-MAX_CENTROIDS = 2048
 Codebooks = dict[int, tuple[np.ndarray, np.ndarray]]
 
 
@@ -83,14 +82,14 @@ def _kmeans(points: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centroids
 
 
-def fit_codebooks(index: DataFrame, n: int, per_cell: int, sample: int, centroids: int | None = None) -> Codebooks:
+def fit_codebooks(index: DataFrame, n: int, per_cell: int, sample: int, centroids: int | None = None, most_centroids: int = 8192) -> Codebooks:
     """Two codebooks of `centroids` (else about n / per_cell cells) for each length, from about `sample` vectors chosen by hash."""
     share = min(1.0, sample / max(1, n))
     picked = index.select("vec").where(F.pmod(F.col("key"), F.lit(1_000_003)) < int(share * 1_000_003) + 1)  # no limit: it would gather one partition
     by_dim: dict[int, list[bytes]] = {}
     for v in picked.toArrow().column("vec").to_pylist():
         by_dim.setdefault(len(v) // 4, []).append(v)
-    k = max(1, min(MAX_CENTROIDS, centroids or round(math.sqrt(n / per_cell))))
+    k = max(1, min(most_centroids, centroids or round(math.sqrt(n / per_cell))))
     return {dim: tuple(_kmeans(half, k) if half.shape[1] else np.zeros((1, 0)) for half in _halves(_unit(raw))) for dim, raw in by_dim.items()}
 
 
@@ -196,22 +195,23 @@ def _match(k: int, min_cosine: float, both: bool) -> Callable:
     return run
 
 
-def similar_vectors(rows: DataFrame, k: int = 10, min_cosine: float = -1.0, probes: int | float = 12, per_cell: int = 32, centroids: int | None = None, sample: int = 32_768, block: int = 20_000) -> DataFrame:
+def similar_vectors(rows: DataFrame, k: int = 10, min_cosine: float = -1.0, probes: int | float = 12, per_cell: int = 32, centroids: int | None = None, sample: int = 32_768, block: int = 20_000, most_centroids: int = 8192) -> DataFrame:
     """chunk_id, scope, neighbour_id, cosine, rank: up to k most similar other chunks of the same scope.
 
     `probes` is a number of cells, or as a float below 1 a share of all cells: near neighbours (cosine over 0.8)
     lie in the first few cells at any size, while neighbours hardly nearer than chance need a large share.
     Ties go to the smaller neighbour_id; between equally near groups of copies at the very cut, to the one the
     index meets first, which is the same in every run. Lone vectors and empty input give no rows. Results are approximate by the probing only: see
-    `recall` for the measured share.
+    `recall` for the measured share. `most_centroids` a half serve per_cell * most_centroids ** 2 vectors (two billion);
+    beyond that cells grow, so raise it with `sample`, which should hold several vectors a centroid.
     """
     all_rows = cut(packed(valid_vectors(rows)))
     index = cut(all_rows.groupBy("key").agg(F.first("space").alias("space"), F.first("vec").alias("vec"), F.count("*").alias("copies")))
     n = index.count()
-    books = fit_codebooks(index, n, per_cell, sample, centroids)
+    books = fit_codebooks(index, n, per_cell, sample, centroids, most_centroids)
     entries = index.select("space", "key", "vec").mapInPandas(_entries(books), "space string, c1 int, c2 int, key bigint, vec binary")
     queries = index.select("space", "key", "vec").mapInPandas(_probes(books, probes), "space string, c1 int, c2s binary, key bigint, vec binary")
-    # At most MAX_CENTROIDS first centroids a space; only those above the block size need a grid.
+    # At most `most_centroids` first centroids a space; only those above the block size need a grid.
     hot = {(r["space"], r["c1"]): math.ceil(r["count"] / block) for r in entries.groupBy("space", "c1").count().where(F.col("count") > block).collect()}
     grid = F.lit(1)
     for (space, c1), parts in hot.items():

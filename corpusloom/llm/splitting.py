@@ -70,34 +70,34 @@ def bisect_text(text: str, limit: int = CHUNK_LIMIT, overlap: int = 0) -> list[t
     return [(max(0, lo - overlap), lo, hi) for lo, hi in cores]
 
 
-_PIECES = "chunk_id string, piece_no int, n_pieces int, text string, overlap_chars int, start_line int, end_line int, heading_path string"
+_PIECES = "chunk_id string, piece_no int, n_pieces int, text string, overlap_chars int, start_line int, end_line int, heading_path string, text_md5 string"
 
 
 def _split_batches(limit: int, overlap: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for cid, text, line, heading in zip(batch["chunk_id"], batch["text"], batch["start_line"], batch["heading_path"]):
+            for cid, text, line, heading, md5 in zip(batch["chunk_id"], batch["text"], batch["start_line"], batch["heading_path"], batch["text_md5"]):
                 spans = bisect_text(text, limit, overlap)
                 ends = [m.start() for m in re.finditer("\n", text)]
                 first = None if pd.isna(line) else int(line)
                 for n, (lo, core, hi) in enumerate(spans):
                     lines = (None, None) if first is None else (first + bisect_left(ends, lo), first + bisect_left(ends, hi - 1))
-                    out.append((cid, n, len(spans), text[lo:hi], core - lo, *lines, heading))
-            frame = pd.DataFrame(out, columns=["chunk_id", "piece_no", "n_pieces", "text", "overlap_chars", "start_line", "end_line", "heading_path"])
+                    out.append((cid, n, len(spans), text[lo:hi], core - lo, *lines, heading, md5))
+            frame = pd.DataFrame(out, columns=[x.split()[0] for x in _PIECES.split(", ")])
             yield frame.astype({"start_line": "Int32", "end_line": "Int32"})
 
     return run
 
 
 def split_oversized(chunks: DataFrame, limit: int = CHUNK_LIMIT, overlap: int = 80) -> DataFrame:
-    """chunk_id, piece_no, n_pieces, text, overlap_chars, start_line, end_line, heading_path of oversized chunks.
+    """chunk_id, piece_no, n_pieces, text, overlap_chars, start_line, end_line, heading_path, text_md5 of oversized chunks.
 
     Only texts of more than `limit` code points are cut, so only they leave the JVM. Each piece has at most
     `limit` code points, overlap included. Lines are those the piece's characters stand on, counted from the
     chunk's start_line (null there gives null lines). A chunk_id repeated with the same text counts once; with
-    different texts each text is split, since the data do not say which is right. Null texts are left out.
+    different texts each text is split, since the data do not say which is right; text_md5 of the whole text tells them apart. Null texts are left out.
     """
     long = chunks.where(F.length("text") > limit).select("chunk_id", "text", "start_line", "heading_path")
-    rows = long.groupBy("chunk_id", F.xxhash64("text").alias("_h")).agg(F.min(F.struct("text", "start_line", "heading_path")).alias("_c")).select("chunk_id", "_c.*")
+    rows = long.groupBy("chunk_id", F.md5("text").alias("text_md5")).agg(F.min(F.struct("text", "start_line", "heading_path")).alias("_c")).select("chunk_id", "text_md5", "_c.*")
     return rows.mapInPandas(_split_batches(limit, overlap), _PIECES)

@@ -42,7 +42,7 @@ def test_exact_leaks(spark, case):
     d = spark.createDataFrame([(*x, "clash") for x in docs], DOCS)
     i = spark.createDataFrame([(*x, "clash") for x in items], ITEMS)
     want = exact_pairs(docs, items)
-    for most in (2_000_000, 0):  # arrays in the map, and the shuffle join
+    for most in (2_000_000, 0):  # one block, and a block for each passage
         got = {(r["doc_id"], r["item_id"]) for r in L.find_leaks(d, i, most_windows=most).where("exact").collect()}
         assert got == want and len(want) > 50
 
