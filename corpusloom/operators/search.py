@@ -125,16 +125,17 @@ def lengths(rows: DataFrame, id_column: str = "chunk_id", text_column: str = "te
 _ROWS = "\0"  # stands in the vocabulary for the rows themselves; no token has this character
 
 
-def _idf_table(vocabulary: DataFrame, corpus: DataFrame, words: list[str], grouped: list[str]) -> DataFrame:
-    """(grouped..., n, avgdl, idf): one row a group with the idf of the query's terms as a map.
+def _idf_table(vocabulary: DataFrame, corpus: DataFrame, words: Counter, grouped: list[str]) -> DataFrame:
+    """(grouped..., n, avgdl, weight): one row a group with the idf of the query's terms, times their number in it, as a map.
 
     A term in more than half of the rows has the floor EPSILON * mean idf over the whole vocabulary.
     """
     raw = vocabulary.join(F.broadcast(corpus), grouped).withColumn("raw_idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    asked = F.collect_list(F.when(F.col("term").isin(words or [""]), F.struct("term", "raw_idf")))  # at most the query's terms
+    asked = F.collect_list(F.when(F.col("term").isin(list(words) or [""]), F.struct("term", "raw_idf")))  # at most the query's terms
     means = raw.groupBy(*grouped).agg(F.avg("raw_idf").alias("mean_idf"), asked.alias("asked"))
-    idf = F.transform("asked", lambda x: F.struct(x["term"], F.when(x["raw_idf"] >= 0, x["raw_idf"]).otherwise(EPSILON * F.col("mean_idf"))))
-    return corpus.join(means.select(*grouped, F.map_from_entries(idf).alias("idf")), grouped, "left")
+    times = F.create_map(*[F.lit(x) for word, n in sorted(words.items()) for x in (word, float(n))]) if words else F.lit(None).cast("map<string,double>")
+    idf = F.transform("asked", lambda x: F.struct(x["term"], times[x["term"]] * F.when(x["raw_idf"] >= 0, x["raw_idf"]).otherwise(EPSILON * F.col("mean_idf"))))
+    return corpus.join(means.select(*grouped, F.map_from_entries(idf).alias("weight")), grouped, "left")
 
 
 def bm25(rows: DataFrame, query: str, id_column: str = "chunk_id", text_column: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
@@ -153,19 +154,17 @@ def bm25(rows: DataFrame, query: str, id_column: str = "chunk_id", text_column:
     terms = bags.select(*grouped, "dl", F.explode(F.concat(F.array_distinct("_t"), F.array(F.lit(_ROWS)))).alias("term"))
     counted = terms.groupBy(*grouped, "term").agg(F.count("*").alias("df"), F.sum("dl").alias("total"))
     corpus = counted.where(F.col("term") == _ROWS).select(*grouped, F.col("df").alias("n"), (F.col("total") / F.col("df")).alias("avgdl"))
-    table = _idf_table(counted.where(F.col("term") != _ROWS).select(*grouped, "term", "df"), corpus, list(words), grouped)
+    table = _idf_table(counted.where(F.col("term") != _ROWS).select(*grouped, "term", "df"), corpus, words, grouped)
     # One pass over a bag keeps the few tokens the query asks for; the terms are counted among those.
     asked = F.filter("_t", lambda t: t.isin(list(words) or [""]))
     scored = bags.withColumn("_t", asked).join(F.broadcast(table), grouped)
-    score = F.lit(0.0)
-    for word, times in sorted(words.items()):
-        score = score + _part(word, times, _times("_t", word))
+    score = F.aggregate(F.array_sort(F.array_distinct("_t")), F.lit(0.0), lambda s, t: s + _part(F.col("weight")[t], F.size(F.filter("_t", lambda x: x == t))))
     return scored.select(*by, id_column, score.alias("lexical_raw"))
 
 
-def _part(word: str, times: int, tf: Column) -> Column:
-    one = F.coalesce(F.col("idf")[F.lit(word)], F.lit(0.0)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return F.lit(float(times)) * F.when((tf > 0) & (F.col("avgdl") > 0), one).otherwise(0.0)
+def _part(weight: Column, tf: Column) -> Column:
+    """A term's share of the score; in groups without any token nothing has one."""
+    return F.coalesce(weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))), F.lit(0.0))
 
 
 def bm25_stored(bags: DataFrame, sizes: DataFrame, query: str, id_column: str = "chunk_id", by: tuple[str, ...] = ("scope",), vocabulary: DataFrame | None = None) -> DataFrame:
@@ -177,19 +176,12 @@ def bm25_stored(bags: DataFrame, sizes: DataFrame, query: str, id_column: str =
     grouped = list(by)
     corpus = sizes.groupBy(*grouped).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     known = bags.groupBy(*grouped, "term").agg(F.count("*").alias("df")) if vocabulary is None else vocabulary
-    table = F.broadcast(_idf_table(known, corpus, list(words), grouped))
+    table = F.broadcast(_idf_table(known, corpus, words, grouped))
     hits = bags.where(F.col("term").isin(list(words) or [""])).join(table, grouped)
-    score = F.lit(0.0)
-    for word, times in sorted(words.items()):
-        score = score + F.when(F.col("term") == word, _part(word, times, F.col("tf"))).otherwise(0.0)
-    found = hits.groupBy(*grouped, id_column).agg(F.sum(score).alias("lexical_raw"))
+    found = hits.groupBy(*grouped, id_column).agg(F.sum(_part(F.col("weight")[F.col("term")], F.col("tf"))).alias("lexical_raw"))
     return sizes.join(found, [*grouped, id_column], "left").select(*by, id_column, F.coalesce("lexical_raw", F.lit(0.0)).alias("lexical_raw"))
 
 
-def _times(tokens: str, word: str) -> Column:
-    return F.size(F.filter(tokens, lambda t: t == F.lit(word)))
-
-
 def _query_tokens(query: str) -> list[str]:
     import re
 
