@@ -74,8 +74,7 @@ def store_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def store_status(spark: SparkSession, d: str) -> DataFrame:
     """The collections of the index status, as the engine reports them."""
-    store = _store(spark, d)
-    engine = Engine(spark, store.home.rsplit("/", 1)[0], store.settings)
+    engine = _engine(spark, d)
     return spark.createDataFrame([(c["scope"], c["name"], c["exists"], c["points"]) for c in engine.index_status()["collections"]], "scope string, name string, exists boolean, points bigint")
 
 
@@ -124,10 +123,8 @@ def _least_vector(store: ChunkStore) -> tuple[str, str, list[float]]:
 
 def find_similar_stored(spark: SparkSession, d: str) -> DataFrame:
     """The engine's neighbours of the first chunk by its stored vector."""
-    store = _store(spark, d)
-    engine = Engine(spark, store.home.rsplit("/", 1)[0], store.settings)
-    cid, scope, _ = _least_vector(store)
-    return engine.find_similar_chunk(scope, cid, 10, stored_vector=True).select("chunk_id", "scope", F.round("score", 6).alias("score"))
+    cid, scope, _ = _least_vector(_store(spark, d))
+    return _engine(spark, d).find_similar_chunk(scope, cid, 10, stored_vector=True).select("chunk_id", "scope", F.round("score", 6).alias("score"))
 
 
 def dense_by_path_and_tag(spark: SparkSession, d: str) -> DataFrame:
@@ -213,7 +210,61 @@ def index_profiles(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(out, "repo_key string, profile string, index_schema_version int")
 
 
+# The search tools of the engine
+
+
+def _engine(spark: SparkSession, d: str) -> Engine:
+    store = _store(spark, d)
+    return Engine(spark, store.home.rsplit("/", 1)[0], store.settings)
+
+
+def _ranked(found: DataFrame) -> DataFrame:
+    return found.select("chunk_id", "scope", "relative_path", *[F.round(c, 6).alias(c) for c in ("score", "dense_score", "lexical_score")])
+
+
+def tool_semantic_search(spark: SparkSession, d: str) -> DataFrame:
+    from corpusloom.plans.queries import QUERY_TEXT
+
+    return _ranked(_engine(spark, d).semantic_search(QUERY_TEXT, top_k=20))
+
+
+def tool_semantic_search_code(spark: SparkSession, d: str) -> DataFrame:
+    from corpusloom.plans.queries import QUERY_TEXT
+
+    return _ranked(_engine(spark, d).semantic_search_code(QUERY_TEXT, top_k=20, chunk_types=["python_function", "generic_window"]))
+
+
+def tool_semantic_search_docs(spark: SparkSession, d: str) -> DataFrame:
+    from corpusloom.plans.queries import QUERY_TEXT
+
+    return _ranked(_engine(spark, d).semantic_search_docs(QUERY_TEXT, top_k=20, domain_tags=["docs", "observability"]))
+
+
+def tool_hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    from corpusloom.plans.queries import QUERY_TEXT
+
+    return _ranked(_engine(spark, d).hybrid_search(QUERY_TEXT, top_k=20))
+
+
+def tool_hybrid_search_code(spark: SparkSession, d: str) -> DataFrame:
+    from corpusloom.plans.queries import QUERY_TEXT
+
+    return _ranked(_engine(spark, d).hybrid_search_code(QUERY_TEXT, top_k=20, chunk_types=["python_function", "generic_window"]))
+
+
+def tool_hybrid_search_docs(spark: SparkSession, d: str) -> DataFrame:
+    from corpusloom.plans.queries import QUERY_TEXT
+
+    return _ranked(_engine(spark, d).hybrid_search_docs(QUERY_TEXT, top_k=20, domain_tags=["docs", "observability"]))
+
+
+def tool_read_chunk(spark: SparkSession, d: str) -> DataFrame:
+    """The first chunk, read by the tool."""
+    cid, scope, _ = _least_vector(_store(spark, d))
+    return _engine(spark, d).read_chunk(scope, cid).select("chunk_id", "scope", "relative_path", "language", "chunk_type", F.md5("text").alias("text_md5"), "start_line", "end_line", "symbol_path", "heading_path", F.array_join("domain_tags", ",").alias("domain_tags"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (store_scan, store_vectors, store_status, store_recreated, store_deleted, read_chunks, stored_bm25, find_similar_stored, dense_by_path_and_tag, result_projection, tracked_tree, query_set_file, index_profiles)
+    for f in (store_scan, store_vectors, store_status, store_recreated, store_deleted, read_chunks, stored_bm25, find_similar_stored, dense_by_path_and_tag, result_projection, tracked_tree, query_set_file, index_profiles, tool_semantic_search, tool_semantic_search_code, tool_semantic_search_docs, tool_hybrid_search, tool_hybrid_search_code, tool_hybrid_search_docs, tool_read_chunk)
 }

@@ -1,5 +1,8 @@
 """SQL of the registered queries for DuckDB, written from the rules, not from the plans."""
 
+from corpusloom.config import Settings
+from corpusloom.operators.embedding import HashingProvider
+
 QUERY_TEXT = "where the merged window is rebuilt after a restart"
 TOKEN = "[A-Za-zА-Яа-я0-9_./:-]+"
 BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
@@ -54,7 +57,35 @@ _NEAR = """u AS (SELECT repo_key || '/' || chunk_id AS chunk_id, scope, repo_key
   o AS (SELECT chunk_id AS own, scope AS own_scope, embedding AS q FROM u ORDER BY chunk_id LIMIT 1),
   near AS (SELECT u.*, own, own_scope, """ + _COSINE + """ AS s FROM u, o)"""
 
+# The query's own vector by the local provider, as a literal.
+_TOOL_VECTOR = "[" + ", ".join(map(repr, HashingProvider(Settings()).embed_query(QUERY_TEXT))) + "]"
+_TOOL = f"""t AS (SELECT repo_key || '/' || chunk_id AS chunk_id, scope, repo_key || '/' || replace(relative_path, chr(92), '/') AS relative_path, chunk_type, domain_tags, text, vector::DOUBLE[] AS embedding FROM latest),
+  ranked AS (SELECT * EXCLUDE (embedding, q, text), {_COSINE} AS s FROM t, (SELECT {_TOOL_VECTOR}::DOUBLE[] AS q) WHERE embedding IS NOT NULL),
+  l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY s DESC, chunk_id) AS r FROM ranked)"""
+_TYPES, _TAGS = "chunk_type IN ('python_function', 'generic_window')", "list_has_any(domain_tags, ['docs', 'observability'])"
+
+
+def _tool_dense(keep: str) -> str:
+    return f"""WITH {_LATEST}, {_TOOL} WHERE r <= 120)
+SELECT chunk_id, scope, relative_path, round(s, 6) AS score, round(s, 6) AS dense_score, NULL::DOUBLE AS lexical_score FROM l WHERE {keep} ORDER BY s DESC, chunk_id LIMIT 20"""
+
+
+def _tool_hybrid(keep: str) -> str:
+    return f"""WITH {_LATEST}, {_TOOL} WHERE r <= 600), dense AS (SELECT chunk_id, s FROM l WHERE {keep} ORDER BY s DESC, chunk_id LIMIT 100),
+  {_bm25(f"SELECT scope AS g, chunk_id AS id, text FROM t WHERE {keep}")},
+  f AS (SELECT coalesce(chunk_id, id) AS chunk_id, coalesce(s, 0) AS dense_score, coalesce(lex.score, 0) AS lexical_score, 0.7 * coalesce(s, 0) + 0.3 * coalesce(lex.score, 0) AS score FROM dense FULL JOIN lex ON chunk_id = id)
+SELECT chunk_id, scope, relative_path, round(score, 6) AS score, round(dense_score, 6) AS dense_score, round(lexical_score, 6) AS lexical_score FROM f JOIN t USING (chunk_id) ORDER BY f.score DESC, chunk_id LIMIT 20"""
+
+
 ORACLE: dict[str, str] = {
+    "tool_semantic_search": _tool_dense("true"),
+    "tool_semantic_search_code": _tool_dense(f"scope = 'code' AND {_TYPES}"),
+    "tool_semantic_search_docs": _tool_dense(f"scope = 'docs' AND {_TAGS}"),
+    "tool_hybrid_search": _tool_hybrid("true"),
+    "tool_hybrid_search_code": _tool_hybrid(f"scope = 'code' AND {_TYPES}"),
+    "tool_hybrid_search_docs": _tool_hybrid(f"scope = 'docs' AND {_TAGS}"),
+    "tool_read_chunk": f"""WITH {_LATEST} SELECT repo_key || '/' || chunk_id AS chunk_id, scope, repo_key || '/' || replace(relative_path, chr(92), '/') AS relative_path, language, chunk_type, md5(text) AS text_md5,
+  start_line, end_line, symbol_path, heading_path, array_to_string(domain_tags, ',') AS domain_tags FROM latest WHERE vector IS NOT NULL ORDER BY 1 LIMIT 1""",
     "dense_topk": f"WITH {_E} SELECT chunk_id, round(s, 6) AS dense_score FROM e ORDER BY s DESC, chunk_id LIMIT 10",
     "dense_topk_filtered": _shortlist(60) + " SELECT chunk_id, scope, chunk_type, round(s, 6) AS dense_score FROM l WHERE chunk_type IN ('1', '3', '4') ORDER BY s DESC, chunk_id LIMIT 10",
     "dense_topk_prefiltered": f"WITH {_E} SELECT chunk_id, scope, chunk_type, round(s, 6) AS dense_score FROM e WHERE chunk_type IN ('1', '3', '4') ORDER BY s DESC, chunk_id LIMIT 10",
