@@ -9,7 +9,9 @@ from __future__ import annotations
 import ast
 import re
 import warnings
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import pandas as pd
@@ -53,16 +55,26 @@ def windows(text: str, most_lines: int = 80, most_chars: int = 2400) -> Iterator
     Window numbers count blank windows too, which are not emitted.
     """
     lines = text.splitlines()
-    at = number = 0
-    while at < len(lines):
+    n = len(lines)
+    before = [0, *accumulate(len(x) + 1 for x in lines)]  # characters before each line
+    full = [i for i, x in enumerate(lines) if x.strip()]
+
+    def bounds(lo: int, hi: int) -> tuple[int, int]:
+        """Where the text of the lines begins and ends without the blanks around it."""
+        first, last = bisect_left(full, lo), bisect_left(full, hi) - 1
+        if first > last:
+            return 0, 0
+        head, tail = lines[full[first]], lines[full[last]]
+        return before[full[first]] + len(head) - len(head.lstrip()), before[full[last]] + len(tail.rstrip())
+
+    whole, at, number = "\n".join(lines), 0, 0
+    while at < n:
         number += 1
-        stop = min(at + most_lines, len(lines))
-        body = "\n".join(lines[at:stop]).strip()
-        while len(body) > most_chars and stop - at > BACK_OFF:
-            stop -= BACK_OFF
-            body = "\n".join(lines[at:stop]).strip()
-        if body:
-            yield Span("generic_window", f"generic:{number}:{at + 1}:{stop}", body, at + 1, stop)
+        stops = range(min(at + most_lines, n), at, -BACK_OFF)  # the last one leaves BACK_OFF lines or fewer
+        ends = ((stop, *bounds(at, stop)) for stop in stops)
+        stop, lo, hi = next((e for e in ends if e[2] - e[1] <= most_chars), (stops[-1], *bounds(at, stops[-1])))
+        if lo < hi:
+            yield Span("generic_window", f"generic:{number}:{at + 1}:{stop}", whole[lo:hi], at + 1, stop)
         at = stop
 
 
@@ -80,18 +92,26 @@ def section_parts(text: str, most_chars: int = 2600) -> list[str]:
     return [p for p in ("\n".join(x).strip() for x in [*parts, held]) if p]
 
 
+def headings(lines: list[str]) -> list[tuple[int, int, str]]:
+    """(line number, level, path of the ancestors and itself) of every heading."""
+    out, ancestors = [], []
+    for n, line in enumerate(lines, 1):
+        if m := _HEADING.match(line):
+            level = len(m[1])
+            ancestors = [a for a in ancestors if a[0] < level] + [(level, m[2].strip())]
+            out.append((n, level, " / ".join(title for _, title in ancestors)))
+    return out
+
+
 def sections(text: str, section_chars: int = 2600, **window: int) -> Iterator[Span]:
     """One span a heading down to the next heading, under the path of its ancestors; text before the first is not covered."""
     lines = text.splitlines()
-    marks = [(n, len(m[1]), m[2].strip()) for n, line in enumerate(lines, 1) if (m := _HEADING.match(line))]
+    marks = headings(lines)
     if not marks:
         yield from windows(text, **window)
         return
-    ancestors: list[tuple[int, str]] = []
     stops = [n - 1 for n, _, _ in marks[1:]] + [len(lines)]
-    for (start, level, title), stop in zip(marks, stops):
-        ancestors = [a for a in ancestors if a[0] < level] + [(level, title)]
-        path = " / ".join(t for _, t in ancestors)
+    for (start, _, path), stop in zip(marks, stops):
         for k, part in enumerate(section_parts("\n".join(lines[start - 1 : stop]).strip(), section_chars), 1):
             yield Span("markdown_section", f"{path}:{k}:{start}:{stop}", part, start, stop, heading_path=path)
 
@@ -114,6 +134,12 @@ def definitions(text: str, **window: int) -> Iterator[Span]:
         if code := source(first, last):
             yield Span(kind, f"{label}:{name}:{first}:{last}", code, first, last, name)
 
+    def class_head(node: ast.ClassDef) -> Span:
+        """The lines before the first statement of the body, SUMMARY_LINES after the first at most; the class line itself always."""
+        own, ends = node.lineno, min(node.end_lineno, node.lineno + SUMMARY_LINES)
+        ends = min(ends, node.body[0].lineno - 1)
+        return Span("class_summary", f"class:{node.name}:summary:{own}:{ends}", source(own, max(own, ends)), own, max(own, ends), node.name)
+
     tops = [n for n in body if isinstance(n, _DEFINITIONS)]
     found = 0
     if tops:
@@ -128,15 +154,11 @@ def definitions(text: str, **window: int) -> Iterator[Span]:
                 found += 1
                 yield s
             continue
-        if not source(node.lineno, node.end_lineno):
-            continue
-        found += 1
-        last = min(node.end_lineno, node.lineno + SUMMARY_LINES, node.body[0].lineno - 1)
-        shown = max(last, node.lineno)
-        yield Span("class_summary", f"class:{node.name}:summary:{node.lineno}:{last}", source(node.lineno, shown), node.lineno, shown, node.name)
-        for child in node.body:
-            if isinstance(child, _DEFINITIONS[:2]):
-                yield from span("python_method", "method", child.lineno, child.end_lineno, f"{node.name}/{child.name}")
+        if source(node.lineno, node.end_lineno):
+            found += 1
+            yield class_head(node)
+            methods = (x for x in node.body if isinstance(x, _DEFINITIONS[:2]))
+            yield from (s for x in methods for s in span("python_method", "method", x.lineno, x.end_lineno, f"{node.name}/{x.name}"))
     if not found:
         yield from windows(text, **window)
 

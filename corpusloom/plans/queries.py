@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.config import Settings
 from corpusloom.functions import hashing, paths, text, vectors
 from corpusloom.operators import changes, evaluation, search
-from corpusloom.operators.chunkers import chunk_files, parts, windows
+from corpusloom.operators.chunkers import chunk_files, headings, parts, windows
 from corpusloom.plans.oracle import ORACLE  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -251,22 +251,16 @@ def oversized_parts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def heading_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Headings of all documents with the path of their ancestors, by windows instead of a stack.
-
-    The nearest heading of a level counts as an ancestor if it stands after every nearest heading of a lower level.
-    """
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(text.lines(F.col("text"))).alias("at", "line"))
-    mark = r"^(#{1,6})" + text.BLANK + r"+(.*[^" + text.BLANK[1:-1] + r"])" + text.BLANK + r"*\z"
-    heads = lines.where(F.col("line").rlike(mark)).select("doc_id", (F.col("at") + 1).alias("line_no"), F.length(F.regexp_extract("line", mark, 1)).alias("level"), F.regexp_extract("line", mark, 2).alias("title"))
-    w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = heads.withColumns({f"_{n}": F.max(F.when(F.col("level") == n, F.struct("line_no", "title"))).over(w) for n in range(1, 7)})
-    names = []
-    for n in range(1, 7):
-        alive = F.col("level") >= n
-        for lower in range(1, n):
-            alive = alive & (F.col(f"_{lower}").isNull() | (F.col(f"_{n}.line_no") > F.col(f"_{lower}.line_no")))
-        names.append(F.when(alive, F.col(f"_{n}.title")))
-    return rows.select("doc_id", "line_no", "level", F.array_join(F.filter(F.array(*names), lambda x: x.isNotNull()), " / ").alias("heading_path"))
+    """Headings of all documents with the path of their ancestors, as the section chunker reads them."""
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            out = [(i, *h) for i, t in zip(b["doc_id"], b["text"]) for h in headings(t.splitlines())]
+            yield pd.DataFrame(out, columns=["doc_id", "line_no", "level", "heading_path"])
+
+    return table(spark, d, "documents").select("doc_id", "text").where(F.col("text").isNotNull()).mapInPandas(run, "doc_id bigint, line_no int, level int, heading_path string")
 
 
 # Index changes

@@ -162,14 +162,15 @@ class ChunkStore:
             version = F.element_at(F.create_map(*[F.lit(x) for pair in missing.items() for x in pair]), self._bucket(F.col("relative_path")).cast("string"))
             placed = rows.withColumns({"bucket": self._bucket(F.col("relative_path")), "version": version})
             by = ("scope", "bucket", "version")
-            bags = search.postings(placed, by=by)
-            for name, made in (
-                # Sorted by term: a query's terms select row groups by their bounds.
-                ("postings", bags.repartition("bucket").sortWithinPartitions(*by, "term")),
-                ("lengths", search.lengths(placed, by=by).repartition("bucket")),
-                ("vocabulary", bags.groupBy(*by, "term").agg(F.count("*").alias("df")).repartition("bucket")),
-            ):
+            def write(name: str, made: DataFrame) -> None:
                 made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version", "scope").parquet(f"{self.home}/{name}")
+
+            # Sorted by term: a query's terms select row groups by their bounds.
+            write("postings", search.postings(placed, by=by).repartition("bucket").sortWithinPartitions(*by, "term"))
+            write("lengths", search.lengths(placed, by=by).repartition("bucket"))
+            if self.files.exists(f"{self.home}/postings"):
+                stored = self.spark.read.schema(T.StructType([*POSTINGS.fields, *_PLACE])).parquet(f"{self.home}/postings").where(F.col("version").isin(list(set(missing.values()))))
+                write("vocabulary", stored.groupBy(*by, "term").agg(F.count("*").alias("df")).repartition("bucket"))
             for v in set(missing.values()):
                 self.files.write(f"{self.home}/lexical_made/{v}", "")
         return parts

@@ -40,9 +40,12 @@ def walk(root: str, below: str = "", deep: bool = True) -> Iterator[tuple[str, i
             yield path, s.st_mtime_ns, s.st_size
 
 
+FOLDERS_A_TASK = 64
+
+
 class _Share(InputPartition):
-    def __init__(self, below: str, deep: bool):
-        self.below, self.deep = below, deep
+    def __init__(self, folders: list[tuple[str, bool]]):
+        self.folders = folders
 
 
 class _TreeReader(DataSourceReader):
@@ -50,16 +53,17 @@ class _TreeReader(DataSourceReader):
         self.root, self.content = options["path"], options.get("content", "true").lower() != "false"
 
     def partitions(self) -> list[_Share]:
-        """The root's own files, and one share for each folder two levels down."""
-        shares = [_Share("", False)]
+        """The root's own files and the folders two levels down, dealt out: 32 shares at first, of up to FOLDERS_A_TASK folders, then more."""
+        folders = [("", False)]
         for top in sorted(os.scandir(self.root), key=lambda e: e.name):
             if top.is_dir(follow_symlinks=False):
-                shares.append(_Share(top.name, False))
-                shares += [_Share(f"{top.name}/{e.name}", True) for e in sorted(os.scandir(top.path), key=lambda e: e.name) if e.is_dir(follow_symlinks=False)]
-        return shares
+                folders.append((top.name, False))
+                folders += [(f"{top.name}/{e.name}", True) for e in sorted(os.scandir(top.path), key=lambda e: e.name) if e.is_dir(follow_symlinks=False)]
+        n = min(len(folders), max(32, len(folders) // FOLDERS_A_TASK))
+        return [_Share(folders[i::n]) for i in range(n)]
 
     def read(self, partition: _Share) -> Iterator[tuple]:
-        for path, mtime_ns, size in walk(self.root, partition.below, partition.deep):
+        for path, mtime_ns, size in (found for below, deep in partition.folders for found in walk(self.root, below, deep)):
             body = None
             if self.content:
                 try:
