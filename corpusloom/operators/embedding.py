@@ -115,7 +115,61 @@ class HttpProvider:
             return False
 
 
-PROVIDERS: dict[str, Callable[[Settings], Provider]] = {"hashing": HashingProvider, "http": HttpProvider}
+class LocalModelProvider:
+    """A model in the worker's own process: `embedding_model` names a folder with model.onnx and tokenizer.json.
+
+    The last hidden states of a text's tokens are averaged and normalised. Texts longer than `most_tokens` are cut into
+    runs of that length whose averages are weighted by their tokens, so no text is cut off. One session a process.
+    """
+
+    _loaded: dict[str, tuple] = {}
+
+    def __init__(self, settings: Settings, most_tokens: int = 512):
+        self.settings, self.most = settings, most_tokens
+
+    @classmethod
+    def load(cls, folder: str) -> tuple:
+        """(session, tokenizer) of a folder that every worker can read."""
+        if folder not in cls._loaded:
+            import onnxruntime
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_file(f"{folder}/tokenizer.json")
+            tokenizer.no_truncation()
+            tokenizer.no_padding()
+            cls._loaded[folder] = onnxruntime.InferenceSession(f"{folder}/model.onnx", providers=["CPUExecutionProvider"]), tokenizer
+        return cls._loaded[folder]
+
+    def _vectors(self, texts: list[str]) -> list[list[float]]:
+        import numpy as np
+
+        session, tokenizer = self.load(self.settings.embedding_model)
+        wanted = {x.name for x in session.get_inputs()}
+        runs = [(n, ids[at : at + self.most]) for n, ids in enumerate(e.ids for e in tokenizer.encode_batch(texts)) for at in range(0, max(1, len(ids)), self.most)]
+        width = max((len(ids) for _, ids in runs), default=0) or 1
+        tokens, mask = np.zeros((len(runs), width), dtype=np.int64), np.zeros((len(runs), width), dtype=np.int64)
+        for row, (_, ids) in enumerate(runs):
+            tokens[row, : len(ids)], mask[row, : len(ids)] = ids, 1
+        given = {"input_ids": tokens, "attention_mask": mask, "token_type_ids": np.zeros_like(tokens)}
+        states = np.asarray(session.run(None, {k: v for k, v in given.items() if k in wanted})[0], dtype=np.float64)
+        sums = np.zeros((len(texts), states.shape[2]))
+        np.add.at(sums, [n for n, _ in runs], (states * mask[:, :, None]).sum(axis=1))
+        return (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)).tolist()
+
+    def embed_documents(self, texts: list[str]) -> list[list[float]]:
+        return self._vectors([self.settings.document_prefix + t for t in texts]) if texts else []
+
+    def embed_query(self, text: str) -> list[float]:
+        return self._vectors([self.settings.query_template.replace("{query}", text)])[0]
+
+    def healthcheck(self) -> bool:
+        try:
+            return len(self.embed_query("health")) > 0
+        except Exception:  # noqa: BLE001 - whatever keeps the model from answering
+            return False
+
+
+PROVIDERS: dict[str, Callable[[Settings], Provider]] = {"hashing": HashingProvider, "http": HttpProvider, "local": LocalModelProvider}
 
 
 def provider(settings: Settings) -> Provider:

@@ -98,3 +98,37 @@ def test_embed_chunks(spark):
     rows = spark.createDataFrame([("a", "merged window"), ("b", "other")], "chunk_id string, text string")
     got = E.embed_chunks(rows, Settings()).collect()
     assert {r["chunk_id"]: len(r["vector"]) for r in got} == {"a": 64, "b": 64} and got[0]["embedding_backend"] == "hashing"
+
+
+def test_local_model(monkeypatch, tmp_path):
+    import numpy as np
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    tokenizer = Tokenizer(models.WordLevel({"[UNK]": 0, "alpha": 1, "beta": 2, "gamma": 3}, unk_token="[UNK]"))
+    tokenizer.pre_tokenizer = pre_tokenizers.Whitespace()
+    tokenizer.save(str(tmp_path / "tokenizer.json"))
+
+    class Session:
+        """Each token's state is its one-hot number."""
+
+        def __init__(self, path, providers):
+            assert path.endswith("model.onnx")
+
+        def get_inputs(self):
+            return [type("I", (), {"name": n}) for n in ("input_ids", "attention_mask")]
+
+        def run(self, _, given):
+            assert set(given) == {"input_ids", "attention_mask"} and given["input_ids"].shape[1] <= 2
+            return [np.eye(4)[given["input_ids"]]]
+
+    import onnxruntime
+
+    monkeypatch.setattr(onnxruntime, "InferenceSession", Session)
+    s = Settings(embedding_backend="local", embedding_model=str(tmp_path), document_prefix="", query_template="{query}")
+    p = E.LocalModelProvider(s, most_tokens=2)
+    got = np.array(p.embed_documents(["alpha beta gamma alpha", "beta", ""]))
+    want = np.array([0, 2, 1, 1]) / np.sqrt(6)
+    assert np.allclose(got[0], want) and np.allclose(got[1], [0, 0, 1, 0]) and np.allclose(got[2], 0)
+    assert np.allclose(p.embed_query("beta"), got[1]) and p.healthcheck() and p.embed_documents([]) == []
+    assert isinstance(E.provider(s), E.LocalModelProvider)
+    assert not E.LocalModelProvider(Settings(embedding_model=str(tmp_path / "none"))).healthcheck()
