@@ -8,7 +8,7 @@ precision.
 
 Shuffle layout: an index row goes to the centroid of its first half; a query row goes once to each distinct
 first centroid among its cells and carries the second centroids as a short list, so a vector is not sent once
-per cell. First centroids holding more than `block` rows are split into a grid of entry and query salts, so no
+per cell. First centroids with more than `block` entries or queries are split into a grid of entry and query salts, so no
 task sees an unbounded group. Exact copies of a vector are indexed once and expanded at the end.
 
 The codebooks are fitted on a sample of at most `sample` vectors (the only sampled step); all vectors are
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, latest
 
+PLANNED = 64
 Codebooks = dict[int, tuple[np.ndarray, np.ndarray]]
 
 
@@ -211,15 +212,22 @@ def similar_vectors(rows: DataFrame, k: int = 10, min_cosine: float = -1.0, prob
     books = fit_codebooks(index, n, per_cell, sample, centroids, most_centroids)
     entries = index.select("space", "key", "vec").mapInPandas(_entries(books), "space string, c1 int, c2 int, key bigint, vec binary")
     queries = index.select("space", "key", "vec").mapInPandas(_probes(books, probes), "space string, c1 int, c2s binary, key bigint, vec binary")
-    # At most `most_centroids` first centroids a space; only those above the block size need a grid.
-    hot = {(r["space"], r["c1"]): math.ceil(r["count"] / block) for r in entries.groupBy("space", "c1").count().where(F.col("count") > block).collect()}
-    grid = F.lit(1)
-    for (space, c1), parts in hot.items():
-        grid = F.when((F.col("space") == space) & (F.col("c1") == c1), parts).otherwise(grid)
-    salt = F.pmod(F.xxhash64("key"), grid).cast("int")
-    every = F.explode(F.sequence(F.lit(0), (grid - 1).cast("int")))
-    entries = entries.withColumn("es", salt).withColumn("qs", every if hot else F.lit(0))
-    queries = queries.withColumn("qs", salt).withColumn("es", every if hot else F.lit(0))
+    # At most `most_centroids` first centroids a space; only those above the block size, in entries or queries, need a grid.
+    # Which draw many queries is estimated from one in PLANNED of them; that decides the cut into blocks, and no result.
+    held = {(r["space"], r["c1"]): r["count"] for r in entries.groupBy("space", "c1").count().where(F.col("count") > block).collect()}
+    planned = index.where(F.pmod(F.xxhash64("key"), F.lit(PLANNED)) == 0).select("space", "key", "vec").mapInPandas(_probes(books, probes), "space string, c1 int, c2s binary, key bigint, vec binary")
+    asked = {(r["space"], r["c1"]): r["count"] * PLANNED for r in planned.groupBy("space", "c1").count().where(F.col("count") * PLANNED > block).collect()}
+    hot = [(space, c1, math.ceil(held.get((space, c1), 1) / block), math.ceil(asked.get((space, c1), 1) / block)) for space, c1 in sorted({*held, *asked})]
+    if hot:
+        cuts = F.broadcast(index.sparkSession.createDataFrame(hot, "space string, c1 int, e_parts int, q_parts int"))
+        entries, queries = (x.join(cuts, ["space", "c1"], "left") for x in (entries, queries))
+        e_parts, q_parts = F.coalesce("e_parts", F.lit(1)), F.coalesce("q_parts", F.lit(1))
+        salt = lambda parts: F.pmod(F.xxhash64("key"), parts).cast("int")
+        every = lambda parts: F.explode(F.sequence(F.lit(0), parts - 1))
+        entries = entries.withColumn("es", salt(e_parts)).withColumn("qs", every(q_parts)).drop("e_parts", "q_parts")
+        queries = queries.withColumn("qs", salt(q_parts)).withColumn("es", every(e_parts)).drop("e_parts", "q_parts")
+    else:
+        entries, queries = (x.withColumns({"es": F.lit(0), "qs": F.lit(0)}) for x in (entries, queries))
     keys = ["space", "c1", "es", "qs"]
     near = entries.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(_match(k, min_cosine, min_cosine > 0), "key bigint, other bigint, cosine double")
     if min_cosine > 0:
