@@ -108,6 +108,20 @@ def segments(text: str) -> list[tuple[int, str]]:
     return out + [(kind, "\n".join(pooled[kind])) for kind in sorted(pooled)]
 
 
+SLICE = 1 << 20  # characters looked at in one go, so that memory follows the longest text and not the batch
+
+
+def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > SLICE:
+            yield start, i
+            start, size = i, 0
+        size += len(t)
+    if texts:
+        yield start, len(texts)
+
+
 def _class_of(c: str) -> int:
     if c in "\n\t":
         return GAP
@@ -141,6 +155,9 @@ class _Characters:
         return out
 
     def symbol_counts(self, texts: list[str]) -> np.ndarray:
+        return np.concatenate([self._symbol_counts(texts[a:b]) for a, b in _slices(texts)] or [np.zeros(0, dtype=np.int64)])
+
+    def _symbol_counts(self, texts: list[str]) -> np.ndarray:
         codes = self.codes(texts)
         is_symbol = self._beyond(codes, self.symbols[np.minimum(codes, self.BASIC - 1)], lambda c: not c.isalnum() and not c.isspace())
         owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
@@ -149,6 +166,9 @@ class _Characters:
     def runs(self, texts: list[str], kinds: np.ndarray) -> np.ndarray:
         """Runs of each class for each text. A stop counts where a sentence can end, else as a symbol; blanks of more
         than one character are a gap, but not in running text; in capitals the two cases change places."""
+        return np.concatenate([self._runs(texts[a:b], kinds[a:b]) for a, b in _slices(texts)] or [np.zeros((0, len(CLASSES)), dtype=np.int64)])
+
+    def _runs(self, texts: list[str], kinds: np.ndarray) -> np.ndarray:
         k, n = len(CLASSES), len(texts)
         codes = self.codes(texts)
         if not len(codes):
@@ -254,22 +274,31 @@ def _count_batches(common: dict[str, list[str]]) -> Callable:
 
 
 class _Batch:
-    """The counts of a batch of documents as matrices, one row a segment."""
+    """The counts of a batch of documents: arrays of one entry a segment, and (segment, word, count) of its function words."""
 
-    def __init__(self, batch: pd.DataFrame, language: _Language):
+    def __init__(self, batch: pd.DataFrame):
         width = _HEAD + len(CLASSES)
         tables = [np.frombuffer(x, dtype="<i4").reshape(-1, width) for x in batch["parts"]]
         sizes = [len(t) for t in tables]
         table = np.concatenate(tables) if tables else np.empty((0, width), dtype="<i4")
         self.owner = np.repeat(np.arange(len(tables)), sizes)
-        self.kind, self.language, self.chars, n_words = (table[:, i].astype(np.int64) for i in range(_HEAD))
+        self.kind, self.language, self.chars, self.n_words = (table[:, i].astype(np.int64) for i in range(_HEAD))
         self.runs = table[:, _HEAD:].astype(float)
         base = np.cumsum([0, *sizes[:-1]]) if sizes else []
         known = [np.frombuffer(x, dtype="<i4").reshape(-1, 3) + (b, 0, 0) for x, b in zip(batch["known"], base)]
-        flat = np.concatenate(known) if known else np.empty((0, 3), dtype=np.int64)
-        self.words = np.zeros((len(table), language.width))
-        self.words[flat[:, 0], flat[:, 1]] = flat[:, 2]
-        self.words[:, -1] = np.maximum(0, n_words - self.words.sum(axis=1))
+        flat = np.concatenate(known).astype(np.int64) if known else np.empty((0, 3), dtype=np.int64)
+        self.segment, self.word, self.times = flat.T
+        self.n_known = np.bincount(self.segment, weights=self.times, minlength=len(table))
+
+    def sums(self, chosen: np.ndarray, language: _Language) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of words and of runs for each language over the chosen segments."""
+        n = len(language.names)
+        words, runs = np.zeros((n, language.width)), np.zeros((n, len(CLASSES)))
+        of = chosen[self.segment]
+        np.add.at(words, (self.language[self.segment[of]], self.word[of]), self.times[of])
+        np.add.at(words[:, -1], self.language[chosen], (self.n_words - self.n_known)[chosen])
+        np.add.at(runs, self.language[chosen], self.runs[chosen])
+        return words, runs
 
 
 def _profile_batches(common: dict[str, list[str]]) -> Callable:
@@ -278,10 +307,9 @@ def _profile_batches(common: dict[str, list[str]]) -> Callable:
         n = len(language.names)
         words, runs = np.zeros((n, language.width)), np.zeros((n, len(CLASSES)))
         for batch in batches:
-            b = _Batch(batch, language)
-            running = (b.kind == 0) & (b.language >= 0) & (b.words[:, :-1].sum(axis=1) > 0) & (b.runs[:, STOP] > 0)
-            np.add.at(words, b.language[running], b.words[running])
-            np.add.at(runs, b.language[running], b.runs[running])
+            b = _Batch(batch)
+            more = b.sums((b.kind == 0) & (b.language >= 0) & (b.n_known > 0) & (b.runs[:, STOP] > 0), language)
+            words, runs = words + more[0], runs + more[1]
         yield pd.DataFrame([(i, j, float(m[i, j]), kind) for kind, m in (("word", words), ("run", runs)) for i, j in zip(*np.nonzero(m))], columns=["language", "place", "n", "kind"])
 
     return run
@@ -296,33 +324,32 @@ class Profiles:
         self.known = size > 0
         self.largest = int(size.argmax()) if len(size) else -1
         self.band = np.full(words.shape, BANDS)
-        for band, row in zip(self.band, words[:, :-1]):
-            order = (-row).argsort(kind="stable")
+        banded = np.zeros((len(words), BANDS + 1))
+        for band, row, out in zip(self.band, words, banded):
+            order = (-row[:-1]).argsort(kind="stable")
             before = row[order].cumsum() - row[order]
-            band[order] = np.minimum(BANDS - 1, (before * BANDS / max(1.0, row.sum())).astype(int))
-        banded = self._banded(np.arange(len(words)), words)
+            band[order] = np.minimum(BANDS - 1, (before * BANDS / max(1.0, row[:-1].sum())).astype(int))
+            np.add.at(out, band, row)
         self.words = banded / np.maximum(size, 1)[:, None]
         self.runs = runs / np.maximum(runs.sum(axis=1), 1)[:, None]
 
-    def compare(self, language: np.ndarray, words: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(word divergence as a share of that of as many words without a function word, class divergence).
+    def compare(self, language: np.ndarray, n_words: np.ndarray, known: tuple[np.ndarray, np.ndarray, np.ndarray], runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word divergence as a share of that of as many words without a function word, class divergence) of each text.
 
-        Counts are smoothed towards the profile, and as a few words or runs say little, divided by 1 + SMOOTHING / size.
+        `known` are (text, word, count) of function words of the text's language. Counts are smoothed towards the profile, and
+        as a few words or runs say little, divided by 1 + SMOOTHING / size.
         """
         if not self.any:
-            return np.full(len(words), np.inf), np.full(len(words), np.inf)
+            return np.full(len(runs), np.inf), np.full(len(runs), np.inf)
         lang = np.where((language >= 0) & self.known[language], language, self.largest)
-        words = self._banded(lang, words)
-        word = self._smoothed(words, self.words[lang])
-        none = np.zeros_like(words)
-        none[:, -1] = words.sum(axis=1)
+        words, none = np.zeros((len(runs), BANDS + 1)), np.zeros((len(runs), BANDS + 1))
+        text, word, times = known
+        np.add.at(words, (text, self.band[lang[text], word]), times)
+        words[:, -1] = np.maximum(0, n_words - words[:, :-1].sum(axis=1))
+        none[:, -1] = n_words
         most = self._smoothed(none, self.words[lang])
         weight = lambda x: 1 + SMOOTHING / np.maximum(x.sum(axis=1), 1)
-        return word / np.maximum(most, 1e-9) / weight(words), self._smoothed(runs, self.runs[lang]) / weight(runs)
-
-    def _banded(self, language: np.ndarray, words: np.ndarray) -> np.ndarray:
-        band = self.band[language]
-        return np.stack([(words * (band == i)).sum(axis=1) for i in range(BANDS + 1)], axis=1)
+        return self._smoothed(words, self.words[lang]) / np.maximum(most, 1e-9) / weight(words), self._smoothed(runs, self.runs[lang]) / weight(runs)
 
     @staticmethod
     def _smoothed(counts: np.ndarray, profile: np.ndarray) -> np.ndarray:
@@ -344,7 +371,7 @@ Limits = tuple[float, float]
 
 def _judged(b: _Batch, profiles: Profiles, limits: Limits) -> np.ndarray:
     """The form of each segment, as its place in FORMS."""
-    word, char = profiles.compare(b.language, b.words, b.runs)
+    word, char = profiles.compare(b.language, b.n_words, (b.segment, b.word, b.times), b.runs)
     form = np.select([b.kind == 1, b.kind == 2], [1, 2], 3)
     # Items whose letters change case more often than blanks and signs part them are codes.
     form[(b.kind == 1) & (b.runs[:, UPPER] > b.runs[:, SPACE] + b.runs[:, GAP] + b.runs[:, SYMBOL])] = 3
@@ -358,16 +385,16 @@ def _verdict_batches(common: dict[str, list[str]], profiles: Profiles, limits: L
         language = _Language(common)
         place = {name: i for i, name in enumerate(language.names)}
         for batch in batches:
-            b, n = _Batch(batch, language), len(batch)
+            b, n = _Batch(batch), len(batch)
             shares = np.zeros((n, len(FORMS)))
             np.add.at(shares, (b.owner, _judged(b, profiles, limits)), b.chars)
             shares /= np.maximum(1, shares.sum(axis=1))[:, None]
             own = batch["language"].map(place).fillna(-1).to_numpy(dtype=np.int64)
-            words, runs = np.zeros((n, language.width)), np.zeros((n, len(CLASSES)))
-            same = b.language == own[b.owner]
-            np.add.at(words, b.owner[same], b.words[same])
+            runs = np.zeros((n, len(CLASSES)))
             np.add.at(runs, b.owner, b.runs)
-            word, char = profiles.compare(own, words, runs)
+            same = (b.language == own[b.owner])[b.segment]
+            n_words = np.bincount(b.owner, weights=b.n_words, minlength=n)
+            word, char = profiles.compare(own, n_words, (b.owner[b.segment[same]], b.word[same], b.times[same]), runs)
             out = batch[_PLAIN].copy()
             blank = (out["n_words"].to_numpy() == 0) & (runs.sum(axis=1) == 0)
             out["word_divergence"], out["char_divergence"] = np.where(blank, 1.0, np.minimum(word, 1.0)), np.where(blank, 1.0, np.minimum(char, 1.0))
@@ -377,14 +404,13 @@ def _verdict_batches(common: dict[str, list[str]], profiles: Profiles, limits: L
     return run
 
 
-def _main_batches(common: dict[str, list[str]], profiles: Profiles) -> Callable:
+def _main_batches(profiles: Profiles) -> Callable:
     """The divergences of the largest segment of each document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        language = _Language(common)
         for batch in batches:
-            b = _Batch(batch, language)
-            word, char = profiles.compare(b.language, b.words, b.runs)
+            b = _Batch(batch)
+            word, char = profiles.compare(b.language, b.n_words, (b.segment, b.word, b.times), b.runs)
             order = np.lexsort((-b.chars, b.owner))
             first = order[np.append(True, np.diff(b.owner[order]) > 0)] if len(order) else order
             yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy()[b.owner[first]], "word": word[first], "char": char[first]})
@@ -438,7 +464,7 @@ def text_statistics(documents: DataFrame, common_words: DataFrame, labels: DataF
     if labels is not None:
         some = labels.select("doc_id", "text_form").where(F.col("doc_id").isNotNull() & F.col("text_form").isin(*FORMS)).distinct().limit(MOST_LABELS)
         labelled = counted.join(F.broadcast(some.select("doc_id").distinct()), "doc_id", "left_semi")
-        main = labelled.mapInPandas(_main_batches(common, profiles), "doc_id bigint, word double, char double").join(F.broadcast(some), "doc_id").collect()  # at most MOST_LABELS
+        main = labelled.mapInPandas(_main_batches(profiles), "doc_id bigint, word double, char double").join(F.broadcast(some), "doc_id").collect()  # at most MOST_LABELS
         limits = _fitted(main)
         near = structural_profiles(labelled.mapInPandas(_verdict_batches(common, profiles, limits), _STATS), some)
     stats = counted.mapInPandas(_verdict_batches(common, profiles, limits), _STATS)

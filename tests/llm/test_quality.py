@@ -88,8 +88,8 @@ def test_the_divergences_alone_make_prose():
     texts = [PROSE * 3, garbled, bare, "- " + PROSE, "\n".join(f"part{i};{i * 7};x" for i in range(20))]
     counted = next(Q._count_batches(common)(iter([pd.DataFrame({"doc_id": range(len(texts)), "text": texts})])))
     language = Q._Language(common)
-    b, first = Q._Batch(counted, language), Q._Batch(counted.iloc[:1], language)
-    profiles = Q.Profiles(first.words.sum(axis=0)[None, :], first.runs.sum(axis=0)[None, :])
+    b, first = Q._Batch(counted), Q._Batch(counted.iloc[:1])
+    profiles = Q.Profiles(*first.sums(np.ones(len(first.kind), dtype=bool), language))
     limits = (Q.WORD_LIMIT, Q.CHAR_LIMIT)
     assert Q._judged(b, profiles, limits).tolist() == [0, 3, 3, 0, 2]
     assert Q._judged(b, profiles, (np.inf, Q.CHAR_LIMIT)).tolist()[2] == 0  # without the words
@@ -103,6 +103,17 @@ def test_limits_are_fitted():
     assert Q.fit_limit([], [0.1], 9.0) == Q.fit_limit([0.1], [], 9.0) == 9.0
 
 
+def test_slices_change_nothing(monkeypatch):
+    c, texts = Q._Characters(), ["The end. ", "", "a.b" * 50, "x", "AB CD\nEF"] * 7
+    kinds = np.arange(len(texts)) % 3
+    whole = c.runs(texts, kinds), c.symbol_counts(texts)
+    for size in (1, 10, 160):
+        monkeypatch.setattr(Q, "SLICE", size)
+        assert list(Q._slices(texts))[0][0] == 0 and list(Q._slices(texts))[-1][1] == len(texts)
+        assert (c.runs(texts, kinds) == whole[0]).all() and (c.symbol_counts(texts) == whole[1]).all()
+    assert c.runs([], np.array([])).shape == (0, 9) and list(Q._slices([])) == []
+
+
 def test_character_runs():
     c = Q._Characters()
     runs = dict(zip(Q.CLASSES, c.runs(["The end.  a.b"], np.array([1]))[0]))
