@@ -99,7 +99,7 @@ def segments(text: str) -> list[tuple[int, str]]:
     """(place in KINDS, text): every paragraph by itself, the other blocks joined by kind. A few words without an end are an item: they head one."""
     out, pooled = [], {}
     for kind, block in blocks(text):
-        if kind == "text" and len(block.split()) < 5 and not _TERMINAL.search(block):
+        if kind == "text" and len(block.split(None, 4)) < 5 and not _TERMINAL.search(block):
             kind = "item"
         if kind == "text":
             out.append((0, block))
@@ -207,15 +207,21 @@ class _Language:
     def __init__(self, common: dict[str, list[str]]):
         self.names = sorted(common)
         self.words = [{w: i for i, w in enumerate(sorted(set(common[name])))} for name in self.names]
-        self.any = frozenset(w for index in self.words for w in index)
+        self.of: dict[str, list[int]] = {}
+        for n, index in enumerate(self.words):
+            for w in index:
+                self.of.setdefault(w, []).append(n)
         self.width = max((len(x) for x in self.words), default=0) + 1
 
-    def best(self, words: list[str]) -> tuple[int, int, Counter]:
+    def best(self, counts: Counter) -> tuple[int, int, dict[str, int]]:
         """(place of the language whose function words cover most words, how many, the counts); -1 for none; ties go to the first name."""
-        known = Counter(w for w in words if w in self.any)
+        known = {w: k for w, k in counts.items() if w in self.of}
         if not known:
             return -1, 0, known
-        n = [sum(k for w, k in known.items() if w in index) for index in self.words]
+        n = [0] * len(self.names)
+        for w, k in known.items():
+            for lang in self.of[w]:
+                n[lang] += k
         return n.index(max(n)), max(n), known
 
 
@@ -244,17 +250,23 @@ def _count_batches(common: dict[str, list[str]]) -> Callable:
             texts = batch["text"].tolist()
             rows, parts, bodies, known_words = [], [], [], []
             for doc_id, text in zip(batch["doc_id"], texts):
-                words = _WORD.findall(text.lower())
-                own, n_known, _ = language.best(words)
                 lines = [x for line in text.splitlines() if (x := line.strip())]
                 found = segments(text)
-                for n, (kind, body) in enumerate(found):
-                    some = _WORD.findall(body.lower())
-                    lang, _, hits = language.best(some)
+                some = [_WORD.findall(body.lower()) for _, body in found]
+                counts = [Counter(x) for x in some]
+                if any(kind == 1 for kind, _ in found) or "REM" in text:  # letters may stand in bullets and prefixes
+                    words = _WORD.findall(text.lower())
+                    whole = Counter(words)
+                else:
+                    words = some[0] if len(some) == 1 else [w for x in some for w in x]
+                    whole = counts[0] if len(some) == 1 else Counter(words)
+                own, n_known, known = language.best(whole)
+                for n, ((kind, body), own_words, count) in enumerate(zip(found, some, counts)):
+                    lang, hits = (own, known) if count is whole else language.best(count)[::2]
                     lang = own if lang < 0 else lang
                     index = language.words[lang] if lang >= 0 else {}
                     known_words.append([(n, index[w], k) for w, k in hits.items() if w in index])
-                    parts.append((kind, lang, len(body), len(some)))
+                    parts.append((kind, lang, len(body), len(own_words)))
                     bodies.append(body)
                 ends = sum(map(_ends_a_sentence, lines))
                 rows.append((doc_id, len(text), len(words), len(lines), _share(sum(map(len, words)), len(words)), _share(ends, len(lines)), _share(n_known, len(words)), language.names[own] if own >= 0 else None, len(found)))
