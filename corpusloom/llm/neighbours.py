@@ -216,7 +216,9 @@ def similar_vectors(rows: DataFrame, k: int = 10, min_cosine: float = -1.0, prob
     # Which draw many queries is estimated from one in PLANNED of them; that decides the cut into blocks, and no result.
     held = {(r["space"], r["c1"]): r["count"] for r in entries.groupBy("space", "c1").count().where(F.col("count") > block).collect()}
     planned = index.where(F.pmod(F.xxhash64("key"), F.lit(PLANNED)) == 0).select("space", "key", "vec").mapInPandas(_probes(books, probes), "space string, c1 int, c2s binary, key bigint, vec binary")
-    asked = {(r["space"], r["c1"]): r["count"] * PLANNED for r in planned.groupBy("space", "c1").count().where(F.col("count") * PLANNED > block).collect()}
+    asked = {(r["space"], r["c1"]): r["count"] * PLANNED for r in planned.groupBy("space", "c1").count().collect()}  # at most the first centroids
+    rows_asked = sum(asked.values())
+    asked = {place: k for place, k in asked.items() if k > block}
     hot = [(space, c1, math.ceil(held.get((space, c1), 1) / block), math.ceil(asked.get((space, c1), 1) / block)) for space, c1 in sorted({*held, *asked})]
     if hot:
         cuts = F.broadcast(index.sparkSession.createDataFrame(hot, "space string, c1 int, e_parts int, q_parts int"))
@@ -226,9 +228,10 @@ def similar_vectors(rows: DataFrame, k: int = 10, min_cosine: float = -1.0, prob
         every = lambda parts: F.explode(F.sequence(F.lit(0), parts - 1))
         entries = entries.withColumn("es", salt(e_parts)).withColumn("qs", every(q_parts)).drop("e_parts", "q_parts")
         queries = queries.withColumn("qs", salt(q_parts)).withColumn("es", every(e_parts)).drop("e_parts", "q_parts")
-    else:
-        entries, queries = (x.withColumns({"es": F.lit(0), "qs": F.lit(0)}) for x in (entries, queries))
-    keys = ["space", "c1", "es", "qs"]
+    keys = ["space", "c1", *(["es", "qs"] if hot else [])]
+    # As many tasks as the rows need: the groups of a cogroup are not split by the adaptive plan.
+    tasks = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((n + rows_asked) / (4 * block)))
+    entries, queries = entries.repartition(tasks, *keys), queries.repartition(tasks, *keys)
     near = entries.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(_match(k, min_cosine, min_cosine > 0), "key bigint, other bigint, cosine double")
     if min_cosine > 0:
         near = near.groupBy("key", "other").agg(F.max("cosine").alias("cosine"))
