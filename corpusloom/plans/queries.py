@@ -112,7 +112,7 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 @query
 def tokenize_stats(spark: SparkSession, d: str) -> DataFrame:
     t = text.tokens(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"), F.coalesce(F.element_at(F.sort_array(t), 1), F.lit("")).alias("least_token"))
+    return table(spark, d, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"), F.coalesce(F.array_min(t), F.lit("")).alias("least_token"))
 
 
 @query

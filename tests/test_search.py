@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.config import Settings
 from corpusloom.functions import text
 from corpusloom.operators import search as S
+from corpusloom.plans import queries
 
 CHUNKS = "chunk_id string, scope string, relative_path string, chunk_type string, domain_tags array<string>, text string, vector array<float>"
 
@@ -78,6 +79,13 @@ def test_bm25_of_nothing(spark, rows):
     assert [r["lexical_raw"] for r in S.bm25(blank, "alpha").collect()] == [0.0]
 
 
+def test_tokenize_stats_of_documents_without_tokens(spark, tmp_path):
+    texts = ["b a B", "", " \n", "日本語 — ё", None, "яблоко Z"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: tuple(r)[1:] for r in queries.QUERIES["tokenize_stats"](spark, str(tmp_path)).collect()}
+    assert got == {0: (3, 2, "a"), 1: (0, 0, ""), 2: (0, 0, ""), 3: (0, 0, ""), 4: (None, None, ""), 5: (2, 2, "z")}
+
+
 def test_fusion(spark):
     dense = spark.createDataFrame([("a", 0.8), ("b", 0.5)], "chunk_id string, dense_score double")
     raw = spark.createDataFrame([("a", 0.0), ("b", 4.0), ("c", 2.0), ("d", 0.0)], "chunk_id string, lexical_raw double")
